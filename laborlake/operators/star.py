@@ -33,6 +33,7 @@ class Star:
     dim_skill: DataFrame
     fact: DataFrame
     bridge: DataFrame
+    fact_wide: DataFrame   # fact + company_name (denormalised for search pages)
 
 
 def stage_postings(clean: DataFrame) -> DataFrame:
@@ -65,17 +66,23 @@ def build_dim_skill(posting_skill: DataFrame) -> DataFrame:
 
 
 def build_fact(stg: DataFrame, scores: DataFrame) -> DataFrame:
+    return build_fact_wide(stg, scores).drop("company_name")
+
+
+def build_fact_wide(stg: DataFrame, scores: DataFrame) -> DataFrame:
+    """Fact plus ``company_name`` — the name is on the staging row already, so carrying
+    it costs no join (the narrow fact is this frame minus the column)."""
     cols = set(stg.columns)
     opt = lambda c: F.col(c) if c in cols else F.lit(None).cast("string")
     postings = stg.filter(F.col("title").isNotNull()).select(
         "posting_id",
         surrogate_key("company_name").alias("company_id"),
         "title", "location", "region", "seniority", "remote", "salary", "posted_month",
-        "is_real", opt("source").alias("source"), opt("url").alias("url"))
+        "is_real", opt("source").alias("source"), opt("url").alias("url"), "company_name")
     s = scores.select("posting_id", "predicted_salary", "salary_vs_market", "pay_band")
     return (postings.join(s, "posting_id", "left")
                     .withColumn("pay_band", F.coalesce("pay_band", F.lit("unknown")))
-                    .select(*FACT_COLUMNS))
+                    .select(*FACT_COLUMNS, "company_name"))
 
 
 def build_bridge(posting_skill: DataFrame, fact: DataFrame) -> DataFrame:
@@ -86,8 +93,9 @@ def build_bridge(posting_skill: DataFrame, fact: DataFrame) -> DataFrame:
 
 
 def build_star(stg: DataFrame, posting_skill: DataFrame, scores: DataFrame) -> Star:
-    fact = build_fact(stg, scores)
-    return Star(stg=stg,
+    wide = build_fact_wide(stg, scores)
+    fact = wide.drop("company_name")
+    return Star(stg=stg, fact_wide=wide,
                 dim_company=build_dim_company(stg),
                 dim_skill=build_dim_skill(posting_skill),
                 fact=fact,

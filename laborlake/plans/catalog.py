@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.operators import analytics, etl
+from dataclasses import replace
+
+from laborlake.operators import analytics, etl, search
 from laborlake.plans.oracle import with_fx
 from laborlake.sources.fixtures import Fixtures
 
@@ -192,6 +194,147 @@ def q_fact_scores(fx: Fixtures) -> DataFrame:
     return fx.fact.drop("source", "url")
 
 
+# ---------------------------------------------------------------- search family
+FILTER_SPEC = search.SearchSpec(q="ring", remote_only=True, min_salary=150000, source_type="real",
+                                skill="Brand#13")
+RANK_SPEC = search.SearchSpec(seniority="senior", prioritize_regions="ASIA, EUROPE",
+                              prioritize_skills="Brand#1,Brand#7", limit=25)
+RELAX_SPEC = search.SearchSpec(q="no-such-title-xyz", seniority="senior", limit=10)
+
+_FILTER_SQL = """f.title ilike '%ring%' and f.remote = true and f.salary >= 150000 and f.is_real = true
+  and exists (select 1 from fx_bridge b join fx_dim_skill s on s.skill_id = b.skill_id
+              where b.posting_id = f.posting_id and s.skill_name = 'Brand#13')"""
+_RANK_SQL = """
+with m as (select b.posting_id, count(*) n from fx_bridge b join fx_dim_skill s on s.skill_id = b.skill_id
+           where s.skill_name in ('Brand#1', 'Brand#7') group by b.posting_id),
+r as (select f.*, case when f.region in ('ASIA', 'EUROPE') then 1 else 0 end region_match,
+             coalesce(m.n, 0) skill_matches
+      from fx_fact f left join m on m.posting_id = f.posting_id where f.seniority = 'senior')
+select r.posting_id, r.title, c.company_name, r.location, r.region, r.seniority, r.remote, r.salary,
+       r.posted_month, r.predicted_salary, r.salary_vs_market, r.pay_band, r.is_real, r.source, r.url,
+       r.region_match, r.skill_matches
+from r left join fx_dim_company c on c.company_id = r.company_id
+order by r.is_real desc, r.region_match desc, r.skill_matches desc, r.salary desc nulls last, r.posting_id
+limit 25 offset {offset}"""
+
+
+def _star(fx: Fixtures):
+    return fx.fact, fx.bridge, fx.dim_skill
+
+
+@register("search_filter", f"""
+select f.posting_id, f.title, f.region, f.seniority, f.remote, f.salary, f.pay_band, f.is_real
+from fx_fact f where {_FILTER_SQL}""")
+def q_search_filter(fx: Fixtures) -> DataFrame:
+    return search.search_filter(*_star(fx), FILTER_SPEC).select(
+        "posting_id", "title", "region", "seniority", "remote", "salary", "pay_band", "is_real")
+
+
+@register("search_total", f"select count(*) total from fx_fact f where {_FILTER_SQL}")
+def q_search_total(fx: Fixtures) -> DataFrame:
+    return search.search_total(*_star(fx), FILTER_SPEC)
+
+
+@register("search_ranked", _RANK_SQL.format(offset=0))
+def q_search_ranked(fx: Fixtures) -> DataFrame:
+    return search.search_ranked(fx.fact_wide, fx.bridge, fx.dim_skill, fx.dim_company, RANK_SPEC)
+
+
+@register("search_page", _RANK_SQL.format(offset=50))
+def q_search_page(fx: Fixtures) -> DataFrame:
+    return search.search_ranked(fx.fact, fx.bridge, fx.dim_skill, fx.dim_company,
+                                replace(RANK_SPEC, offset=50))
+
+
+@register("search_relaxed", """
+select f.posting_id, f.title, c.company_name, f.location, f.region, f.seniority, f.remote, f.salary,
+       f.posted_month, f.predicted_salary, f.salary_vs_market, f.pay_band, f.is_real, f.source, f.url,
+       cast(null as integer) region_match, cast(null as bigint) skill_matches,
+       'No job TITLE matched ''no-such-title-xyz'', so the title filter was dropped and the remaining filters '
+       || 'kept. These are the closest available postings — use them rather than searching again with '
+       || 'different wording.' note
+from fx_fact f left join fx_dim_company c on c.company_id = f.company_id
+where f.seniority = 'senior' and f.is_real = true
+  and not exists (select 1 from fx_fact g where g.title ilike '%no-such-title-xyz%' and g.seniority = 'senior'
+                  and g.is_real = true)
+order by f.is_real desc, f.salary desc nulls last, f.posting_id limit 10""")
+def q_search_relaxed(fx: Fixtures) -> DataFrame:
+    return search.search_relaxed(fx.fact_wide, fx.bridge, fx.dim_skill, fx.dim_company, RELAX_SPEC)
+
+
+@register("has_skill", """
+select f.posting_id, f.title from fx_fact f
+where exists (select 1 from fx_bridge b join fx_dim_skill s on s.skill_id = b.skill_id
+              where b.posting_id = f.posting_id and s.skill_name = 'Brand#7')""")
+def q_has_skill(fx: Fixtures) -> DataFrame:
+    return search.search_filter(*_star(fx), search.SearchSpec(skill="Brand#7")).select("posting_id", "title")
+
+
+@register("skill_matches", """
+select f.posting_id, coalesce(m.n, 0) skill_matches from fx_fact f
+left join (select b.posting_id, count(*) n from fx_bridge b join fx_dim_skill s on s.skill_id = b.skill_id
+           where s.skill_name in ('Brand#1', 'Brand#7', 'Brand#13') group by b.posting_id) m
+  on m.posting_id = f.posting_id""")
+def q_skill_matches(fx: Fixtures) -> DataFrame:
+    spec = search.SearchSpec(prioritize_skills="Brand#1, Brand#7, Brand#13")
+    ranked, _ = search.with_rank_keys(fx.fact, fx.bridge, fx.dim_skill, spec)
+    return ranked.select("posting_id", "skill_matches")
+
+
+@register("any_membership", """
+select posting_id, case when region in ('ASIA', 'AMERICA') then 1 else 0 end region_match from fx_fact""")
+def q_any_membership(fx: Fixtures) -> DataFrame:
+    return fx.fact.select("posting_id", search.region_match(["ASIA", "AMERICA"]).alias("region_match"))
+
+
+@register("search_company", """
+select f.posting_id, c.company_name from fx_fact f left join fx_dim_company c on c.company_id = f.company_id""")
+def q_search_company(fx: Fixtures) -> DataFrame:
+    return (fx.fact.join(fx.dim_company, "company_id", "left").select("posting_id", "company_name"))
+
+
+@register("job_lookup", """
+select f.posting_id, f.title, c.company_name, f.region, f.salary, f.pay_band,
+       coalesce((select string_agg(s.skill_name, ',' order by s.skill_name) from fx_bridge b
+                 join fx_dim_skill s on s.skill_id = b.skill_id where b.posting_id = f.posting_id), '') required_skills
+from fx_fact f left join fx_dim_company c on c.company_id = f.company_id""")
+def q_job_lookup(fx: Fixtures) -> DataFrame:
+    d = search.job_details(fx.fact, fx.bridge, fx.dim_skill, fx.dim_company)
+    return d.select("posting_id", "title", "company_name", "region", "salary", "pay_band",
+                    F.array_join("required_skills", ",").alias("required_skills"))
+
+
+@register("filter_options", """
+select 'skill' option, skill_name value, posting_count n from fx_dim_skill
+union all select distinct 'region', region, cast(null as bigint) from fx_fact where region is not null
+union all select distinct 'seniority', seniority, cast(null as bigint) from fx_fact where seniority is not null
+union all select 'pay_band', v, cast(null as bigint) from (values ('above_market'), ('at_market'), ('below_market')) t(v)
+union all select 'source', case when is_real then 'real' else 'synthetic' end, count(*) from fx_fact group by 2""")
+def q_filter_options(fx: Fixtures) -> DataFrame:
+    return search.filter_options(fx.fact, fx.dim_skill)
+
+
+@register("distinct_values", """
+select distinct 'region' option, region value from fx_fact where region is not null
+union all select distinct 'seniority', seniority from fx_fact where seniority is not null""")
+def q_distinct_values(fx: Fixtures) -> DataFrame:
+    return search.filter_options(fx.fact, fx.dim_skill).filter(
+        F.col("option").isin("region", "seniority")).select("option", "value")
+
+
+@register("provenance_label", """
+select posting_id, case when is_real then 'real' else 'synthetic' end kind from fx_fact""")
+def q_provenance_label(fx: Fixtures) -> DataFrame:
+    from laborlake.functions.lists import provenance_label
+    return fx.fact.select("posting_id", provenance_label("is_real").alias("kind"))
+
+
+@register("topk_skills", """
+select skill_name, posting_count from fx_dim_skill order by posting_count desc, skill_name limit 10""")
+def q_topk_skills(fx: Fixtures) -> DataFrame:
+    return search.topk_skills(fx.dim_skill, 10)
+
+
 def queries() -> dict[str, QueryFn]:
     return {name: q.fn for name, q in REGISTRY.items()}
 

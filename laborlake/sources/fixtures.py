@@ -201,6 +201,10 @@ class Fixtures:
     def fact(self) -> DataFrame:
         return self.star.fact
 
+    @property
+    def fact_wide(self) -> DataFrame:
+        return self.star.fact_wide
+
     @property
     def bridge(self) -> DataFrame:
         return self.star.bridge
