@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dataclasses import replace
 
-from laborlake.operators import analytics, etl, search
+from laborlake.operators import analytics, etl, quality, search
 from laborlake.plans.oracle import with_fx
 from laborlake.sources.fixtures import Fixtures
 
@@ -335,6 +335,64 @@ def q_topk_skills(fx: Fixtures) -> DataFrame:
     return search.topk_skills(fx.dim_skill, 10)
 
 
+# ---------------------------------------------------------------- data quality
+_DQ = {
+    "not_null": """
+select 'not_null:stg_postings.posting_id' "check", 'not_null' kind, 'error' severity,
+       count(*) filter (where posting_id is null) failures from fx_posting
+union all select 'not_null:stg_postings.title', 'not_null', 'error', count(*) filter (where title is null) from fx_posting
+union all select 'not_null:dim_company.company_id', 'not_null', 'error', count(*) filter (where company_id is null) from fx_dim_company
+union all select 'not_null:dim_company.company_name', 'not_null', 'error', count(*) filter (where company_name is null) from fx_dim_company
+union all select 'not_null:dim_skill.skill_id', 'not_null', 'error', count(*) filter (where skill_id is null) from fx_dim_skill
+union all select 'not_null:dim_skill.skill_name', 'not_null', 'error', count(*) filter (where skill_name is null) from fx_dim_skill
+union all select 'not_null:fact_job_posting.posting_id', 'not_null', 'error', count(*) filter (where posting_id is null) from fx_fact""",
+    "unique": """
+select 'unique:stg_postings.posting_id' "check", 'unique' kind, 'error' severity,
+       (select count(*) from (select posting_id from fx_posting where posting_id is not null group by 1 having count(*) > 1)) failures
+union all select 'unique:dim_company.company_id', 'unique', 'error',
+       (select count(*) from (select company_id from fx_dim_company where company_id is not null group by 1 having count(*) > 1))
+union all select 'unique:dim_skill.skill_id', 'unique', 'error',
+       (select count(*) from (select skill_id from fx_dim_skill where skill_id is not null group by 1 having count(*) > 1))
+union all select 'unique:dim_skill.skill_name', 'unique', 'error',
+       (select count(*) from (select skill_name from fx_dim_skill where skill_name is not null group by 1 having count(*) > 1))
+union all select 'unique:fact_job_posting.posting_id', 'unique', 'error',
+       (select count(*) from (select posting_id from fx_fact where posting_id is not null group by 1 having count(*) > 1))""",
+    "accepted_values": """
+select 'accepted_values:stg_postings.seniority' "check", 'accepted_values' kind, 'error' severity,
+       count(distinct case when seniority not in ('junior', 'mid', 'senior', 'unknown') then seniority end) failures
+from fx_posting""",
+    "relationships": """
+select 'relationships:fact_job_posting.company_id' "check", 'relationships' kind, 'error' severity,
+       (select count(*) from fx_fact f where f.company_id is not null
+          and not exists (select 1 from fx_dim_company c where c.company_id = f.company_id)) failures
+union all select 'relationships:bridge_posting_skill.posting_id', 'relationships', 'error',
+       (select count(*) from fx_bridge b where b.posting_id is not null
+          and not exists (select 1 from fx_fact f where f.posting_id = b.posting_id))
+union all select 'relationships:bridge_posting_skill.skill_id', 'relationships', 'error',
+       (select count(*) from fx_bridge b where b.skill_id is not null
+          and not exists (select 1 from fx_dim_skill s where s.skill_id = b.skill_id))""",
+    "accepted_range": """
+select 'accepted_range:fact_job_posting.salary' "check", 'accepted_range' kind, 'warn' severity,
+       count(*) filter (where salary is not null and (salary < 0 or salary > 2000000)) failures from fx_fact""",
+}
+
+
+def _dq(kind: str):
+    def fn(fx: Fixtures) -> DataFrame:
+        return quality.run_checks(fx.star, (kind,))
+    return fn
+
+
+for _kind, _sql in _DQ.items():
+    register(f"dq_{_kind}", _sql)(_dq(_kind))
+
+
+@register("dq_gate", "select *, case when failures = 0 then 'pass' when severity = 'warn' then 'warn' else 'fail' end status from ("
+          + " union all ".join(f"({v.strip()})" for v in _DQ.values()) + ") t")
+def q_dq_gate(fx: Fixtures) -> DataFrame:
+    return quality.gate_summary(fx.star)
+
+
 def queries() -> dict[str, QueryFn]:
     return {name: q.fn for name, q in REGISTRY.items()}
 
