@@ -1,41 +1,19 @@
-"""Registry of named queries: ``name -> (spark, sf_dir) -> DataFrame`` plus oracle SQL.
+"""Query catalog, part 1: analytics, ETL, star schema, search, data quality.
 
 Every query reads the whole driver tables (through ``Fixtures``) so its work grows with
 the data.  Column names are aliased identically in the DataFrame code and the SQL.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataclasses import replace
-
 from laborlake.operators import analytics, etl, quality, search
-from laborlake.plans.oracle import with_fx
+from laborlake.plans.registry import REGISTRY, QueryFn, register  # noqa: F401
 from laborlake.sources.fixtures import Fixtures
 
-QueryFn = Callable[[SparkSession, str], DataFrame]
-
-
-@dataclass
-class Query:
-    fn: QueryFn
-    sql: str | None = None
-
-
-REGISTRY: dict[str, Query] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: Callable[[Fixtures], DataFrame]):
-        REGISTRY[name] = Query(lambda spark, sf_dir: fn(Fixtures(spark, sf_dir)),
-                               with_fx(sql) if sql else None)
-        return fn
-    return deco
-
 
 def raw_postings(fx: Fixtures) -> DataFrame:
     """Fixture postings in the raw landing shape (mixed salary text)."""
@@ -394,8 +372,12 @@ def q_dq_gate(fx: Fixtures) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
+    from laborlake.plans import load_all
+    load_all()
     return {name: q.fn for name, q in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from laborlake.plans import load_all
+    load_all()
     return {name: q.sql for name, q in REGISTRY.items() if q.sql}

@@ -21,6 +21,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "16g",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
