@@ -13,9 +13,9 @@ from laborlake.functions.lists import skill_count
 from laborlake.functions.salary import clean_salary
 
 
-def dedupe_postings(raw: DataFrame, key: str = "posting_id") -> DataFrame:
+def dedupe_postings(raw: DataFrame, key: str | list[str] = "posting_id") -> DataFrame:
     """One arbitrary row per key (hash aggregate with map-side first())."""
-    return raw.dropDuplicates([key])
+    return raw.dropDuplicates([key] if isinstance(key, str) else list(key))
 
 
 def dedupe_deterministic(raw: DataFrame, key: str, order_cols: list[str], keep: str = "min") -> DataFrame:
