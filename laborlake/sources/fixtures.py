@@ -169,6 +169,55 @@ def resume_versions(t: Tables) -> DataFrame:
                             F.col("event_type").alias("origin")))
 
 
+PAGE_SIZE = 50
+
+
+def feed_pages(t: Tables) -> dict[str, DataFrame]:
+    """Landed job-board pages built from the orders: every third order goes to one of
+    three feeds, 50 jobs per page (a bounded ``collect_list`` per page), descriptions
+    are the document texts, tags the order's part brands."""
+    p = posting_raw(t)
+    o = t.orders.select(F.col("o_orderkey").cast("string").alias("posting_id"), "o_orderkey",
+                        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created"))
+    tags = posting_skill_raw(t).groupBy("posting_id").agg(F.collect_list("skill").alias("tags"))
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("posting_id"), F.col("text").alias("description"))
+    rows = (p.join(o, "posting_id").join(tags, "posting_id", "left").join(docs, "posting_id", "left")
+             .withColumn("feed", F.pmod("o_orderkey", F.lit(3)))
+             .withColumn("page", F.floor(F.col("o_orderkey") / (3 * PAGE_SIZE)).cast("bigint")))
+    loc = F.upper(F.coalesce("location", F.lit("")))
+    country = (F.when(loc == "INDIA", "in").when(loc == "UNITED STATES", "us")
+                .when(loc == "UNITED KINGDOM", "gb").otherwise(F.lower(F.substring(loc, 1, 2))))
+    url = F.concat(F.lit("https://jobs.example.invalid/"), F.col("posting_id"))
+    adz = rows.filter(F.col("feed") == 0).select(
+        country.alias("country"), "page", "o_orderkey",
+        F.struct(F.col("posting_id").alias("id"), "title",
+                 F.struct(F.col("company_name").alias("display_name")).alias("company"),
+                 F.struct(F.col("location").alias("display_name")).alias("location"),
+                 F.col("salary").cast("double").alias("salary_min"), "description",
+                 url.alias("redirect_url"), "created").alias("j"))
+    rem = rows.filter(F.col("feed") == 1).select(
+        "page", "o_orderkey",
+        F.struct(F.col("posting_id").alias("id"), "title", F.col("company_name").alias("company_name"),
+                 F.col("location").alias("candidate_required_location"),
+                 F.coalesce(F.col("salary_raw"), F.lit("")).alias("salary"),
+                 F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "description",
+                 url.alias("url"), F.col("created").alias("publication_date")).alias("j"))
+    arb = rows.filter(F.col("feed") == 2).select(
+        "page", "o_orderkey",
+        F.struct(F.concat(F.lit("job-"), F.col("posting_id")).alias("slug"), "title",
+                 F.col("company_name").alias("company_name"), "location",
+                 F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "description",
+                 url.alias("url")).alias("j"))
+
+    def pages(df: DataFrame, col: str, *keys: str) -> DataFrame:
+        ordered = F.sort_array(F.collect_list(F.struct("o_orderkey", "j")))
+        return (df.groupBy(*keys, "page").agg(ordered.alias("__l"))
+                  .select(*keys, "page", F.transform("__l", lambda x: x["j"]).alias(col)))
+
+    return {"adzuna": pages(adz, "results", "country"), "remotive": pages(rem, "jobs"),
+            "arbeitnow": pages(arb, "data")}
+
+
 @dataclass
 class Fixtures:
     """Lazily-built job-market frames for one ``sf_dir``."""
