@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from laborlake.session import cut_lineage
+
 # --- fixed values (must equal the reference for identical results) -------------------
 FUNNEL_STAGES = ("applied", "interview_invite", "offer")
 TRACKED = ("applied", "rejected", "interview_invite", "offer")
@@ -204,8 +206,10 @@ def ordinal_per_key(df: DataFrame, key: str, order_cols: list[str], n_parts: int
     earlier partitions (a per-key prefix sum over at most ``n_parts`` rows)."""
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, key, *order_cols) \
-               .withColumn("__pid", F.spark_partition_id())
+    # The partition id is materialised once (reliable checkpoint in spark.checkpoint.dir):
+    # both the numbering and the offsets read the same assignment, whatever the input order.
+    ranged = cut_lineage(df.repartitionByRange(n_parts, key, *order_cols)
+                           .withColumn("__pid", F.spark_partition_id()))
     local = Window.partitionBy(key, "__pid").orderBy(*order_cols)
     ranged = ranged.withColumn("__local", F.row_number().over(local))
     counts = ranged.groupBy(key, "__pid").agg(F.count(F.lit(1)).alias("__n"))

@@ -17,6 +17,8 @@ Scale notes
 """
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laborlake.functions.salary import pay_band
+from laborlake.session import shared_dir
 from laborlake.sources.tables import Tables
 
 # Fixed values of the fixture mapping (must equal the oracle SQL).
@@ -218,33 +221,76 @@ def feed_pages(t: Tables) -> dict[str, DataFrame]:
             "arbeitnow": pages(arb, "data")}
 
 
+# Materialised marts per (application, sf_dir): the star schema is built once from the
+# raw tables and written to the shared checkpoint folder, like warehouse tables that the
+# serving queries read.  This also cuts the (long) fixture lineage.
+_MARTS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def materialized_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key in _MARTS:
+        return _MARTS[key]
+    from laborlake.operators.star import build_star
+    base = shared_dir(spark, f"marts-{uuid.uuid4().hex}")
+    t = Tables(spark, sf_dir)
+    out: dict[str, DataFrame] = {}
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        out[name] = spark.read.parquet(f"{base}/{name}")
+        return out[name]
+
+    posting = put("posting", posting_raw(t))
+    skills = put("posting_skill", posting_skill_raw(t))
+    scores = put("scores", posting_scores(posting))
+    star = build_star(posting, skills, scores)
+    put("dim_company", star.dim_company)
+    put("dim_skill", star.dim_skill)
+    put("fact_wide", star.fact_wide)
+    put("bridge", star.bridge)
+    _MARTS[key] = out
+    return out
+
+
 @dataclass
 class Fixtures:
-    """Lazily-built job-market frames for one ``sf_dir``."""
+    """Job-market frames for one ``sf_dir``.  With ``materialize`` (default) the posting
+    frames and the star schema come from marts built once per session; otherwise every
+    frame is a lazy plan over the raw tables."""
 
     spark: SparkSession
     sf_dir: str
+    materialize: bool = True
 
     @cached_property
     def tables(self) -> Tables:
         return Tables(self.spark, self.sf_dir)
 
+    @cached_property
+    def marts(self) -> dict[str, DataFrame] | None:
+        return materialized_marts(self.spark, self.sf_dir) if self.materialize else None
+
     @cached_property
     def posting(self) -> DataFrame:
-        return posting_raw(self.tables)
+        return self.marts["posting"] if self.marts else posting_raw(self.tables)
 
     @cached_property
     def posting_skill(self) -> DataFrame:
-        return posting_skill_raw(self.tables)
+        return self.marts["posting_skill"] if self.marts else posting_skill_raw(self.tables)
 
     @cached_property
     def scores(self) -> DataFrame:
-        return posting_scores(self.posting)
+        return self.marts["scores"] if self.marts else posting_scores(self.posting)
 
     @cached_property
     def star(self):
-        from laborlake.operators.star import build_star
-        return build_star(self.posting, self.posting_skill, self.scores)
+        from laborlake.operators.star import Star, build_star
+        if not self.marts:
+            return build_star(self.posting, self.posting_skill, self.scores)
+        m = self.marts
+        return Star(stg=m["posting"], dim_company=m["dim_company"], dim_skill=m["dim_skill"],
+                    fact=m["fact_wide"].drop("company_name"), bridge=m["bridge"], fact_wide=m["fact_wide"])
 
     @property
     def fact(self) -> DataFrame:

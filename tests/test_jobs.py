@@ -87,3 +87,37 @@ def test_pipeline_twice_same_output(spark, small_dir):
         fact = spark.read.parquet(f"{base}/warehouse/fact_job_posting")
         outs.append(sorted(map(tuple, fact.collect())))
     assert outs[0] == outs[1]
+
+
+def test_profile_match_brute_force_with_hot_pair(spark):
+    """A third of the postings share one skill pair; the pair-key / n-gram joins must
+    equal the brute-force definition (overlap >= 2 or role substring of title)."""
+    from laborlake.operators import matching
+    postings, skills = [], []
+    for i in range(90):
+        pid = f"p{i}"
+        postings.append((pid, ["Data Engineer", "Rod Welder", "ring master", "x"][i % 4], "Co", "R", None))
+        sk = ["Python", "SQL"] if i % 3 == 0 else [["Java", "Scala", "Kafka"], ["SQL", "dbt"]][i % 2]
+        skills += [(pid, s) for s in sk]
+    profiles = [(1, "python, sql", ""), (2, "SQL, dbt ,kafka", "rod"), (3, "java,scala", "Ring, engineer"),
+                (4, "", "data"), (5, "redis", "x")]
+    P = spark.createDataFrame(postings, "posting_id string, title string, company_name string, region string, url string")
+    S = spark.createDataFrame(skills, "posting_id string, skill string")
+    U = spark.createDataFrame(profiles, "user_id long, skills string, target_roles string")
+    got = {(r.user_id, r.posting_id): (list(r.overlap), r.role_match)
+           for r in matching.profile_match(P, S, U).collect()}
+    want = {}
+    psk = {}
+    for pid, s in skills:
+        psk.setdefault(pid, set()).add(s.lower())
+    for uid, sk, roles in profiles:
+        if not sk:
+            continue
+        have = {s.strip().lower() for s in sk.split(",") if s.strip()}
+        rl = [r.strip().lower() for r in roles.split(",") if r.strip()]
+        for pid, title, *_ in postings:
+            ov = sorted(have & psk.get(pid, set()))
+            role = any(r in title.lower() for r in rl)
+            if len(ov) >= 2 or role:
+                want[(uid, pid)] = (ov, role)
+    assert got == want
