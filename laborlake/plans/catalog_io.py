@@ -113,22 +113,21 @@ def _match_stream(fx: Fixtures, copies: int) -> DataFrame:
     return jobs.read_notifications(fx.spark, sink)
 
 
-_MATCH_NOTIFY_SQL = None  # filled from the matching catalog at import time
-
-
 def _notify_sql() -> str:
     from laborlake.plans import catalog_matching as cm
-    return cm._MATCH_CTE + """
-select user_id, posting_id, 'New match: ' || coalesce(title, 'None') title,
-       coalesce(title, 'None') || ' at ' || coalesce(company_name, 'None') || ' · ' || coalesce(region, 'None')
-       || ' · Matching skills: ' || case when overlap_skills = '' then '(matched on role title)' else overlap_skills end body,
-       url link, 'job_match' kind
-from m"""
+    return cm.per_user_sql(cm.PAIR_SQL["notification_text"], cm.NOTIFY_INTS, cm.NOTIFY_TEXTS)
+
+
+def stream_match_pairs(fx: Fixtures) -> DataFrame:
+    return _match_stream(fx, copies=2).drop("batch_id")
 
 
 @register("stream_match", _notify_sql())
 def q_stream_match(fx: Fixtures) -> DataFrame:
-    return _match_stream(fx, copies=2).drop("batch_id")
+    """Notifications written by the stream (events published twice: replays must not
+    duplicate), summarised per user like ``notification_text``."""
+    from laborlake.plans import catalog_matching as cm
+    return cm.per_user(stream_match_pairs(fx), cm.NOTIFY_INTS, cm.NOTIFY_TEXTS)
 
 
 @register("profile_refresh")

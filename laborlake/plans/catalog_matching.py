@@ -47,49 +47,114 @@ _SCORE = ("case when n_required > 0 then cast(round_even(n_overlap::double / n_r
           "else 0 end")
 
 
+# The pair-level outputs are millions of rows at sf 0.01 (every profile against every
+# posting); the registered queries summarise them per user over *all* pairs (counts,
+# total text length, first / last text) so a result check does not need to hold the pair
+# table in one driver.  The full pair tables are compared with PAIR_SQL in the tests.
+PAIR_SQL: dict[str, str] = {}
+
+
+def per_user(df: DataFrame, ints: list[str], texts: list[str]) -> DataFrame:
+    aggs = [F.count(F.lit(1)).alias("pairs")]
+    for c in ints:
+        aggs.append(F.sum(F.col(c).cast("bigint")).alias(f"sum_{c}"))
+    for c in texts:
+        aggs += [F.sum(F.length(c)).cast("bigint").alias(f"len_{c}"), F.min(c).alias(f"min_{c}"),
+                 F.max(c).alias(f"max_{c}")]
+    return df.groupBy("user_id").agg(*aggs)
+
+
+def per_user_sql(pairs_sql: str, ints: list[str], texts: list[str]) -> str:
+    cols = ["count(*) pairs"] + [f"cast(sum({c}) as bigint) sum_{c}" for c in ints]
+    for c in texts:
+        cols += [f"cast(sum(length({c})) as bigint) len_{c}", f"min({c}) min_{c}", f"max({c}) max_{c}"]
+    return f"select user_id, {', '.join(cols)} from ({pairs_sql.strip()}) pairs group by user_id"
+
+
 def _matches(fx: Fixtures) -> DataFrame:
     skills = fx.bridge.join(fx.dim_skill, "skill_id").select("posting_id", F.col("skill_name").alias("skill"))
     return matching.profile_match(fx.fact_wide, skills, fx.profiles, fx.users)
 
 
-@register("profile_match", _MATCH_CTE + """
-select user_id, email, posting_id, title, n_overlap, overlap_skills, role_match from m""")
-def q_profile_match(fx: Fixtures) -> DataFrame:
+PAIR_SQL["profile_match"] = _MATCH_CTE + """
+select user_id, email, posting_id, title, n_overlap, overlap_skills, role_match from m"""
+
+
+def profile_match_pairs(fx: Fixtures) -> DataFrame:
     m = _matches(fx)
     return m.select("user_id", "email", "posting_id", "title", F.size("overlap").alias("n_overlap"),
                     F.array_join("overlap", ", ").alias("overlap_skills"), "role_match")
 
 
-@register("match_score", _MATCH_CTE + f"""
-select user_id, posting_id, overlap_skills matched_skills, missing_skills, {_SCORE} match_score from m""")
-def q_match_score(fx: Fixtures) -> DataFrame:
+@register("profile_match", _MATCH_CTE + """
+select user_id, count(*) pairs, cast(sum(n_overlap) as bigint) sum_n_overlap,
+       count(*) filter (where n_overlap >= 2) skill_pairs, count(*) filter (where role_match) role_pairs,
+       cast(sum(length(overlap_skills)) as bigint) len_overlap_skills, min(posting_id) min_posting_id,
+       max(posting_id) max_posting_id, min(email) email
+from m group by user_id""")
+def q_profile_match(fx: Fixtures) -> DataFrame:
+    p = profile_match_pairs(fx)
+    return p.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("pairs"), F.sum(F.col("n_overlap").cast("bigint")).alias("sum_n_overlap"),
+        F.count_if(F.col("n_overlap") >= 2).alias("skill_pairs"), F.count_if("role_match").alias("role_pairs"),
+        F.sum(F.length("overlap_skills")).cast("bigint").alias("len_overlap_skills"),
+        F.min("posting_id").alias("min_posting_id"), F.max("posting_id").alias("max_posting_id"),
+        F.min("email").alias("email"))
+
+
+PAIR_SQL["match_score"] = _MATCH_CTE + f"""
+select user_id, posting_id, overlap_skills matched_skills, missing_skills, {_SCORE} match_score from m"""
+
+
+def match_score_pairs(fx: Fixtures) -> DataFrame:
     sc = matching.match_score(_matches(fx))
     return sc.select("user_id", "posting_id", F.array_join("matched_skills", ", ").alias("matched_skills"),
                      F.array_join("missing_skills", ", ").alias("missing_skills"), "match_score")
 
 
-@register("match_report", _MATCH_CTE + f"""
+@register("match_score", per_user_sql(PAIR_SQL["match_score"], ["match_score"], ["matched_skills", "missing_skills"]))
+def q_match_score(fx: Fixtures) -> DataFrame:
+    return per_user(match_score_pairs(fx), ["match_score"], ["matched_skills", "missing_skills"])
+
+
+PAIR_SQL["match_report"] = _MATCH_CTE + f"""
 select user_id, posting_id,
        'Match score: ' || cast({_SCORE} as varchar)
        || '% for ''' || coalesce(title, 'None') || ''' at ' || coalesce(company_name, 'None') || '.' || chr(10)
        || 'You have: ' || case when overlap_skills = '' then 'none of the listed skills' else overlap_skills end
        || '.' || chr(10) || 'Gaps: '
        || case when missing_skills = '' then 'none — strong match' else missing_skills end || '.' report
-from m""")
-def q_match_report(fx: Fixtures) -> DataFrame:
+from m"""
+
+
+def match_report_pairs(fx: Fixtures) -> DataFrame:
     return matching.match_report(matching.match_score(_matches(fx)))
 
 
-@register("notification_text", _MATCH_CTE + """
+@register("match_report", per_user_sql(PAIR_SQL["match_report"], [], ["report"]))
+def q_match_report(fx: Fixtures) -> DataFrame:
+    return per_user(match_report_pairs(fx), [], ["report"])
+
+
+PAIR_SQL["notification_text"] = _MATCH_CTE + """
 select user_id, posting_id, 'New match: ' || coalesce(title, 'None') title,
        coalesce(title, 'None') || ' at ' || coalesce(company_name, 'None') || ' · ' || coalesce(region, 'None')
        || ' · Matching skills: ' || case when overlap_skills = '' then '(matched on role title)' else overlap_skills end body,
        url link, 'job_match' kind
-from m""")
-def q_notification_text(fx: Fixtures) -> DataFrame:
+from m"""
+NOTIFY_INTS: list[str] = []
+NOTIFY_TEXTS = ["title", "body", "kind"]
+
+
+def notification_pairs(fx: Fixtures) -> DataFrame:
     return matching.notification_rows(_matches(fx))
 
 
+@register("notification_text", per_user_sql(PAIR_SQL["notification_text"], NOTIFY_INTS, NOTIFY_TEXTS))
+def q_notification_text(fx: Fixtures) -> DataFrame:
+    return per_user(notification_pairs(fx), NOTIFY_INTS, NOTIFY_TEXTS)
+
+
 @register("pending_profiles", """
 select user_id, skills, target_roles, countries from fx_profile where skills is not null and skills <> ''""")
 def q_pending_profiles(fx: Fixtures) -> DataFrame:

@@ -69,6 +69,11 @@ def test_stream_match_equals_batch_notifications(spark, small_dir):
     q = entry.queries()
     s = q["stream_match"](spark, small_dir)
     b = q["notification_text"](spark, small_dir).select(*s.columns)
+    from laborlake.plans import catalog_io, catalog_matching
+    from laborlake.sources.fixtures import Fixtures
+    sp = catalog_io.stream_match_pairs(Fixtures(spark, small_dir))
+    bp = catalog_matching.notification_pairs(Fixtures(spark, small_dir)).select(*sp.columns)
+    assert sorted(map(tuple, sp.collect())) == sorted(map(tuple, bp.collect()))
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
 
 

@@ -45,3 +45,19 @@ def test_every_query_runs_and_entry(spark):
     df = entry.entry(spark)
     assert df.count() >= 0
     assert df.columns == ["skill_name", "postings", "avg_salary", "premium_vs_average"]
+
+
+@pytest.mark.parametrize("name", ["profile_match", "match_score", "match_report", "notification_text"])
+def test_pair_tables_match_oracle(spark, duck, small_dir, name):
+    """The registered matching queries are per-user summaries; the full pair tables are
+    compared here (small tables) against the per-pair SQL."""
+    from laborlake.plans import catalog_matching as cm
+    from laborlake.plans.oracle import with_fx
+    from laborlake.sources.fixtures import Fixtures
+    fn = {"profile_match": cm.profile_match_pairs, "match_score": cm.match_score_pairs,
+          "match_report": cm.match_report_pairs, "notification_text": cm.notification_pairs}[name]
+    sdf = fn(Fixtures(spark, small_dir))
+    cur = duck.execute(with_fx(cm.PAIR_SQL[name]))
+    dcols = [d[0] for d in cur.description]
+    assert sorted(sdf.columns) == sorted(dcols)
+    assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(dcols, cur.fetchall())
