@@ -241,14 +241,26 @@ def materialized_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
         out[name] = spark.read.parquet(f"{base}/{name}")
         return out[name]
 
+    def put_bucketed(name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+        """Bucketed by posting_id (same bucket count for fact and bridge): their joins on
+        posting_id read co-located buckets and need no shuffle."""
+        table = f"laborlake_{name}_{base.rsplit('-', 1)[-1][:12]}"
+        w = df.write.mode("overwrite").option("path", f"{base}/{name}")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.bucketBy(buckets, "posting_id").sortBy("posting_id").saveAsTable(table)
+        out[name] = spark.table(table)
+        return out[name]
+
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     posting = put("posting", posting_raw(t))
     skills = put("posting_skill", posting_skill_raw(t))
     scores = put("scores", posting_scores(posting))
     star = build_star(posting, skills, scores)
     put("dim_company", star.dim_company)
     put("dim_skill", star.dim_skill)
-    put("fact_wide", star.fact_wide)
-    put("bridge", star.bridge)
+    put_bucketed("fact_wide", star.fact_wide, ["is_real"])
+    put_bucketed("bridge", star.bridge)
     _MARTS[key] = out
     return out
 
