@@ -181,8 +181,8 @@ def q_stream_status_merge(fx: Fixtures) -> DataFrame:
     schema = ("message_id long, application_id long, user_id long, status string, occurred_at timestamp_ntz, "
               "company string")
     src = fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src_dir)
-    jobs.run_status_stream(fx.spark, src, sink)
-    return jobs.read_status(fx.spark, sink).select("user_id", "application_id", "status")
+    jobs.run_status_stream_stateful(fx.spark, src, sink)
+    return jobs.read_status_updates(fx.spark, sink).select("user_id", "application_id", "status")
 
 
 # ---------------------------------------------------------------- sources / sinks

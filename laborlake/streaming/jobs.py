@@ -162,3 +162,57 @@ def read_status(spark: SparkSession, sink: str) -> DataFrame:
     allp = spark.read.schema(STATE_SCHEMA + ", batch_id long").parquet(sink)
     last = allp.agg(F.max("batch_id")).scalar()
     return allp.filter(F.col("batch_id") == last).drop("batch_id")
+
+
+# ---------------------------------------------------------------- keyed-state variant
+STATUS_OUT_SCHEMA = ("user_id long, application_id long, status string, rank int, status_at timestamp, "
+                     "first_seen timestamp, messages long")
+STATUS_STATE_SCHEMA = "status string, rank int, status_at timestamp, first_seen timestamp, messages long"
+
+
+def _status_update(key, batches, state):
+    """Per application: fold this batch's messages (arrival order) into the stored
+    status — a message replaces it only with a strictly higher rank."""
+    import pandas as pd
+    if state.exists:
+        status, rank, status_at, first_seen, messages = state.get
+    else:
+        status = rank = status_at = first_seen = None
+        messages = 0
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["occurred_at", "message_id"])
+    for st, at in zip(pdf["status"], pdf["occurred_at"]):
+        r = tracking.STATUS_RANK.get(st, 0)
+        if status is None or r > rank:
+            status, rank, status_at = st, r, at
+        first_seen = at if first_seen is None or at < first_seen else first_seen
+    messages += len(pdf)
+    state.update((status, int(rank), status_at, first_seen, int(messages)))
+    yield pd.DataFrame({"user_id": [key[0]], "application_id": [key[1]], "status": [status], "rank": [int(rank)],
+                        "status_at": [status_at], "first_seen": [first_seen], "messages": [int(messages)]})
+
+
+def run_status_stream_stateful(spark: SparkSession, source: DataFrame, sink: str,
+                               checkpoint: str | None = None) -> None:
+    """Monotone status merge with state kept per (user, application) in the state store
+    (one row per key, no expiry: an application can move up at any time)."""
+    checkpoint = checkpoint or shared_dir(spark, f"status-state-{uuid.uuid4().hex}")
+    msgs = tracking.tracked_filter(source).select(
+        "user_id", "application_id", "status", F.col("occurred_at").cast("timestamp").alias("occurred_at"),
+        "message_id")
+    updates = msgs.groupBy("user_id", "application_id").applyInPandasWithState(
+        _status_update, STATUS_OUT_SCHEMA, STATUS_STATE_SCHEMA, "Update", "NoTimeout")
+
+    def write(df: DataFrame, bid: int) -> None:
+        df.write.mode("overwrite").parquet(f"{sink}/batch_id={bid}")
+
+    q = (updates.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def read_status_updates(spark: SparkSession, sink: str) -> DataFrame:
+    """Current status per key = the update from the latest batch that touched it."""
+    u = spark.read.parquet(sink)
+    latest = F.max(F.struct("batch_id", *[c for c in u.columns if c not in ("batch_id",)])).alias("l")
+    return (u.groupBy("user_id", "application_id").agg(latest)
+             .select("user_id", "application_id", "l.status", "l.rank", "l.status_at", "l.first_seen", "l.messages"))

@@ -126,3 +126,24 @@ def test_profile_match_brute_force_with_hot_pair(spark):
             if len(ov) >= 2 or role:
                 want[(uid, pid)] = (ov, role)
     assert got == want
+
+
+def test_status_stream_variants_agree(spark, small_dir):
+    """foreachBatch upsert variant == keyed-state variant == batch status_merge."""
+    from laborlake.plans import catalog_tracking as ct
+    from laborlake.sources.fixtures import Fixtures
+    fx = Fixtures(spark, small_dir)
+    ev = fx.application_events.withColumn("company", F.concat(F.lit("app-"), F.col("application_id").cast("string")))
+    src_dir = shared_dir(spark, f"cls-{uuid.uuid4().hex}")
+    ev.repartitionByRange(4, "occurred_at").write.parquet(src_dir)
+    schema = ("message_id long, application_id long, user_id long, status string, occurred_at timestamp_ntz, "
+              "company string")
+    mk = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src_dir)
+    a_sink, b_sink = shared_dir(spark, f"a-{uuid.uuid4().hex}"), shared_dir(spark, f"b-{uuid.uuid4().hex}")
+    jobs.run_status_stream(spark, mk(), a_sink)
+    jobs.run_status_stream_stateful(spark, mk(), b_sink)
+    cols = ["user_id", "application_id", "status"]
+    a = sorted(map(tuple, jobs.read_status(spark, a_sink).select(*cols).collect()))
+    b = sorted(map(tuple, jobs.read_status_updates(spark, b_sink).select(*cols).collect()))
+    want = sorted(map(tuple, ct._merged(ct._tracked(fx)).select(*cols).collect()))
+    assert a == want and b == want
