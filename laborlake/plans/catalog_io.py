@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laborlake.functions import messages
-from laborlake.operators import etl, matching, model, tracking
+from laborlake.operators import etl, model
 from laborlake.plans.registry import register
 from laborlake.session import shared_dir
 from laborlake.sources import files

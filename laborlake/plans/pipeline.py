@@ -12,7 +12,6 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from laborlake.operators import etl, model, quality
 from laborlake.operators.star import build_star, stage_postings

@@ -5,7 +5,6 @@ filters into the scan; nothing is cached or collected here.
 """
 from __future__ import annotations
 
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
