@@ -2,10 +2,11 @@
 
 * ``run_match_stream`` — posting events → profile match → in-app notifications, at most
   one per (user, posting).  ``foreachBatch`` re-reads the profile table every batch (the
-  static side follows profile edits), and writes each micro-batch to its own
-  ``batch_id=N`` folder with overwrite: a replayed batch (at-least-once delivery after a
-  failure) rewrites the same folder, and the once-only anti join only looks at *earlier*
-  batches, so replays are idempotent.
+  static side follows profile edits) and stages each micro-batch in its own
+  ``batch_id=N`` folder (overwrite: replay-safe); a second stream de-duplicates the
+  staged rows on (user, posting) with keyed state and appends to an exactly-once sink.
+* ``write_once`` — the same once-only rule as a ``foreachBatch`` writer (anti join with
+  earlier batches), used where a second stream is not wanted.
 * ``run_rate_stream`` — tumbling-window request counts per identity with a watermark
   (bounded state), update mode; counts only grow, so the final count per window is the
   max over emitted updates.
@@ -44,17 +45,17 @@ def _earlier_batches(spark: SparkSession, sink: str, batch_id: int, schema: str)
 NOTIFICATION_SCHEMA = "user_id long, posting_id string, title string, body string, link string, kind string"
 
 
-def match_batch(batch: DataFrame, batch_id: int, load_profiles, load_users, sink: str) -> None:
-    """One micro-batch: decode → match against the *current* profiles → once-only
-    notifications → ``sink/batch_id=N`` (overwrite)."""
-    spark = batch.sparkSession
+def match_batch(batch: DataFrame, batch_id: int, load_profiles, load_users, staging: str) -> None:
+    """One micro-batch: decode → match against the *current* profiles → notification
+    rows → ``staging/batch_id=N`` (overwrite, so a replayed batch rewrites its folder)."""
     events = decode_events(batch)
     postings = events.select("posting_id", "title", F.col("company").alias("company_name"), "region", "url")
     skills = events.select("posting_id", F.explode_outer("required_skills").alias("skill"))
     matches = matching.profile_match(postings.dropDuplicates(["posting_id"]), skills,
                                      load_profiles(), load_users() if load_users else None)
     rows = matching.notification_rows(matches)
-    write_once(rows, batch_id, sink, ["user_id", "posting_id"], NOTIFICATION_SCHEMA)
+    cols = [c.split()[0] for c in NOTIFICATION_SCHEMA.split(", ")]
+    rows.select(*cols).write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
 
 
 def write_once(rows: DataFrame, batch_id: int, sink: str, key: list[str], schema: str) -> None:
@@ -78,12 +79,25 @@ def write_once(rows: DataFrame, batch_id: int, sink: str, key: list[str], schema
 
 def run_match_stream(spark: SparkSession, source: DataFrame, load_profiles, load_users, sink: str,
                      checkpoint: str | None = None) -> None:
+    """Two streaming stages:
+    1. ``foreachBatch`` matching (profiles re-read every batch) → staged notification rows;
+    2. a file stream over the staged rows → ``dropDuplicates(user_id, posting_id)``, whose
+       seen-key set lives in the state store (per-batch cost follows the batch, not the
+       history) → append to an exactly-once file sink.
+    Replays of either stage are absorbed: stage 1 overwrites its batch folder, stage 2
+    drops keys it has already emitted."""
     checkpoint = checkpoint or shared_dir(spark, f"match-stream-{uuid.uuid4().hex}")
-    q = (source.writeStream
-         .foreachBatch(lambda df, bid: match_batch(df, bid, load_profiles, load_users, sink))
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    staging = f"{sink}_staging"
+    q1 = (source.writeStream
+          .foreachBatch(lambda df, bid: match_batch(df, bid, load_profiles, load_users, staging))
+          .option("checkpointLocation", f"{checkpoint}/match")
+          .trigger(availableNow=True).start())
+    q1.awaitTermination()
+    staged = spark.readStream.schema(NOTIFICATION_SCHEMA + ", batch_id long").parquet(staging)
+    once = staged.dropDuplicates(["user_id", "posting_id"])
+    q2 = (once.writeStream.format("parquet").outputMode("append").option("path", sink)
+          .option("checkpointLocation", f"{checkpoint}/once").trigger(availableNow=True).start())
+    q2.awaitTermination()
 
 
 def read_notifications(spark: SparkSession, sink: str) -> DataFrame:
