@@ -145,11 +145,7 @@ def q_stream_notify_once(fx: Fixtures) -> DataFrame:
     sink = _scratch(fx, "notif-out")
     schema = "notification_id long, user_id long, posting_id string, is_read boolean, created_at timestamp_ntz"
     src = fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(src_dir)
-    out_schema = "user_id long, posting_id string, notification_id long"
-    q = (src.writeStream.foreachBatch(
-            lambda df, bid: jobs.write_once(df, bid, sink, ["user_id", "posting_id"], out_schema))
-         .option("checkpointLocation", _scratch(fx, "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    jobs.run_once_stream(fx.spark, src, ["user_id", "posting_id"], sink)
     return fx.spark.read.parquet(sink).select("user_id", "posting_id")
 
 

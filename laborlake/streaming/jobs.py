@@ -230,3 +230,14 @@ def read_status_updates(spark: SparkSession, sink: str) -> DataFrame:
     latest = F.max(F.struct("batch_id", *[c for c in u.columns if c not in ("batch_id",)])).alias("l")
     return (u.groupBy("user_id", "application_id").agg(latest)
              .select("user_id", "application_id", "l.status", "l.rank", "l.status_at", "l.first_seen", "l.messages"))
+
+
+def run_once_stream(spark: SparkSession, source: DataFrame, keys: list[str], sink: str,
+                    checkpoint: str | None = None) -> None:
+    """At most one row per key over the whole stream: ``dropDuplicates`` keeps the seen
+    keys in the state store and the file sink commits each batch exactly once."""
+    checkpoint = checkpoint or shared_dir(spark, f"once-{uuid.uuid4().hex}")
+    q = (source.dropDuplicates(keys).writeStream.format("parquet").outputMode("append")
+         .option("path", sink).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
