@@ -4,12 +4,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import cube_mixing, packing, simhash
+from laborlake.llm import cube_mixing, packing, simhash, suffix_dedup, toxicity
 from laborlake.llm.common import scratch, table
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go; it learns from the same rows as op7."""
+    learnable = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
+    docs = docs.select(*DOCUMENTS)
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), "toxic", learnable)
+    return toxicity.clean(docs, model, threshold=0.3)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
     found = simhash.near_duplicates(docs)
@@ -18,6 +26,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one.join(stay, one["doc_id"].eqNullSafe(stay["id"])).select(*DOCUMENTS)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has; a document with nothing left goes.
+
+    A cut may part a character's bytes; the stray bytes are left out of the text."""
+    got = suffix_dedup.dedup(docs).where("n_removed < n_bytes or n_bytes = 0")
+    kept = got.select(F.col("doc_id").alias("id"), "th", "kept")
+    rest = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "lang", "source").distinct()
+    whole = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(
+        F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
+    same = rest["doc_id"].eqNullSafe(kept["id"]) & (rest["h"] == kept["th"])
+    return (kept.join(rest, same).withColumn("text", whole).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+            .select(*DOCUMENTS))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     copies = cube_mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), "th", "copies")
@@ -32,7 +54,9 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("simhash_near_dedup", near_dedup),
+    ("suffix_dedup", cut_repeats),
     ("mix_sources", mix_sources),
     ("packing", pack_documents),
 ]
