@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from laborlake.llm.common import blocks_for
 
 LENGTH = 50
-CHUNK_BYTES = 8 << 20
-BLOCK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+BLOCK_BYTES = 4 << 20
 HOT_RUNS = 4096
 SHALLOW = 16
 NO_ID = 2 ** 63 - 1
@@ -258,7 +258,7 @@ def _segments(length: int, blocks: int):
         rows = [(next(iter(out), 0), chunk, np.array(found, np.uint32).tobytes(), *(b"",) * 5)]
         for p, segs in out.items():
             data, own, d, start = zip(*segs, strict=True)
-            rows.append((p, chunk, b"", b"".join(data), np.array([len(x) for x in data], np.uint32).tobytes(),
+            rows.append((p, chunk, b"", pa.compress(b"".join(data), codec="zstd", asbytes=True), np.array([len(x) for x in data], np.uint32).tobytes(),
                          np.array(own, np.int64).tobytes(), np.array(d, np.uint32).tobytes(),
                          np.array(start, np.uint32).tobytes()))
         return _rows(_SEGMENTS, rows)
@@ -269,10 +269,12 @@ def _compare(length: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         rows = [(c, f) for c, f in zip(t["chunk"].to_pylist(), t["found"].to_pylist(), strict=True) if f]
         parts = {n: t[n].to_pylist() for n in ("data", "length", "id", "doc", "start")}
-        raw = np.frombuffer(b"".join(parts["data"]) + bytes(8), np.uint8)
-        size = np.concatenate([np.frombuffer(x, np.uint32) for x in parts["length"]]).astype(np.int64)
+        lens = [np.frombuffer(x, np.uint32).astype(np.int64) for x in parts["length"]]
+        size = np.concatenate(lens)
         if not len(size):
             return _rows(_SPANS, rows)
+        raw = np.frombuffer(b"".join(pa.decompress(x, int(n.sum()), codec="zstd", asbytes=True)
+                                     for x, n in zip(parts["data"], lens, strict=True) if len(n)) + bytes(8), np.uint8)
         own, doc, start = (np.concatenate([np.frombuffer(x, k) for x in parts[n]])
                            for n, k in (("id", np.int64), ("doc", np.uint32), ("start", np.uint32)))
         chunk = np.repeat(t["chunk"].to_numpy(), [len(x) // 4 for x in parts["length"]])
