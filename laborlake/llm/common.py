@@ -71,6 +71,20 @@ def per_process(key, make: Callable[[], object]):
     return store[key]
 
 
+def release() -> None:
+    """Hand unused memory of a Python worker back, as workers wait idle between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

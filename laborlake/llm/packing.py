@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborlake.llm.common import per_process
+from laborlake.llm.common import per_process, release
 
 CAPACITY = 1024
-BLOCK_TOKENS = 1 << 19
-CACHED = 600_000
+BLOCK_TOKENS = 1 << 18
+CACHED = 300_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 #: Fixed value: how byte-level BPE splits a text into words.
@@ -201,6 +201,7 @@ def _packer(path: str | None, capacity: int, block_tokens: int, with_ids: bool):
                 if tokens >= block_tokens:
                     yield flush(False)
         yield flush(True)
+        release()
     return run
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborlake.llm.common import settled
+from laborlake.llm.common import release, settled
 from laborlake.llm.graph import components
 
 SHINGLE = 4
@@ -54,6 +54,7 @@ def _fingerprints(shingle: int):
         for b in batches:
             got = np.array([fingerprint(t or "", shingle) for t in b.column(1).to_pylist()], dtype="<u8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view("<i8"))], ["id", "fp"])
+        release()
     return run
 
 
@@ -163,6 +164,7 @@ def _links(radius: int):
         root = linked(cell, fp, radius)
         i = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[root[i]])], ["a", "b"])
+        release()
     return run
 
 

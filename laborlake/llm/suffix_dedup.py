@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborlake.llm.common import blocks_for
+from laborlake.llm.common import blocks_for, release
 
 LENGTH = 50
 CHUNK_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 HOT_RUNS = 4096
 SHALLOW = 16
+#: Parts of a block that are sorted one after another.
+PARTS = 8
 NO_ID = 2 ** 63 - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -172,7 +174,7 @@ def _rows(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
 _NAMES = [("block", pa.int32()), ("chunk", pa.int32()), ("names", pa.binary()), ("runs", pa.binary())]
 _REPEATED = [("chunk", pa.int32()), ("names", pa.binary()), ("hot", pa.binary())]
 _SEGMENTS = [("block", pa.int32()), ("chunk", pa.int32()), ("found", pa.binary()), ("data", pa.binary()),
-             ("length", pa.binary()), ("id", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())]
+             ("parts", pa.binary()), ("length", pa.binary()), ("id", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())]
 _SPANS = [("chunk", pa.int32()), ("spans", pa.binary())]
 
 
@@ -240,13 +242,14 @@ def _segments(length: int, blocks: int):
         name, doc, first, last = name_runs(texts, length)
         at = np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)
         hit = wanted[at] == name
-        name, doc, first, last, hot = name[hit], doc[hit], first[hit], last[hit], hot[at[hit]]
+        doc, first, last, hot = doc[hit], first[hit], last[hit], hot[at[hit]]
         order = np.argsort(doc, kind="stable")
         out: dict[int, list[tuple]] = {}
         seen: dict[bytes, int] = {}
         found: list[tuple[int, int, int]] = []
-        place = (name % np.uint64(blocks)).astype(np.int64)
-        for d, a, b, h, p in zip(*(x[order].tolist() for x in (doc, first, last, hot, place)), strict=True):
+        # Windows that can be equal share their name, so they share its block and part.
+        place = (name % np.uint64(blocks * PARTS)).astype(np.int64)
+        for d, a, b, h, p in zip(*(x[order].tolist() for x in (doc, first, last, hot, place[hit])), strict=True):
             text, own = texts[d], ids[d]
             cuts = [(a, text[a:b + length])] if not h else [(x, text[x:x + length]) for x in range(a, b + 1)]
             for start, data in cuts:
@@ -254,51 +257,74 @@ def _segments(length: int, blocks: int):
                 if (sent := seen.setdefault(data, own)) < own:
                     found.append((d, start, start + len(data)))
                     continue
-                out.setdefault(xxhash.xxh64_intdigest(data) % blocks if h else p, []).append((data, own, d, start))
-        rows = [(next(iter(out), 0), chunk, np.array(found, np.uint32).tobytes(), *(b"",) * 5)]
+                at = xxhash.xxh64_intdigest(data) % (blocks * PARTS) if h else p
+                out.setdefault(at % blocks, []).append((at // blocks, data, own, d, start))
+        rows = [(next(iter(out), 0), chunk, np.array(found, np.uint32).tobytes(), *(b"",) * 6)]
         for p, segs in out.items():
-            data, own, d, start = zip(*segs, strict=True)
-            rows.append((p, chunk, b"", pa.compress(b"".join(data), codec="zstd", asbytes=True), np.array([len(x) for x in data], np.uint32).tobytes(),
-                         np.array(own, np.int64).tobytes(), np.array(d, np.uint32).tobytes(),
-                         np.array(start, np.uint32).tobytes()))
-        return _rows(_SEGMENTS, rows)
+            segs.sort(key=lambda x: x[0])
+            part, data, own, d, start = zip(*segs, strict=True)
+            rows.append((p, chunk, b"", pa.compress(b"".join(data), codec="zstd", asbytes=True),
+                         np.bincount(part, minlength=PARTS).astype(np.uint32).tobytes(),
+                         np.array([len(x) for x in data], np.uint32).tobytes(), np.array(own, np.int64).tobytes(),
+                         np.array(d, np.uint32).tobytes(), np.array(start, np.uint32).tobytes()))
+        result = _rows(_SEGMENTS, rows)
+        del out, seen, rows
+        release()
+        return result
     return run
 
 
+def _covered(data: list[bytes], size, own, doc, start, chunk, length: int) -> Iterator[tuple[int, bytes]]:
+    """(chunk, spans) of the segments' windows that are equal to one of a smaller id."""
+    raw = np.frombuffer(b"".join(data) + bytes(8), np.uint8)
+    begin = np.cumsum(size) - size
+    windows = size - length + 1
+    seg = np.repeat(np.arange(len(size), dtype=np.int32), windows)
+    inner = (np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
+    hit, group = equal_groups(raw, begin[seg] + inner, length)
+    if not len(hit):
+        return
+    least = np.full(int(group.max()) + 1, NO_ID)
+    np.minimum.at(least, group, own[seg[hit]])
+    hit = np.sort(hit[own[seg[hit]] > least[group]])
+    if not len(hit):
+        return
+    s, i = seg[hit], inner[hit]
+    first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (i[1:] != i[:-1] + 1)])
+    last = np.r_[first[1:], len(hit)] - 1
+    spans = np.stack([doc[s[first]], start[s[first]] + i[first], start[s[first]] + i[last] + length], 1).astype(np.uint32)
+    where = chunk[s[first]]
+    order = np.argsort(where, kind="stable")
+    spans, where = spans[order], where[order]
+    cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+    for a, b in zip(cut, np.r_[cut[1:], len(where)], strict=True):
+        yield int(where[a]), spans[a:b].tobytes()
+
+
 def _compare(length: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         rows = [(c, f) for c, f in zip(t["chunk"].to_pylist(), t["found"].to_pylist(), strict=True) if f]
-        parts = {n: t[n].to_pylist() for n in ("data", "length", "id", "doc", "start")}
-        lens = [np.frombuffer(x, np.uint32).astype(np.int64) for x in parts["length"]]
-        size = np.concatenate(lens)
-        if not len(size):
-            return _rows(_SPANS, rows)
-        raw = np.frombuffer(b"".join(pa.decompress(x, int(n.sum()), codec="zstd", asbytes=True)
-                                     for x, n in zip(parts["data"], lens, strict=True) if len(n)) + bytes(8), np.uint8)
-        own, doc, start = (np.concatenate([np.frombuffer(x, k) for x in parts[n]])
-                           for n, k in (("id", np.int64), ("doc", np.uint32), ("start", np.uint32)))
-        chunk = np.repeat(t["chunk"].to_numpy(), [len(x) // 4 for x in parts["length"]])
-        begin = np.cumsum(size) - size
-        windows = size - length + 1
-        seg = np.repeat(np.arange(len(size)), windows)
-        inner = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
-        hit, group = equal_groups(raw, begin[seg] + inner, length)
-        if len(hit):
-            least = np.full(int(group.max()) + 1, NO_ID)
-            np.minimum.at(least, group, own[seg[hit]])
-            hit = np.sort(hit[own[seg[hit]] > least[group]])
-        if len(hit):
-            s, i = seg[hit], inner[hit]
-            edge = np.r_[True, (s[1:] != s[:-1]) | (i[1:] != i[:-1] + 1)]
-            first = np.flatnonzero(edge)
-            last = np.r_[first[1:], len(hit)] - 1
-            spans = np.stack([doc[s[first]], start[s[first]] + i[first], start[s[first]] + i[last] + length], 1).astype(np.uint32)
-            where = chunk[s[first]]
-            order = np.argsort(where, kind="stable")
-            spans, where = spans[order], where[order]
-            cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-            rows += [(int(where[a]), spans[a:b].tobytes()) for a, b in zip(cut, np.r_[cut[1:], len(where)], strict=True)]
-        return _rows(_SPANS, rows)
+        sent = []
+        for r in t.select(["chunk", "data", "parts", "length", "id", "doc", "start"]).to_pylist():
+            if r["length"]:
+                size = np.frombuffer(r["length"], np.uint32).astype(np.int64)
+                sent.append((r["chunk"], pa.decompress(r["data"], int(size.sum()), codec="zstd", asbytes=True),
+                             np.r_[0, np.cumsum(np.frombuffer(r["parts"], np.uint32), dtype=np.int64)], size, np.r_[0, np.cumsum(size)],
+                             np.frombuffer(r["id"], np.int64), np.frombuffer(r["doc"], np.uint32), np.frombuffer(r["start"], np.uint32)))
+        for part in range(PARTS if sent else 0):
+            cols: list[list] = [[] for _ in range(6)]
+            for chunk, data, parts, size, ends, own, doc, start in sent:
+                a, b = parts[part], parts[part + 1]
+                if a < b:
+                    for col, x in zip(cols, (data[ends[a]:ends[b]], size[a:b], own[a:b], doc[a:b], start[a:b],
+                                             np.full(b - a, chunk, np.int32)), strict=True):
+                        col.append(x)
+            if cols[0]:
+                rows += _covered(cols[0], *map(np.concatenate, cols[1:]), length)
+        result = _rows(_SPANS, rows)
+        del sent, rows
+        release()
+        return result
     return run
 
 
