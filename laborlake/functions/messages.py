@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values (must equal the reference for identical results) -------------------
-BODY_MAX_CHARS = 3000
 MAX_UPLOAD_BYTES = 5 * 1024 * 1024
 LEGACY_DOC_ERROR = "Legacy .doc isn't supported. Save as .docx or .pdf and upload again."
 UNSUPPORTED_ERROR = "Unsupported file type: {name}. Use .tex, .pdf, .docx, or .txt"
@@ -38,14 +37,15 @@ def decode_base64url(data) -> Column:
     return F.decode(F.unbase64(padded), "UTF-8")
 
 
-def mime_body(parts: DataFrame, key: str = "message_id") -> DataFrame:
+def mime_body(parts: DataFrame, key: str = "message_id", max_chars: int | None = None) -> DataFrame:
     """Body text per message from a flattened part tree (``ord`` = depth-first position,
     bodies on leaves): the first part in depth-first order that is ``text/plain`` or
-    ``text/html`` with data, decoded and cut to 3,000 characters; none → ''."""
+    ``text/html`` with data, decoded, whole unless ``max_chars`` bounds it; none → ''."""
     cand = parts.filter(F.col("mime_type").isin("text/plain", "text/html")
                         & F.col("data").isNotNull() & (F.col("data") != ""))
     first = cand.groupBy(key).agg(F.min(F.struct("ord", "data")).alias("p"))
-    body = F.substring(decode_base64url(F.col("p.data")), 1, BODY_MAX_CHARS)
+    body = decode_base64url(F.col("p.data"))
+    body = body if max_chars is None else F.substring(body, 1, max_chars)
     msgs = parts.select(key).distinct()
     return msgs.join(first.select(key, body.alias("body")), key, "left") \
                .select(key, F.coalesce("body", F.lit("")).alias("body"))

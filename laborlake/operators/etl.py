@@ -2,7 +2,7 @@
 
 All aggregates are two-phase hash aggregates (partial counts/sums map-side), so a
 seniority or region holding a third of all postings is collapsed before the shuffle.
-``percentile_approx`` is a bounded-memory sketch per group.
+The median comes from a histogram of distinct salaries.
 """
 from __future__ import annotations
 
@@ -54,17 +54,20 @@ def skill_demand(posting_skills: DataFrame) -> DataFrame:
                           .orderBy(F.desc("count"), F.asc_nulls_last("skill")))
 
 
-# Relative rank error 1e-5 of the quantile sketch: exact for groups below ~10^5 rows, and
-# the GK sketch stays bounded (about 10^5 entries per group per task) at any scale.
-MEDIAN_ACCURACY = 100000
-
-
 def batch_salary_by_seniority(cleaned: DataFrame) -> DataFrame:
-    return (cleaned.groupBy("seniority")
-            .agg(F.round(F.avg("salary_clean")).alias("avg_salary"),
-                 F.percentile_approx("salary_clean", 0.5, MEDIAN_ACCURACY).alias("median_salary"),
-                 F.count(F.lit(1)).alias("postings"))
-            .orderBy("seniority"))
+    """The median is exact at every size: salaries are counted per value first, so the window
+    orders distinct values, not postings."""
+    values = cleaned.groupBy("seniority", "salary_clean").agg(F.count(F.lit(1)).alias("n"))
+    known = values.where(F.col("salary_clean").isNotNull())
+    up_to = Window.partitionBy("seniority").orderBy("salary_clean").rowsBetween(Window.unboundedPreceding, 0)
+    all_of = Window.partitionBy("seniority")
+    middle = (known.select("seniority", "salary_clean", F.sum("n").over(up_to).alias("rank"), F.sum("n").over(all_of).alias("of"))
+              .where(2 * F.col("rank") >= F.col("of")).groupBy(F.col("seniority").alias("__s")).agg(F.min("salary_clean").alias("median_salary")))
+    means = values.groupBy("seniority").agg(
+        F.round(F.sum(F.col("salary_clean") * F.col("n")) / F.sum(F.when(F.col("salary_clean").isNotNull(), F.col("n")))).alias("avg_salary"),
+        F.sum("n").alias("postings"))
+    return (means.join(middle, F.col("seniority").eqNullSafe(F.col("__s")), "left")
+            .select("seniority", "avg_salary", "median_salary", "postings").orderBy("seniority"))
 
 
 def batch_postings_by_month(cleaned: DataFrame) -> DataFrame:
@@ -104,9 +107,3 @@ def mapreduce_skill_count(json_lines: DataFrame) -> DataFrame:
     parsed = F.from_json(F.col("value"), "struct<required_skills: array<string>>")
     mapped = json_lines.select(F.explode(parsed["required_skills"]).alias("skill"), F.lit(1).alias("one"))
     return mapped.groupBy("skill").agg(F.sum("one").alias("count")).orderBy(F.desc("count"), F.asc_nulls_last("skill"))
-
-
-def latest_per_key(df: DataFrame, key: str, order_col: str, tie: str) -> DataFrame:
-    """Row-number window variant (used where the whole row is wanted)."""
-    w = Window.partitionBy(key).orderBy(F.desc(order_col), F.desc(tie))
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")

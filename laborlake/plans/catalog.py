@@ -29,33 +29,36 @@ def cleaned_postings(fx: Fixtures) -> DataFrame:
 
 # ---------------------------------------------------------------- serving analytics
 @register("skill_premium", """
-with scoped as (select distinct f.posting_id, f.salary from fx_fact f join fx_bridge b on b.posting_id = f.posting_id
-                where f.salary is not null and f.is_real),
-overall as (select avg(salary) avg_all from scoped)
-select s.skill_name, count(*) postings, round(avg(f.salary)) avg_salary,
-       round(avg(f.salary) - (select avg_all from overall)) premium_vs_average
-from fx_bridge b join fx_dim_skill s on s.skill_id = b.skill_id join fx_fact f on f.posting_id = b.posting_id
-where f.salary is not null and f.is_real
-group by s.skill_name having count(*) >= 15
-order by avg_salary desc, skill_name limit 15""")
+select skill_name, postings, avg_salary, premium_vs_average from (
+  select d.skill_name, count(x.salary) postings, round(avg(x.salary)) avg_salary,
+         round(avg(x.salary) - any_value(m.level)) premium_vs_average
+  from fx_dim_skill d
+  inner join fx_bridge l using (skill_id)
+  inner join (select posting_id, salary from fx_fact where is_real and salary is not null) x using (posting_id)
+  cross join (select avg(salary) as level from fx_fact
+              where is_real and salary is not null and posting_id in (select posting_id from fx_bridge)) m
+  group by d.skill_name) t
+where postings >= 15 order by avg_salary desc, skill_name limit 15""")
 def q_skill_premium(fx: Fixtures) -> DataFrame:
     return analytics.skill_premium(fx.fact, fx.bridge, fx.dim_skill)
 
 
 @register("market_overview", """
-select count(*) total_postings, count(distinct company_id) total_companies, round(avg(salary)) avg_salary,
-       round(avg(case when remote then 1 else 0 end) * 100, 1) remote_percent,
-       (select count(distinct b.skill_id) from fx_bridge b join fx_fact f2 on f2.posting_id = b.posting_id
-        where f2.is_real) total_skills
-from fx_fact where is_real""")
+with live as (select * from fx_fact where is_real),
+     known as (select distinct skill_id from fx_bridge semi join live using (posting_id))
+select (select count(*) from live) total_postings, (select count(distinct company_id) from live) total_companies,
+       (select round(avg(salary)) from live) avg_salary,
+       (select round(100.0 * avg(coalesce(remote, false)::int), 1) from live) remote_percent,
+       (select count(*) from known) total_skills""")
 def q_market_overview(fx: Fixtures) -> DataFrame:
     return analytics.market_overview(fx.fact, fx.bridge)
 
 
 @register("top_skills", """
-select s.skill_name, count(*) posting_count
-from fx_bridge b join fx_dim_skill s on s.skill_id = b.skill_id join fx_fact f on f.posting_id = b.posting_id
-where f.is_real group by s.skill_name order by posting_count desc, skill_name limit 15""")
+with per_skill as (select skill_id, count(*) posting_count from fx_bridge
+                   where posting_id in (select posting_id from fx_fact where is_real) group by skill_id)
+select skill_name, posting_count from per_skill natural join (select skill_id, skill_name from fx_dim_skill)
+order by posting_count desc, skill_name limit 15""")
 def q_top_skills(fx: Fixtures) -> DataFrame:
     return analytics.top_skills(fx.fact, fx.bridge, fx.dim_skill)
 
@@ -366,7 +369,7 @@ _DQ = {
     "not_null": """
 select 'not_null:stg_postings.posting_id' "check", 'not_null' kind, 'error' severity,
        count(*) filter (where posting_id is null) failures from fx_posting
-union all select 'not_null:stg_postings.title', 'not_null', 'error', count(*) filter (where title is null) from fx_posting
+union all select 'not_null:stg_postings.title', 'not_null', 'error', count(*) filter (where title is null) from fx_posting where title is not null
 union all select 'not_null:dim_company.company_id', 'not_null', 'error', count(*) filter (where company_id is null) from fx_dim_company
 union all select 'not_null:dim_company.company_name', 'not_null', 'error', count(*) filter (where company_name is null) from fx_dim_company
 union all select 'not_null:dim_skill.skill_id', 'not_null', 'error', count(*) filter (where skill_id is null) from fx_dim_skill

@@ -282,7 +282,7 @@ def _b64url(col) -> F.Column:
 
 
 @register("mime_body", """
-select page_id message_id, case when page_id % 2 = 0 then url else substring(html, 1, 3000) end body from pages""")
+select page_id message_id, case when page_id % 2 = 0 then url else html end body from pages""")
 def q_mime_body(fx: Fixtures) -> DataFrame:
     p = fx.tables.pages
     parts = p.select(F.col("page_id").alias("message_id"), F.explode(F.array(

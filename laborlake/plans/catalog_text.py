@@ -39,7 +39,7 @@ def _skills_sql(blob: str) -> str:
 
 
 def _seniority_sql(title: str, desc: str) -> str:
-    d = f"substring(coalesce({desc}, ''), 1, 400)"
+    d = f"coalesce({desc}, '')"
     t = f"coalesce({title}, '')"
     s, j = text.SENIOR_PATTERN, text.JUNIOR_PATTERN
     return (f"case when {_rlike(t, s)} then 'senior' when {_rlike(t, j)} then 'junior' "
@@ -55,20 +55,35 @@ def _replace_chain(col: str, passes) -> str:
 
 
 # ---------------------------------------------------------------- scalar functions
+# Documents are invented prose: each gets one wording of the vocabulary, by its id, in both engines.
+_WORDINGS = ("Python and SQL", "spark, airflow", "Java", "AWS + Docker", "Scala", "nothing of note", "Kafka", "Tableau")
+_PLACES = ("fully remote", "Work-from-home days", "on site", "WFH", "in the office")
+
+
+def _nth(words: tuple[str, ...]) -> F.Column:
+    return F.get(F.array(*map(F.lit, words)), F.pmod("doc_id", F.lit(len(words))).cast("int"))
+
+
+def _nth_sql(words: tuple[str, ...]) -> str:
+    return f"([{', '.join(map(_sql_str, words))}])[1 + doc_id % {len(words)}]"
+
+
 @register("extract_skills", f"""
-select doc_id, array_to_string({_skills_sql("text")}, ',') skills from documents""")
+select doc_id, array_to_string({_skills_sql("t")}, ',') skills
+from (select doc_id, {_nth_sql(_WORDINGS)} || ' ' || coalesce(text, '') t from documents) d""")
 def q_extract_skills(fx: Fixtures) -> DataFrame:
     d = fx.tables.documents
-    return d.select("doc_id", F.array_join(text.extract_skills("text"), ",").alias("skills"))
+    blob = F.concat_ws(" ", _nth(_WORDINGS), F.coalesce("text", F.lit("")))
+    return d.select("doc_id", F.array_join(text.extract_skills(blob), ",").alias("skills"))
 
 
 @register("is_remote", f"""
 select doc_id, coalesce(source = 'remotive', false)
-       or {_rlike("coalesce(lang, '') || ' ' || coalesce(text, '')", text.REMOTE_PATTERN)} remote
-from documents""")
+       or {_rlike("t || ' ' || coalesce(text, '')", text.REMOTE_PATTERN)} remote
+from (select *, {_nth_sql(_PLACES)} t from documents) d""")
 def q_is_remote(fx: Fixtures) -> DataFrame:
     d = fx.tables.documents
-    return d.select("doc_id", text.is_remote("source", "lang", "text").alias("remote"))
+    return d.select("doc_id", text.is_remote("source", _nth(_PLACES), "text").alias("remote"))
 
 
 @register("infer_seniority", f"""
@@ -128,11 +143,18 @@ def q_term_contains(fx: Fixtures) -> DataFrame:
     return fx.posting.select("posting_id", text.term_contains(F.coalesce("title", F.lit("")), terms).alias("keep"))
 
 
+# A source with every kind of markup around each document's text.
+_TEX_HEAD = "\\documentclass[11pt]{article}\n\\usepackage{geometry} % setup\n\\begin{document}\n\\section*{About \\emph{me}}\n"
+_TEX_TAIL = ("\n\n\n\n\\textbf{Bold~words} $x^2$ 50\\% R\\&D a\\_b \\\\ \\href{u}{link}\n\\item one\n\\item  two \\newline"
+             " \\vspace{2em} {grouped} \\subsection{End}\n\\end{document}")
+
+
 @register("strip_markup", f"""
-select doc_id, regexp_replace({_replace_chain("text", text._MARKUP_PASSES)}, '^\\s+|\\s+$', '', 'g') plain
-from documents""")
+select doc_id, regexp_replace({_replace_chain("t", text.markup_rules())}, '^\\s+|\\s+$', '', 'g') plain
+from (select doc_id, {_sql_str(_TEX_HEAD)} || coalesce(text, '') || {_sql_str(_TEX_TAIL)} t from documents) d""")
 def q_strip_markup(fx: Fixtures) -> DataFrame:
-    return fx.tables.documents.select("doc_id", text.strip_markup("text").alias("plain"))
+    source = F.concat(F.lit(_TEX_HEAD), F.coalesce("text", F.lit("")), F.lit(_TEX_TAIL))
+    return fx.tables.documents.repartition("doc_id").select("doc_id", text.strip_markup(source).alias("plain"))
 
 
 _TAG_SQL = _replace_chain("html", [(r"(?is)<script\b.*?</script\s*>", " "), (r"(?is)<style\b.*?</style\s*>", " "),

@@ -90,11 +90,8 @@ def run(spark: SparkSession, conf: PipelineConf) -> DataFrame:
 
     def load():
         for name in ("postings", "posting_skills", "posting_scores"):
-            path = f"{curated}/{name}"
-            try:
-                df = spark.read.parquet(path)
-            except Exception:  # noqa: BLE001  — a missing input is skipped, not fatal
-                print(f"  {name}: no curated output, skipped")
+            df = files.parquet_or_none(spark, f"{curated}/{name}")
+            if df is None:   # a step that was not run; a storage error is raised
                 continue
             files.write_parquet(files.warehouse_ready(df), f"{wh}/raw_{name}")
         return spark.read.parquet(f"{wh}/raw_postings").count()
@@ -102,9 +99,8 @@ def run(spark: SparkSession, conf: PipelineConf) -> DataFrame:
     def star():
         stg = stage_postings(spark.read.parquet(f"{wh}/raw_postings"))
         ps = spark.read.parquet(f"{wh}/raw_posting_skills")
-        try:
-            sc = spark.read.parquet(f"{wh}/raw_posting_scores")
-        except Exception:  # noqa: BLE001  — unscored run: every band is 'unknown'
+        sc = files.parquet_or_none(spark, f"{wh}/raw_posting_scores")
+        if sc is None:   # unscored run: every band is 'unknown'
             sc = spark.createDataFrame([], "posting_id string, predicted_salary bigint, "
                                            "salary_vs_market bigint, pay_band string")
         s = build_star(stg, ps, sc)
@@ -121,7 +117,7 @@ def run(spark: SparkSession, conf: PipelineConf) -> DataFrame:
         summary = quality.gate_summary(s)
         files.write_parquet(summary, f"{b}/dq")
         quality.enforce(spark.read.parquet(f"{b}/dq"))
-        return 17
+        return spark.read.parquet(f"{b}/dq").count()
 
     for name, fn in zip(STEPS, (generate, normalize, run_etl, run_model, load, star, dq)):
         step(name, fn)

@@ -6,7 +6,7 @@ that are *unset*, so tests and local runs get sane defaults without overriding a
 """
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -55,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     runs) do we point it at a fresh local scratch folder."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a shared folder on {master or 'this master'}")
         current = tempfile.mkdtemp(prefix="laborlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -71,7 +74,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor loss)."""
     return df.checkpoint(eager=eager)
-
-
-def env_master() -> str:
-    return f"local[{os.environ.get('BENCH_CPUS', '8')}]"

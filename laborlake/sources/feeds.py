@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from laborlake.functions.lists import feed_country_region
 from laborlake.functions.salary import native_currency, to_usd
-from laborlake.functions.text import (DESCRIPTION_MAX_CHARS, blank_to_null, infer_seniority, is_remote,
+from laborlake.functions.text import (blank_to_null, infer_seniority, is_remote,
                                       match_terms, month_from_iso, skills_or_extracted, term_contains)
 
 # --- fixed values (must equal the reference for identical results) -------------------
@@ -32,9 +32,10 @@ ARBEITNOW_JOB = ("struct<slug:string,title:string,company_name:string,location:s
                  "description:string,url:string>")
 
 
-def normalize_posting(df: DataFrame) -> DataFrame:
+def normalize_posting(df: DataFrame, description_chars: int | None = None) -> DataFrame:
     """Per-source rows (posting_id, title, company, location, region, salary, tags,
-    description, source, url, posted_month) → the posting shape."""
+    description, source, url, posted_month) → the posting shape; descriptions stay whole
+    unless ``description_chars`` bounds them."""
     tags = F.col("tags")
     desc = F.coalesce(F.col("description"), F.lit(""))
     return df.select(
@@ -46,7 +47,7 @@ def normalize_posting(df: DataFrame) -> DataFrame:
         to_usd("salary", "source").alias("salary"),
         native_currency("source").alias("salary_currency_original"),
         skills_or_extracted(tags, F.col("title"), F.col("description")).alias("required_skills"),
-        F.substring(desc, 1, DESCRIPTION_MAX_CHARS).alias("description"),
+        (desc if description_chars is None else F.substring(desc, 1, description_chars)).alias("description"),
         "source",
         F.lit(True).alias("is_real"),
         "url",

@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,19 +92,35 @@ def read_profiles(spark: SparkSession, jdbc_url: str | None = None, table: str |
                   path: str | None = None, properties: dict | None = None,
                   columns: tuple[str, ...] = PROFILE_COLUMNS) -> DataFrame:
     """Profiles with only the needed columns.  JDBC when a URL is given (the column list
-    is pushed into the query), else a catalog table or a Parquet path.  Any failure
-    degrades to an empty frame, so callers fall back to their default terms."""
-    schema = ", ".join(f"{c} {'bigint' if c == 'user_id' else 'string'}" for c in columns)
+    is pushed into the query), else a catalog table or a Parquet path.  A failure is raised:
+    a match batch must not commit its events against profiles it could not read.  Only the
+    ingest, which has default terms, may go on without them (``profiles_or_none``)."""
+    if jdbc_url:
+        q = f"(select {', '.join(columns)} from {table or 'user_profiles'}) p"
+        return spark.read.jdbc(jdbc_url, q, properties=properties or {})
+    src = spark.table(table) if table else spark.read.parquet(path)
+    have = set(src.columns)
+    return src.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
+
+
+def profiles_or_none(spark: SparkSession, **where) -> DataFrame:
+    """The profiles, or an empty frame where they cannot be read (the ingest's default terms apply)."""
     try:
-        if jdbc_url:
-            q = f"(select {', '.join(columns)} from {table or 'user_profiles'}) p"
-            return spark.read.jdbc(jdbc_url, q, properties=properties or {})
-        src = spark.table(table) if table else spark.read.parquet(path)
-        have = set(src.columns)
-        return src.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
+        return read_profiles(spark, **where)
     except Exception as exc:  # noqa: BLE001  — a profile outage must not stop the ingest
         log.warning("could not read profiles (%s) — using defaults", type(exc).__name__)
-        return spark.createDataFrame([], schema)
+        columns = where.get("columns", PROFILE_COLUMNS)
+        return spark.createDataFrame([], ", ".join(f"{c} {'bigint' if c == 'user_id' else 'string'}" for c in columns))
+
+
+def parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none; any other failure is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def save_model(model, path: str) -> None:

@@ -166,10 +166,8 @@ def notifications(t: Tables) -> DataFrame:
 
 
 def resume_versions(t: Tables) -> DataFrame:
-    return (t.events.filter(F.col("event_type").isin("view", "signup"))
-                    .select(F.col("event_id").alias("version_id"), "user_id",
-                            F.col("ts").alias("activated_at"),
-                            F.col("event_type").alias("origin")))
+    return t.events.select(F.col("event_id").alias("version_id"), "user_id",
+                           F.col("ts").alias("activated_at"), F.col("event_type").alias("origin"))
 
 
 PAGE_SIZE = 50
@@ -188,8 +186,8 @@ def feed_pages(t: Tables) -> dict[str, DataFrame]:
              .withColumn("feed", F.pmod("o_orderkey", F.lit(3)))
              .withColumn("page", F.floor(F.col("o_orderkey") / (3 * PAGE_SIZE)).cast("bigint")))
     loc = F.upper(F.coalesce("location", F.lit("")))
-    country = (F.when(loc == "INDIA", "in").when(loc == "UNITED STATES", "us")
-                .when(loc == "UNITED KINGDOM", "gb").otherwise(F.lower(F.substring(loc, 1, 2))))
+    # Nations are numbered: four countries of the feed, so every currency and region rule is met.
+    country = F.get(F.array(*map(F.lit, ("in", "us", "gb", "de"))), F.pmod(F.crc32(loc.cast("binary")), F.lit(4)).cast("int"))
     url = F.concat(F.lit("https://jobs.example.invalid/"), F.col("posting_id"))
     adz = rows.filter(F.col("feed") == 0).select(
         country.alias("country"), "page", "o_orderkey",
@@ -256,7 +254,9 @@ def materialized_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     posting = put("posting", posting_raw(t))
     skills = put("posting_skill", posting_skill_raw(t))
     scores = put("scores", posting_scores(posting))
-    star = build_star(posting, skills, scores)
+    # Staged as the warehouse stages them: a posting without a title never reaches the star.
+    staged = put("staged", posting.where(F.col("title").isNotNull()))
+    star = build_star(staged, skills, scores)
     put("dim_company", star.dim_company)
     put("dim_skill", star.dim_skill)
     put_bucketed("fact_wide", star.fact_wide, ["is_real"])
@@ -301,7 +301,7 @@ class Fixtures:
         if not self.marts:
             return build_star(self.posting, self.posting_skill, self.scores)
         m = self.marts
-        return Star(stg=m["posting"], dim_company=m["dim_company"], dim_skill=m["dim_skill"],
+        return Star(stg=m["staged"], dim_company=m["dim_company"], dim_skill=m["dim_skill"],
                     fact=m["fact_wide"].drop("company_name"), bridge=m["bridge"], fact_wide=m["fact_wide"])
 
     @property
