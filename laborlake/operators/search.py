@@ -11,6 +11,7 @@ join runs *after* the top-k, on at most ``offset + limit`` rows.
 """
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -59,9 +60,9 @@ def _items(text: str | None) -> list[str]:
 
 def skill_postings(bridge: DataFrame, dim_skill: DataFrame, names: list[str]) -> DataFrame:
     """(posting_id, skill_id) rows of the bridge whose skill name is in ``names``.
-    The name filter hits the (small) dimension first; the bridge side is a semi join."""
-    ids = dim_skill.filter(F.col("skill_name").isin(names)).select("skill_id")
-    return bridge.join(ids, "skill_id", "left_semi")
+    A skill's key is the hash of its name, so the names become key literals: the filter is
+    pushed to the bridge's scan and its bucketing stays, without a join on a hot skill."""
+    return bridge.where(F.col("skill_id").isin([hashlib.md5(n.encode()).hexdigest() for n in names]))
 
 
 def predicates(spec: SearchSpec) -> list[Column]:
