@@ -58,8 +58,10 @@ def test_seniority_and_remote(spark):
                                 ("Engineer", "Our principal architect", "adzuna_us"),
                                 ("Engineer", "x" * 500 + " senior", "remotive"),
                                 ("Work-from-home Engineer", None, "adzuna_gb")], "t string, d string, s string")
-    rows = df.select(text.infer_seniority("t", "d"), text.is_remote("s", "t", "d")).collect()
-    assert [r[0] for r in rows] == ["senior", "junior", "senior", "mid", "mid"]
+    rows = df.select(text.infer_seniority("t", "d"), text.is_remote("s", "t", "d"),
+                     text.infer_seniority("t", "d", description_chars=400)).collect()
+    assert [r[0] for r in rows] == ["senior", "junior", "senior", "senior", "mid"]
+    assert [r[2] for r in rows] == ["senior", "junior", "senior", "mid", "mid"]
     assert [r[1] for r in rows] == [False, False, False, True, True]
 
 
