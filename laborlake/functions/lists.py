@@ -51,10 +51,6 @@ def csv_list(col, lower: bool = True) -> Column:
     return F.filter(items, lambda s: s != "")
 
 
-def csv_set(col) -> Column:
-    return F.array_distinct(csv_list(col))
-
-
 def list_to_csv(col, sep: str = ", ") -> Column:
     """array → sep-joined trimmed non-blank items, blank result → NULL."""
     items = F.filter(F.transform(_c(col), lambda s: F.trim(s)), lambda s: s != "")

@@ -14,8 +14,14 @@ from laborlake.functions.salary import clean_salary
 
 
 def dedupe_postings(raw: DataFrame, key: str | list[str] = "posting_id") -> DataFrame:
-    """One arbitrary row per key (hash aggregate with map-side first())."""
-    return raw.dropDuplicates([key] if isinstance(key, str) else list(key))
+    """One row per key: the smallest by its other columns, in their order, so a task that
+    runs again keeps the same row."""
+    keys = [key] if isinstance(key, str) else list(key)
+    others = [c for c in raw.columns if c not in keys]
+    if not others:
+        return raw.distinct()
+    first = F.min(F.struct(*others)).alias("__first")
+    return raw.groupBy(*keys).agg(first).select(*[c if c in keys else F.col(f"__first.{c}").alias(c) for c in raw.columns])
 
 
 def dedupe_deterministic(raw: DataFrame, key: str, order_cols: list[str], keep: str = "min") -> DataFrame:

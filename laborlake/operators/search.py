@@ -21,7 +21,6 @@ from laborlake.functions.lists import provenance_label
 
 # --- fixed values (must equal the reference for identical results) -------------------
 DEFAULT_LIMIT = 25
-MAX_LIMIT = 100
 AGENT_LIMIT_CAP = 25
 PAY_BAND_OPTIONS = ("above_market", "at_market", "below_market")
 RELAXED_NOTE = ("No job TITLE matched '{q}', so the title filter was dropped and the "
@@ -49,10 +48,6 @@ class SearchSpec:
     limit: int = DEFAULT_LIMIT
     offset: int = 0
 
-    def __post_init__(self):
-        if self.limit > MAX_LIMIT:
-            raise ValueError(f"limit must be <= {MAX_LIMIT}")
-
 
 def _items(text: str | None) -> list[str]:
     return [s.strip() for s in (text or "").split(",") if s.strip()]
@@ -147,13 +142,13 @@ def search_ranked(fact: DataFrame, bridge: DataFrame, dim_skill: DataFrame, dim_
 
 def with_company_names(page: DataFrame, dim_company: DataFrame) -> DataFrame:
     """Company names for a result page.  The wide fact already carries the name; for a
-    narrow fact, the dimension is first cut to the page's ids with a broadcast semi join
-    (the page has at most MAX_LIMIT rows), so the dimension is scanned, never shuffled."""
+    narrow fact, the dimension is first cut to the page's ids with a semi join; the page's
+    measured size decides whether either join broadcasts."""
     if "company_name" in page.columns:
         return page
-    ids = F.broadcast(page.select("company_id").filter(F.col("company_id").isNotNull()))
+    ids = page.select("company_id").filter(F.col("company_id").isNotNull())
     names = dim_company.select("company_id", "company_name").join(ids, "company_id", "left_semi")
-    return page.join(F.broadcast(names), "company_id", "left")
+    return page.join(names, "company_id", "left")
 
 
 def search_relaxed(fact: DataFrame, bridge: DataFrame, dim_skill: DataFrame, dim_company: DataFrame,
@@ -189,7 +184,7 @@ def job_details(fact: DataFrame, bridge: DataFrame, dim_skill: DataFrame, dim_co
                             F.coalesce("required_skills", F.array().cast("array<string>"))))
 
 
-def job_lookup(fact, bridge, dim_skill, dim_company, posting_id: str) -> DataFrame:
+def job_lookup(fact, bridge, dim_skill, dim_company, posting_id: str | Column) -> DataFrame:
     """One posting (filter pushed to the scan); empty frame = not found."""
     one = fact.filter(F.col("posting_id") == posting_id)
     return job_details(one, bridge.filter(F.col("posting_id") == posting_id), dim_skill, dim_company)

@@ -108,13 +108,25 @@ def tracked_filter(classified: DataFrame, category: str = "status", company: str
                              & (F.trim(F.coalesce(F.col(company), F.lit(""))) != ""))
 
 
+def tracked_counts(classified: DataFrame, category: str = "status", company: str = "company") -> DataFrame:
+    """Per user: messages that count as applications, and those skipped."""
+    known = F.coalesce(F.col(category).isin(*TRACKED), F.lit(False)) & (F.trim(F.coalesce(F.col(company), F.lit(""))) != "")
+    return classified.groupBy("user_id").agg(F.count_if(known).alias("tracked"), F.count_if(~known).alias("skipped"))
+
+
+def company_status(classified: DataFrame) -> DataFrame:
+    """Status per (user, company in lower case) over the tracked messages; the frame may be a stream."""
+    keyed = tracked_filter(classified).withColumn("company_key", F.lower(F.trim("company")))
+    return status_merge(keyed, ["user_id", "company_key"], ["occurred_at", "message_id"])
+
+
 def status_merge(messages: DataFrame, key_cols: list[str], order_cols: list[str],
                  status: str = "status") -> DataFrame:
     """Current application status per key: status never moves down the rank and an
     equal rank keeps the older status ⇒ the earliest message of the highest rank.
     One aggregate of a struct per key (partial aggregation keeps one candidate per task)."""
     first_at = order_cols[0]
-    neg = [(-F.col(c).cast("double")) if c != first_at else -F.unix_micros(F.col(c).cast("timestamp"))
+    neg = [-F.col(c) if c != first_at else -F.unix_micros(F.col(c).cast("timestamp"))
            for c in order_cols]
     best = F.max(F.struct(rank_of(status).alias("rank"), *[n.alias(f"o{i}") for i, n in enumerate(neg)],
                           F.col(status).alias("status"), F.col(first_at).alias("at")))
@@ -181,8 +193,6 @@ def latest_n(df: DataFrame, key: str, order_col: str, tie: str, n: int) -> DataF
 
 def unread_notifications(notifications: DataFrame, unread_only: bool = True,
                          limit: int = NOTIFICATION_PAGE) -> DataFrame:
-    if limit > 100:
-        raise ValueError("limit must be <= 100")
     src = notifications.filter(~F.col("is_read")) if unread_only else notifications
     return latest_n(src, "user_id", "created_at", "notification_id", limit)
 

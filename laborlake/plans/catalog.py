@@ -333,6 +333,19 @@ def q_job_lookup(fx: Fixtures) -> DataFrame:
                     F.array_join("required_skills", ",").alias("required_skills"))
 
 
+@register("job_lookup_one", """
+select f.posting_id, f.title, c.company_name, f.region, f.salary, f.pay_band,
+       coalesce((select string_agg(s.skill_name, ',' order by s.skill_name) from fx_bridge b
+                 join fx_dim_skill s on s.skill_id = b.skill_id where b.posting_id = f.posting_id), '') required_skills
+from fx_fact f left join fx_dim_company c on c.company_id = f.company_id
+where f.posting_id = (select max(posting_id) from fx_fact)""")
+def q_job_lookup_one(fx: Fixtures) -> DataFrame:
+    newest = fx.fact.agg(F.max("posting_id")).scalar()
+    d = search.job_lookup(fx.fact_wide, fx.bridge, fx.dim_skill, fx.dim_company, newest)
+    return d.select("posting_id", "title", "company_name", "region", "salary", "pay_band",
+                    F.array_join("required_skills", ",").alias("required_skills"))
+
+
 @register("filter_options", """
 select 'skill' option, skill_name value, posting_count n from fx_dim_skill
 union all select distinct 'region', region, cast(null as bigint) from fx_fact where region is not null

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from laborlake.functions import messages
 from laborlake.operators import etl, model
+from laborlake.plans.catalog_tracking import COMPANY_MERGE_SQL, classified_messages
 from laborlake.plans.registry import register
 from laborlake.session import shared_dir
 from laborlake.sources import files
@@ -41,11 +42,14 @@ def q_ml_features(fx: Fixtures) -> DataFrame:
     return model.features_table(_model_input(fx))
 
 
-@register("ml_split_guard")
+@register("ml_split_guard", f"""
+select count(*) filter (where substr(md5(posting_id), 1, 8) < '{model.TRAIN_BELOW}') train_rows,
+       count(*) filter (where substr(md5(posting_id), 1, 8) >= '{model.TRAIN_BELOW}') test_rows, count(*) eligible_rows
+from fx_clean where salary_clean is not null and is_real""")
 def q_ml_split_guard(fx: Fixtures) -> DataFrame:
     train, test, total = model.split_guard(_model_input(fx), real_only=True)
     return train.agg(F.count(F.lit(1)).alias("train_rows")).select(
-        "train_rows", test.agg(F.count(F.lit(1))).scalar().alias("test_rows"), F.lit(total).alias("eligible_rows"))
+        "train_rows", test.agg(F.count(F.lit(1))).scalar().alias("test_rows"), F.lit(total).cast("bigint").alias("eligible_rows"))
 
 
 @register("ml_train_eval")
@@ -85,7 +89,9 @@ def q_stream_publish(fx: Fixtures) -> DataFrame:
                      F.array_join(F.coalesce("required_skills", F.array().cast("array<string>")), ",").alias("skills"))
 
 
-@register("src_kafka_events")
+@register("src_kafka_events", """
+select f.posting_id, f.title, c.company_name company, f.region from fx_fact f
+left join fx_dim_company c on c.company_id = f.company_id""")
 def q_src_kafka_events(fx: Fixtures) -> DataFrame:
     path, sink = _events_dir(fx), _scratch(fx, "events-copy")
     src = events.subscribe(fx.spark, path=path)
@@ -95,12 +101,17 @@ def q_src_kafka_events(fx: Fixtures) -> DataFrame:
     return events.decode_events(fx.spark.read.parquet(sink)).select("posting_id", "title", "company", "region")
 
 
-@register("sink_kafka_events")
+@register("sink_kafka_events", """
+select f.posting_id "key",
+       '{"posting_id":"' || f.posting_id || '","title":"' || f.title || '","company":"' || c.company_name
+       || '","region":"' || f.region || '"}' "value",
+       (select count(*) from fx_fact) published
+from fx_fact f left join fx_dim_company c on c.company_id = f.company_id""")
 def q_sink_kafka_events(fx: Fixtures) -> DataFrame:
     path = _scratch(fx, "events")
     n = events.publish(fx.fact_wide, path=path)
     return fx.spark.read.schema(events.RECORD_SCHEMA).json(path).select(
-        "key", "value", F.lit(n).alias("published"))
+        "key", "value", F.lit(n).cast("bigint").alias("published"))
 
 
 def _match_stream(fx: Fixtures, copies: int) -> DataFrame:
@@ -145,7 +156,7 @@ def q_stream_notify_once(fx: Fixtures) -> DataFrame:
     sink = _scratch(fx, "notif-out")
     schema = "notification_id long, user_id long, posting_id string, is_read boolean, created_at timestamp_ntz"
     src = fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(src_dir)
-    jobs.run_once_stream(fx.spark, src, ["user_id", "posting_id"], sink)
+    jobs.run_once_stream(fx.spark, src, ["user_id", "posting_id"], "notification_id", sink)
     return fx.spark.read.parquet(sink).select("user_id", "posting_id")
 
 
@@ -164,21 +175,15 @@ def q_stream_rate(fx: Fixtures) -> DataFrame:
                       F.col("window_end").cast("timestamp_ntz").alias("window_end"), "requests")
 
 
-@register("stream_status_merge", """
-select user_id, application_id,
-       first(status order by case status when 'applied' then 0 when 'interview_invite' then 1 when 'offer' then 2
-             when 'rejected' then 3 else 0 end desc, occurred_at, message_id) status
-from fx_application_event where status in ('applied', 'rejected', 'interview_invite', 'offer')
-group by user_id, application_id""")
+@register("stream_status_merge", COMPANY_MERGE_SQL)
 def q_stream_status_merge(fx: Fixtures) -> DataFrame:
+    """The messages arrive in files whose order is not that of their times."""
     src_dir, sink = _scratch(fx, "classified"), _scratch(fx, "status")
-    ev = fx.application_events.withColumn("company", F.concat(F.lit("app-"), F.col("application_id").cast("string")))
-    ev.repartitionByRange(6, "occurred_at").write.parquet(src_dir)
-    schema = ("message_id long, application_id long, user_id long, status string, occurred_at timestamp_ntz, "
-              "company string")
-    src = fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src_dir)
-    jobs.run_status_stream_stateful(fx.spark, src, sink)
-    return jobs.read_status_updates(fx.spark, sink).select("user_id", "application_id", "status")
+    classified_messages(fx).repartition(6, "message_id").write.parquet(src_dir)
+    src = fx.spark.readStream.schema(fx.spark.read.parquet(src_dir).schema).option("maxFilesPerTrigger", 2).parquet(src_dir)
+    jobs.run_status_stream(fx.spark, src, sink)
+    return jobs.read_status(fx.spark, sink).select("user_id", "company_key", "status", "rank", "first_seen",
+                                                   "status_at", "messages")
 
 
 # ---------------------------------------------------------------- sources / sinks

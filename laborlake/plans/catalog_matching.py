@@ -209,10 +209,17 @@ def q_country_codes(fx: Fixtures) -> DataFrame:
     return matching.country_codes(fx.profiles, ["DE"])
 
 
-@register("notify_once", """
+NOTIFIED_BEFORE = "2024-01-15 00:00:00"
+
+
+@register("notify_once", f"""
 select user_id, posting_id, notification_id, is_read, created_at from (
   select *, row_number() over (partition by user_id, posting_id order by created_at, notification_id) rn
-  from fx_notification) q where rn = 1""")
+  from fx_notification n
+  where not exists (select 1 from fx_notification h where h.created_at < timestamp '{NOTIFIED_BEFORE}'
+                    and h.user_id = n.user_id and h.posting_id = n.posting_id)) q where rn = 1""")
 def q_notify_once(fx: Fixtures) -> DataFrame:
-    return matching.notify_once(fx.notifications).select("user_id", "posting_id", "notification_id",
+    """Pairs notified before the instant are the history; all notifications arrive (again)."""
+    known = fx.notifications.where(F.col("created_at") < F.lit(NOTIFIED_BEFORE).cast("timestamp_ntz"))
+    return matching.notify_once(fx.notifications, known).select("user_id", "posting_id", "notification_id",
                                                           "is_read", "created_at")

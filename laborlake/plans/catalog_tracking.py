@@ -15,9 +15,16 @@ _RANK_SQL = ("case status when 'applied' then 0 when 'recruiter_outreach' then 0
              "when 'offer' then 2 when 'rejected' then 3 else 0 end")
 
 
+def classified_messages(fx: Fixtures) -> DataFrame:
+    """Messages with a company written in either case; every 13th one names none."""
+    mid, app = F.col("message_id"), F.col("application_id").cast("string")
+    name = F.when(mid % 13 == 0, F.lit("  ")).when(mid % 2 == 0, F.concat(F.lit("App-"), app)) \
+        .otherwise(F.concat(F.lit(" app-"), app))
+    return fx.application_events.withColumn("company", name)
+
+
 def _tracked(fx: Fixtures) -> DataFrame:
-    ev = fx.application_events.withColumn("company", F.concat(F.lit("app-"), F.col("application_id").cast("string")))
-    return tracking.tracked_filter(ev)
+    return tracking.tracked_filter(classified_messages(fx))
 
 
 def _merged(events: DataFrame) -> DataFrame:
@@ -33,8 +40,17 @@ select user_id, application_id,
        first(status order by {_RANK_SQL} desc, occurred_at, message_id) status,
        max({_RANK_SQL}) rank, min(occurred_at) first_seen,
        first(occurred_at order by {_RANK_SQL} desc, occurred_at, message_id) status_at, count(*) messages
-from fx_application_event where status in ('applied', 'rejected', 'interview_invite', 'offer') {{extra}}
+from fx_application_event
+where status in ('applied', 'rejected', 'interview_invite', 'offer') and message_id % 13 <> 0 {{extra}}
 group by user_id, application_id"""
+COMPANY_MERGE_SQL = f"""
+select user_id, 'app-' || cast(application_id as varchar) company_key,
+       first(status order by {_RANK_SQL} desc, occurred_at, message_id) status,
+       cast(max({_RANK_SQL}) as integer) rank, min(occurred_at) first_seen,
+       first(occurred_at order by {_RANK_SQL} desc, occurred_at, message_id) status_at, count(*) messages
+from fx_application_event
+where status in ('applied', 'rejected', 'interview_invite', 'offer') and message_id % 13 <> 0
+group by all"""
 
 
 @register("application_funnel", """
@@ -89,14 +105,22 @@ def q_events_apps(fx: Fixtures) -> DataFrame:
 
 @register("tracked_filter", """
 select message_id, application_id, status from fx_application_event
-where status in ('applied', 'rejected', 'interview_invite', 'offer')""")
+where status in ('applied', 'rejected', 'interview_invite', 'offer') and message_id % 13 <> 0""")
 def q_tracked_filter(fx: Fixtures) -> DataFrame:
     return _tracked(fx).select("message_id", "application_id", "status")
 
 
-@register("status_merge", _MERGE_SQL.format(extra=""))
+@register("tracked_counts", """
+select user_id, count(*) filter (where tracked) tracked, count(*) filter (where not tracked) skipped
+from (select user_id, status in ('applied', 'rejected', 'interview_invite', 'offer') and message_id % 13 <> 0 tracked
+      from fx_application_event) q group by user_id""")
+def q_tracked_counts(fx: Fixtures) -> DataFrame:
+    return tracking.tracked_counts(classified_messages(fx))
+
+
+@register("status_merge", COMPANY_MERGE_SQL)
 def q_status_merge(fx: Fixtures) -> DataFrame:
-    return _merged(_tracked(fx))
+    return tracking.company_status(classified_messages(fx))
 
 
 @register("status_change_events", f"""
@@ -131,10 +155,15 @@ def q_new_messages(fx: Fixtures) -> DataFrame:
 
 
 @register("event_once", f"""
-select message_id, application_id, user_id, status, occurred_at from fx_application_event""")
+select message_id, application_id, user_id,
+       case when occurred_at < timestamp '{SNAPSHOT_CUTOFF}' then 'recruiter_outreach' else status end status, occurred_at
+from fx_application_event""")
 def q_event_once(fx: Fixtures) -> DataFrame:
+    """Known ids keep their stored status; of a new id's two deliveries the earlier stays."""
     ev = fx.application_events
-    return tracking.event_once(_cut(ev, "occurred_at"), ev).select(
+    known = _cut(ev, "occurred_at").withColumn("status", F.lit("recruiter_outreach"))
+    again = ev.withColumn("status", F.lit("rejected")).withColumn("occurred_at", F.expr("occurred_at + interval 1 hour"))
+    return tracking.event_once(known, ev.unionByName(again)).select(
         "message_id", "application_id", "user_id", "status", "occurred_at")
 
 
@@ -204,10 +233,14 @@ def q_dedupe_keep_last(fx: Fixtures) -> DataFrame:
     return out.select("user_id", "version_id", "activated_at", F.col("title").alias("origin"))
 
 
-@register("dedupe_postings", "select distinct l_orderkey, l_linenumber from lineitem")
+@register("dedupe_postings", """
+select l_orderkey, l_linenumber, l_partkey, l_quantity from (
+  select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) rn
+  from lineitem) q where rn = 1""")
 def q_dedupe_postings(fx: Fixtures) -> DataFrame:
-    li = fx.tables.lineitem
-    return etl.dedupe_postings(li, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+    """Orders repeat in ``lineitem``: one differing row of each stays."""
+    return etl.dedupe_postings(fx.tables.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"),
+                               "l_orderkey")
 
 
 @register("resume_versions", """

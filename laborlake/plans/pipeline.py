@@ -68,7 +68,8 @@ def run(spark: SparkSession, conf: PipelineConf) -> DataFrame:
 
     def run_etl():
         raw = files.read_jsonl(spark, f"{landing}/*")
-        cleaned = etl.clean_postings(raw)
+        files.write_parquet(etl.clean_postings(raw), f"{b}/cleaned")
+        cleaned = spark.read.parquet(f"{b}/cleaned")
         files.write_parquet(cleaned.drop("required_skills"), f"{curated}/postings")
         files.write_parquet(etl.posting_skill_rows(cleaned), f"{curated}/posting_skills")
         c = spark.read.parquet(f"{curated}/postings")
@@ -89,7 +90,7 @@ def run(spark: SparkSession, conf: PipelineConf) -> DataFrame:
         return spark.read.parquet(f"{curated}/posting_scores").count()
 
     def load():
-        for name in ("postings", "posting_skills", "posting_scores"):
+        for name in (*files.CURATED_OUTPUTS, "posting_scores"):
             df = files.parquet_or_none(spark, f"{curated}/{name}")
             if df is None:   # a step that was not run; a storage error is raised
                 continue

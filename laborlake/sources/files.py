@@ -3,7 +3,6 @@ reader, model and metrics artefacts.  All writes are distributed (one file per t
 nothing is funnelled through the driver."""
 from __future__ import annotations
 
-import json
 import logging
 
 from pyspark.errors import AnalysisException
@@ -130,8 +129,3 @@ def save_model(model, path: str) -> None:
 def save_metrics(metrics: DataFrame, path: str) -> None:
     """Metrics are a handful of rows: one JSON file."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
-
-
-def metrics_json(metrics: DataFrame) -> str:
-    return json.dumps({r["model"]: {k: v for k, v in r.asDict().items() if k != "model"}
-                       for r in metrics.collect()}, indent=2)

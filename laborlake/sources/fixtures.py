@@ -30,7 +30,6 @@ from laborlake.session import shared_dir
 from laborlake.sources.tables import Tables
 
 # Fixed values of the fixture mapping (must equal the oracle SQL).
-PREDICTED_SALARY = 250000
 APPLICATION_MODULUS = 1500
 USER_MODULUS = 20
 
@@ -94,11 +93,13 @@ def posting_raw(t: Tables) -> DataFrame:
 
 
 def posting_scores(posting: DataFrame) -> DataFrame:
-    """Stand-in for the model's batch scores: a flat prediction per salaried posting."""
-    vs = F.col("salary") - F.lit(PREDICTED_SALARY)
-    return (posting.filter(F.col("salary").isNotNull())
-                   .select("posting_id",
-                           F.lit(PREDICTED_SALARY).cast("bigint").alias("predicted_salary"),
+    """Stand-in for the model's batch scores: a salaried posting's prediction is the mean
+    salary (whole units, rounded down) of its seniority and region."""
+    paid = posting.filter(F.col("salary").isNotNull())
+    market = paid.groupBy("seniority", "region").agg(F.expr("sum(salary) div count(salary)").alias("predicted_salary"))
+    vs = F.col("salary") - F.col("predicted_salary")
+    return (paid.join(market, ["seniority", "region"])
+                   .select("posting_id", "predicted_salary",
                            vs.alias("salary_vs_market"),
                            pay_band(vs).alias("pay_band")))
 

@@ -28,7 +28,3 @@ class Tables:
         if name in TABLE_NAMES:
             return self.read(name)
         raise AttributeError(name)
-
-    def register_views(self) -> None:
-        for name in TABLE_NAMES:
-            self.read(name).createOrReplaceTempView(name)

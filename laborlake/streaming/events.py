@@ -7,7 +7,7 @@ JSON files in a shared folder and are read back with a file stream source.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 TOPIC = "posting.discovered"
@@ -46,7 +46,8 @@ def publish(postings: DataFrame, path: str | None = None, bootstrap: str | None
             topic: str = TOPIC) -> int:
     """Write one event per posting; returns the number of records written.  A missing
     broker never fails the load: no connector and no path → 0."""
-    records = encode_events(postings)
+    written = Observation()
+    records = encode_events(postings).observe(written, F.count(F.lit(1)).alias("records"))
     spark = postings.sparkSession
     if bootstrap and kafka_available(spark):
         records.write.format("kafka").option("kafka.bootstrap.servers", bootstrap) \
@@ -55,7 +56,7 @@ def publish(postings: DataFrame, path: str | None = None, bootstrap: str | None
         records.write.mode("append").json(path)
     else:
         return 0
-    return records.count()
+    return written.get["records"]
 
 
 def subscribe(spark: SparkSession, path: str | None = None, bootstrap: str | None = None,

@@ -5,13 +5,11 @@
   static side follows profile edits) and stages each micro-batch in its own
   ``batch_id=N`` folder (overwrite: replay-safe); a second stream de-duplicates the
   staged rows on (user, posting) with keyed state and appends to an exactly-once sink.
-* ``write_once`` — the same once-only rule as a ``foreachBatch`` writer (anti join with
-  earlier batches), used where a second stream is not wanted.
 * ``run_rate_stream`` — tumbling-window request counts per identity with a watermark
   (bounded state), update mode; counts only grow, so the final count per window is the
   max over emitted updates.
-* ``run_status_stream`` — monotone application status: each batch merges the previous
-  state (which acts as the earliest message of its key) with the new messages.
+* ``run_status_stream`` — monotone application status per (user, company): the batch job's
+  native aggregate in update mode, its state in the state store.
 
 The checkpoint location of every query is under ``spark.checkpoint.dir`` (shared
 storage on a cluster); availableNow triggers make the jobs drain a finite input.
@@ -19,6 +17,8 @@ storage on a cluster); availableNow triggers make the jobs drain a finite input.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,20 +28,6 @@ from laborlake.session import shared_dir
 from laborlake.streaming.events import decode_events
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
-def _earlier_batches(spark: SparkSession, sink: str, batch_id: int, schema: str) -> DataFrame | None:
-    if not _exists(spark, sink):
-        return None
-    prev = spark.read.schema(schema + ", batch_id long").parquet(sink)
-    return prev.filter(F.col("batch_id") < batch_id)
-
-
 NOTIFICATION_SCHEMA = "user_id long, posting_id string, title string, body string, link string, kind string"
 
 
@@ -58,25 +44,6 @@ def match_batch(batch: DataFrame, batch_id: int, load_profiles, load_users, stag
     rows.select(*cols).write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
 
 
-def write_once(rows: DataFrame, batch_id: int, sink: str, key: list[str], schema: str) -> None:
-    """Append ``rows`` to ``sink`` as ``batch_id=N`` keeping at most one row per key over
-    all batches: keys written by earlier batches are dropped (left anti join), one row
-    per key is kept within the batch, and the batch folder is overwritten so a replay of
-    the same batch id is idempotent.  Rows with a NULL key are never de-duplicated."""
-    spark = rows.sparkSession
-    cols = [c.split()[0] for c in schema.split(", ")]
-    rows = rows.select(*cols)
-    prev = _earlier_batches(spark, sink, batch_id, schema)
-    keyed = rows.dropna(subset=key)
-    if prev is not None:
-        keyed = keyed.join(prev.select(*key).dropna(), key, "left_anti")
-    others = [c for c in cols if c not in key]
-    first = F.min(F.struct(*[F.col(c) for c in others])).alias("__f")
-    keyed = keyed.groupBy(*key).agg(first).select(*key, *[F.col(f"__f.{c}").alias(c) for c in others])
-    nulls = rows.filter(" or ".join(f"{k} is null" for k in key))
-    keyed.unionByName(nulls).select(*cols).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-
-
 def run_match_stream(spark: SparkSession, source: DataFrame, load_profiles, load_users, sink: str,
                      checkpoint: str | None = None) -> None:
     """Two streaming stages:
@@ -134,110 +101,37 @@ def read_rate_violations(spark: SparkSession, sink: str, limit: int) -> DataFram
              .filter(F.col("requests") > limit))
 
 
-STATE_SCHEMA = "user_id long, application_id long, status string, rank int, status_at timestamp_ntz, first_seen timestamp_ntz, messages long"
-
-
-def status_batch(batch: DataFrame, batch_id: int, sink: str) -> None:
-    """Merge a batch of classified messages into the status state.  The previous state
-    row of a key enters the merge as its earliest message, so a new message replaces it
-    only with a strictly higher rank."""
-    spark = batch.sparkSession
-    tracked = tracking.tracked_filter(batch)
-    msgs = tracked.select("user_id", "application_id", "status", "occurred_at", "message_id",
-                          F.col("occurred_at").alias("first_seen"), F.lit(1).cast("bigint").alias("messages"))
-    prev = None
-    if _exists(spark, sink):
-        allp = spark.read.schema(STATE_SCHEMA + ", batch_id long").parquet(sink)
-        last = allp.filter(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
-        if last is not None:
-            prev = allp.filter(F.col("batch_id") == last)
-    if prev is not None:
-        carried = prev.select("user_id", "application_id", "status", F.col("status_at").alias("occurred_at"),
-                              F.lit(-1).cast("bigint").alias("message_id"), "first_seen", "messages")
-        msgs = msgs.unionByName(carried)
-    merged = tracking.status_merge(msgs, ["user_id", "application_id"], ["occurred_at", "message_id"])
-    counts = msgs.groupBy("user_id", "application_id").agg(F.min("first_seen").alias("first_seen2"),
-                                                           F.sum("messages").alias("messages2"))
-    state = (merged.join(counts, ["user_id", "application_id"])
-                   .select("user_id", "application_id", "status", F.col("rank").cast("int").alias("rank"),
-                           "status_at", F.col("first_seen2").alias("first_seen"),
-                           F.col("messages2").alias("messages")))
-    state.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-
-
 def run_status_stream(spark: SparkSession, source: DataFrame, sink: str, checkpoint: str | None = None) -> None:
+    """Monotone status merge: the batch job's aggregate, kept per (user, company) in the state
+    store.  The best message is a maximum, so late and reordered messages give the same answer.
+    No expiry: an application can move up at any time."""
     checkpoint = checkpoint or shared_dir(spark, f"status-stream-{uuid.uuid4().hex}")
-    q = (source.writeStream.foreachBatch(lambda df, bid: status_batch(df, bid, sink))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
-def read_status(spark: SparkSession, sink: str) -> DataFrame:
-    allp = spark.read.schema(STATE_SCHEMA + ", batch_id long").parquet(sink)
-    last = allp.agg(F.max("batch_id")).scalar()
-    return allp.filter(F.col("batch_id") == last).drop("batch_id")
-
-
-# ---------------------------------------------------------------- keyed-state variant
-STATUS_OUT_SCHEMA = ("user_id long, application_id long, status string, rank int, status_at timestamp, "
-                     "first_seen timestamp, messages long")
-STATUS_STATE_SCHEMA = "status string, rank int, status_at timestamp, first_seen timestamp, messages long"
-
-
-def _status_update(key, batches, state):
-    """Per application: fold this batch's messages (arrival order) into the stored
-    status — a message replaces it only with a strictly higher rank."""
-    import pandas as pd
-    if state.exists:
-        status, rank, status_at, first_seen, messages = state.get
-    else:
-        status = rank = status_at = first_seen = None
-        messages = 0
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["occurred_at", "message_id"])
-    for st, at in zip(pdf["status"], pdf["occurred_at"]):
-        r = tracking.STATUS_RANK.get(st, 0)
-        if status is None or r > rank:
-            status, rank, status_at = st, r, at
-        first_seen = at if first_seen is None or at < first_seen else first_seen
-    messages += len(pdf)
-    state.update((status, int(rank), status_at, first_seen, int(messages)))
-    yield pd.DataFrame({"user_id": [key[0]], "application_id": [key[1]], "status": [status], "rank": [int(rank)],
-                        "status_at": [status_at], "first_seen": [first_seen], "messages": [int(messages)]})
-
-
-def run_status_stream_stateful(spark: SparkSession, source: DataFrame, sink: str,
-                               checkpoint: str | None = None) -> None:
-    """Monotone status merge with state kept per (user, application) in the state store
-    (one row per key, no expiry: an application can move up at any time)."""
-    checkpoint = checkpoint or shared_dir(spark, f"status-state-{uuid.uuid4().hex}")
-    msgs = tracking.tracked_filter(source).select(
-        "user_id", "application_id", "status", F.col("occurred_at").cast("timestamp").alias("occurred_at"),
-        "message_id")
-    updates = msgs.groupBy("user_id", "application_id").applyInPandasWithState(
-        _status_update, STATUS_OUT_SCHEMA, STATUS_STATE_SCHEMA, "Update", "NoTimeout")
 
     def write(df: DataFrame, bid: int) -> None:
         df.write.mode("overwrite").parquet(f"{sink}/batch_id={bid}")
 
-    q = (updates.writeStream.outputMode("update").foreachBatch(write)
+    q = (tracking.company_status(source).writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def read_status_updates(spark: SparkSession, sink: str) -> DataFrame:
+def read_status(spark: SparkSession, sink: str) -> DataFrame:
     """Current status per key = the update from the latest batch that touched it."""
     u = spark.read.parquet(sink)
-    latest = F.max(F.struct("batch_id", *[c for c in u.columns if c not in ("batch_id",)])).alias("l")
-    return (u.groupBy("user_id", "application_id").agg(latest)
-             .select("user_id", "application_id", "l.status", "l.rank", "l.status_at", "l.first_seen", "l.messages"))
+    values = [c for c in u.columns if c not in ("batch_id", "user_id", "company_key")]
+    latest = F.max(F.struct("batch_id", *values)).alias("l")
+    return u.groupBy("user_id", "company_key").agg(latest).select("user_id", "company_key", *[f"l.{c}" for c in values])
 
 
-def run_once_stream(spark: SparkSession, source: DataFrame, keys: list[str], sink: str,
+def run_once_stream(spark: SparkSession, source: DataFrame, keys: list[str], row_id: str, sink: str,
                     checkpoint: str | None = None) -> None:
     """At most one row per key over the whole stream: ``dropDuplicates`` keeps the seen
-    keys in the state store and the file sink commits each batch exactly once."""
+    keys in the state store and the file sink commits each batch exactly once.  A row with a
+    NULL in its key is only a repeat of a row with its ``row_id``, as in ``notify_once``."""
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
+    source = source.withColumn("__own", F.when(no_key, F.col(row_id)))
     checkpoint = checkpoint or shared_dir(spark, f"once-{uuid.uuid4().hex}")
-    q = (source.dropDuplicates(keys).writeStream.format("parquet").outputMode("append")
+    q = (source.dropDuplicates([*keys, "__own"]).drop("__own").writeStream.format("parquet").outputMode("append")
          .option("path", sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
