@@ -18,7 +18,7 @@ from laborlake.plans.catalog_tracking import COMPANY_MERGE_SQL, classified_messa
 from laborlake.plans.registry import register
 from laborlake.session import shared_dir
 from laborlake.sources import files
-from laborlake.sources.fixtures import Fixtures, feed_pages
+from laborlake.sources.fixtures import Fixtures, landed_pages
 from laborlake.streaming import events, jobs
 
 
@@ -343,7 +343,7 @@ def q_pipeline_run(fx: Fixtures) -> DataFrame:
     from laborlake.plans.pipeline import PipelineConf, run
     conf = PipelineConf(base=_scratch(fx, "pipeline"),
                         synthetic_ids=fx.tables.orders.select("o_orderkey"),
-                        pages=feed_pages(fx.tables), terms=["ring", "Bolt Blue"])
+                        pages=landed_pages(fx.spark, fx.sf_dir), terms=["ring", "Bolt Blue"])
     return run(fx.spark, conf)
 
 

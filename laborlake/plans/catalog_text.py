@@ -9,7 +9,7 @@ from laborlake.functions import lists, salary, text
 from laborlake.operators import etl
 from laborlake.plans.registry import register
 from laborlake.sources import feeds
-from laborlake.sources.fixtures import Fixtures, feed_pages
+from laborlake.sources.fixtures import FEED_COUNTRIES, Fixtures, landed_pages
 from laborlake.sources.synthetic import synth_postings
 
 
@@ -121,15 +121,17 @@ def q_to_usd(fx: Fixtures) -> DataFrame:
     return p.select("posting_id", "source", salary.to_usd("salary_raw", "source").alias("salary_usd"))
 
 
-@register("match_terms", """
-select posting_id,
-       exists(select 1 from unnest(['Data Engineer', 'small ring', 'Bolt Blue']) t(term)
-              where instr(lower(coalesce(title, '')), lower(term)) > 0
-                 or (len(list_filter(string_split_regex(lower(term), '\\s+'), lambda w: length(w) > 2)) > 0
-                     and len(list_filter(list_filter(string_split_regex(lower(term), '\\s+'), lambda w: length(w) > 2),
-                          lambda w: not list_contains(list_filter(string_split_regex(trim(translate(lower(coalesce(title, '')), ',/', '  ')), '\\s+'),
-                                                                  lambda x: x <> ''), w))) = 0)) keep
-from fx_posting""")
+def _match_terms_sql(terms: tuple[str, ...]) -> str:
+    words = "list_filter(string_split_regex(lower(term), '\\s+'), lambda w: length(w) > 2)"
+    of_title = ("list_filter(string_split_regex(trim(translate(lower(coalesce(title, '')), ',/', '  ')), '\\s+'), "
+                "lambda x: x <> '')")
+    return (f"exists(select 1 from unnest([{', '.join(map(_sql_str, terms))}]) t(term) "
+            f"where instr(lower(coalesce(title, '')), lower(term)) > 0 or (len({words}) > 0 "
+            f"and len(list_filter({words}, lambda w: not list_contains({of_title}, w))) = 0))")
+
+
+@register("match_terms", f"""
+select posting_id, {_match_terms_sql(("Data Engineer", "small ring", "Bolt Blue"))} keep from fx_posting""")
 def q_match_terms(fx: Fixtures) -> DataFrame:
     terms = F.array(F.lit("Data Engineer"), F.lit("small ring"), F.lit("Bolt Blue"))
     return fx.posting.select("posting_id", text.match_terms(F.coalesce("title", F.lit("")), terms).alias("keep"))
@@ -263,41 +265,85 @@ def q_mapreduce_skill_count(fx: Fixtures) -> DataFrame:
     return etl.mapreduce_skill_count(lines)
 
 
-# ---------------------------------------------------------------- ingestion (rows-only)
-def _pages(fx: Fixtures):
-    return feed_pages(fx.tables)
-
-
-@register("src_feed_adzuna")
+# ---------------------------------------------------------------- ingestion
+REMOTIVE_TERMS, ARBEITNOW_TERMS = ("ring", "Bolt Blue"), ("ring", "bolt")
+
+
+def _cases(column: str, values: dict, other: str) -> str:
+    return f"case {column} {' '.join(f'when {_sql_str(k)} then {v!r}' for k, v in values.items())} else {other} end"
+
+
+# A job of every third order per feed, before its relevance filter, from the raw tables.
+_JOBS_CTE = f"""
+with jobs as (
+  select p.*, d.text description, g.tags, month(o.o_orderdate) created, cast(p.posting_id as bigint) % 3 feed,
+         [{', '.join(map(_sql_str, FEED_COUNTRIES))}][
+           1 + coalesce(try_cast(regexp_extract(p.location, '([0-9]+)$', 1) as integer), 0) % {len(FEED_COUNTRIES)}] country
+  from fx_posting p join orders o on cast(o.o_orderkey as varchar) = p.posting_id
+       left join documents d on cast(d.doc_id as varchar) = p.posting_id
+       left join (select posting_id, list(skill order by skill) tags from fx_posting_skill group by 1) g
+         on g.posting_id = p.posting_id),
+feed_rows as (
+  select 'adzuna_' || posting_id id, title, company_name, location,
+         {_cases("country", lists.FEED_COUNTRY_REGION, "upper(country)")} region, cast(salary as double) amount,
+         cast([] as varchar[]) tags, description, 'adzuna_' || country source, posting_id, created posted_month
+  from jobs where feed = 0
+  union all
+  select 'remotive_' || posting_id, title, company_name, location, '{feeds.REMOTIVE_REGION}',
+         try_cast(salary_raw as double), coalesce(tags, []), description, 'remotive', posting_id, created
+  from jobs where feed = 1 and {_match_terms_sql(REMOTIVE_TERMS)}
+  union all
+  select 'arbeitnow_job-' || posting_id, title, company_name, location, '{feeds.ARBEITNOW_REGION}', null,
+         coalesce(tags, []), description, 'arbeitnow', posting_id, null
+  from jobs where feed = 2 and ({' or '.join(f"instr(lower(coalesce(title, '')), '{t}') > 0" for t in ARBEITNOW_TERMS)})),
+dollars as (select *, round(amount * {_cases("source", salary.FX_TO_USD, "1.0")}, 2) usd from feed_rows)
+select id posting_id, nullif(trim(title), '') title, company_name company, location, region,
+       {_seniority_sql("title", "description")} seniority,
+       source = 'remotive' or {_rlike("coalesce(title, '') || ' ' || coalesce(description, '')", text.REMOTE_PATTERN)} remote,
+       case when usd >= {salary.MIN_CREDIBLE_ANNUAL_USD} then usd end salary,
+       {_cases("source", salary.NATIVE_CURRENCY, "'USD'")} salary_currency_original,
+       array_to_string(case when len(tags) > 0 then tags
+                            else {_skills_sql("concat_ws(' ', title, description)")} end, ',') required_skills,
+       coalesce(description, '') description, source, true is_real,
+       'https://jobs.example.invalid/' || posting_id url, posted_month
+from dollars
+"""
+
+
+def _shown(postings: DataFrame) -> DataFrame:
+    """The postings as a table to compare: without the ingest order, skills as text."""
+    return postings.drop("ingest_seq").withColumn("required_skills", F.array_join("required_skills", ","))
+
+
+def _feeds(fx: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pages = landed_pages(fx.spark, fx.sf_dir)
+    return (feeds.adzuna_postings(pages["adzuna"]), feeds.remotive_postings(pages["remotive"], list(REMOTIVE_TERMS)),
+            feeds.arbeitnow_postings(pages["arbeitnow"], list(ARBEITNOW_TERMS)))
+
+
+@register("src_feed_adzuna", _JOBS_CTE + "where source like 'adzuna%'")
 def q_src_feed_adzuna(fx: Fixtures) -> DataFrame:
-    return feeds.adzuna_postings(_pages(fx)["adzuna"])
+    return _shown(_feeds(fx)[0])
 
 
-@register("src_feed_remotive")
+@register("src_feed_remotive", _JOBS_CTE + "where source = 'remotive'")
 def q_src_feed_remotive(fx: Fixtures) -> DataFrame:
-    return feeds.remotive_postings(_pages(fx)["remotive"], ["ring", "Bolt Blue"])
+    return _shown(_feeds(fx)[1])
 
 
-@register("src_feed_arbeitnow")
+@register("src_feed_arbeitnow", _JOBS_CTE + "where source = 'arbeitnow'")
 def q_src_feed_arbeitnow(fx: Fixtures) -> DataFrame:
-    return feeds.arbeitnow_postings(_pages(fx)["arbeitnow"], ["ring", "bolt"])
-
-
-def _union(fx: Fixtures) -> DataFrame:
-    pg = _pages(fx)
-    return feeds.feeds_union(feeds.adzuna_postings(pg["adzuna"]),
-                             feeds.remotive_postings(pg["remotive"], ["ring", "Bolt Blue"]),
-                             feeds.arbeitnow_postings(pg["arbeitnow"], ["ring", "bolt"]))
+    return _shown(_feeds(fx)[2])
 
 
-@register("feeds_union")
+@register("feeds_union", _JOBS_CTE)
 def q_feeds_union(fx: Fixtures) -> DataFrame:
-    return _union(fx).drop("ingest_seq")
+    return _shown(feeds.feeds_union(*_feeds(fx)))
 
 
-@register("normalize_posting")
+@register("normalize_posting", _JOBS_CTE + "where nullif(trim(title), '') is not null")
 def q_normalize_posting(fx: Fixtures) -> DataFrame:
-    return feeds.unique_postings(_union(fx))
+    return _shown(feeds.unique_postings(feeds.feeds_union(*_feeds(fx))))
 
 
 @register("synth_postings")

@@ -59,11 +59,13 @@ FEED_RANK = {"adzuna": 0, "remotive": 1, "arbeitnow": 2}
 
 
 def _explode(pages: DataFrame, col: str, feed: str, *keep: str) -> DataFrame:
-    """One row per job with a deterministic ingest order (feed, page, position)."""
+    """One row per job with its ingest order (feed, country, page, position)."""
     page = F.col("page").cast("bigint") if "page" in pages.columns else F.lit(0).cast("bigint")
     x = pages.select(*keep, page.alias("__page"), F.posexplode(col).alias("__pos", "j"))
-    return x.withColumn("ingest_seq", F.lit(FEED_RANK[feed]) * F.lit(10 ** 15)
-                        + F.col("__page") * 100000 + F.col("__pos")).drop("__page", "__pos")
+    country = F.col("country") if "country" in keep else F.lit("")
+    order = F.struct(F.lit(FEED_RANK[feed]).alias("feed"), country.alias("country"),
+                     F.col("__page").alias("page"), F.col("__pos").alias("position"))
+    return x.withColumn("ingest_seq", order).drop("__page", "__pos")
 
 
 def adzuna_postings(pages: DataFrame) -> DataFrame:

@@ -172,6 +172,7 @@ def resume_versions(t: Tables) -> DataFrame:
 
 
 PAGE_SIZE = 50
+FEED_COUNTRIES = ("in", "us", "gb", "de")
 
 
 def feed_pages(t: Tables) -> dict[str, DataFrame]:
@@ -181,14 +182,14 @@ def feed_pages(t: Tables) -> dict[str, DataFrame]:
     p = posting_raw(t)
     o = t.orders.select(F.col("o_orderkey").cast("string").alias("posting_id"), "o_orderkey",
                         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created"))
-    tags = posting_skill_raw(t).groupBy("posting_id").agg(F.collect_list("skill").alias("tags"))
+    tags = posting_skill_raw(t).groupBy("posting_id").agg(F.sort_array(F.collect_list("skill")).alias("tags"))
     docs = t.documents.select(F.col("doc_id").cast("string").alias("posting_id"), F.col("text").alias("description"))
     rows = (p.join(o, "posting_id").join(tags, "posting_id", "left").join(docs, "posting_id", "left")
              .withColumn("feed", F.pmod("o_orderkey", F.lit(3)))
              .withColumn("page", F.floor(F.col("o_orderkey") / (3 * PAGE_SIZE)).cast("bigint")))
-    loc = F.upper(F.coalesce("location", F.lit("")))
     # Nations are numbered: four countries of the feed, so every currency and region rule is met.
-    country = F.get(F.array(*map(F.lit, ("in", "us", "gb", "de"))), F.pmod(F.crc32(loc.cast("binary")), F.lit(4)).cast("int"))
+    number = F.coalesce(F.regexp_extract("location", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    country = F.get(F.array(*map(F.lit, FEED_COUNTRIES)), number % len(FEED_COUNTRIES))
     url = F.concat(F.lit("https://jobs.example.invalid/"), F.col("posting_id"))
     adz = rows.filter(F.col("feed") == 0).select(
         country.alias("country"), "page", "o_orderkey",
@@ -220,6 +221,20 @@ def feed_pages(t: Tables) -> dict[str, DataFrame]:
             "arbeitnow": pages(arb, "data")}
 
 
+_PAGES: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def landed_pages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The feeds' pages, landed once per session in the shared folder and read from there."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _PAGES:
+        base = shared_dir(spark, f"pages-{uuid.uuid4().hex}")
+        for name, df in feed_pages(Tables(spark, sf_dir)).items():
+            df.write.parquet(f"{base}/{name}")
+        _PAGES[key] = {name: spark.read.parquet(f"{base}/{name}") for name in ("adzuna", "remotive", "arbeitnow")}
+    return _PAGES[key]
+
+
 # Materialised marts per (application, sf_dir): the star schema is built once from the
 # raw tables and written to the shared checkpoint folder, like warehouse tables that the
 # serving queries read.  This also cuts the (long) fixture lineage.
