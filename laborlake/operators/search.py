@@ -168,7 +168,8 @@ def search_relaxed(fact: DataFrame, bridge: DataFrame, dim_skill: DataFrame, dim
     relaxed = (search_ranked(fact, bridge, dim_skill, dim_company, replace(spec, q=None))
                .filter(~strict_any.exists())
                .withColumn("note", F.lit(RELAXED_NOTE.format(q=spec.q))))
-    return strict.unionByName(relaxed)
+    order = [F.desc("is_real"), F.desc("region_match"), F.desc("skill_matches"), F.desc_nulls_last("salary"), "posting_id"]
+    return strict.unionByName(relaxed).orderBy(*order)
 
 
 def job_details(fact: DataFrame, bridge: DataFrame, dim_skill: DataFrame, dim_company: DataFrame) -> DataFrame:

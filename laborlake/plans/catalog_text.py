@@ -130,6 +130,18 @@ def _match_terms_sql(terms: tuple[str, ...]) -> str:
             f"and len(list_filter({words}, lambda w: not list_contains({of_title}, w))) = 0))")
 
 
+@register("dropped_salaries", f"""
+with s as (select try_cast(salary_raw as double) * case {_SOURCE_OF_REGION} when 'adzuna_in' then 1 / 95.0
+                  when 'adzuna_gb' then 1.27 else 1.0 end usd, {_SOURCE_OF_REGION} source from fx_posting)
+select source, count(*) postings, count(*) filter (where round(usd, 2) < 5000) implausible from s group by source""")
+def q_dropped_salaries(fx: Fixtures) -> DataFrame:
+    """Numeric salaries that the credibility floor drops, counted per source."""
+    p = fx.posting.withColumn("source", F.expr(_SOURCE_OF_REGION))
+    return p.groupBy("source").agg(
+        F.count(F.lit(1)).alias("postings"),
+        F.count_if(salary.implausible_salary("salary_raw", "source")).alias("implausible"))
+
+
 @register("match_terms", f"""
 select posting_id, {_match_terms_sql(("Data Engineer", "small ring", "Bolt Blue"))} keep from fx_posting""")
 def q_match_terms(fx: Fixtures) -> DataFrame:
@@ -214,7 +226,8 @@ def q_surrogate_key(fx: Fixtures) -> DataFrame:
 
 
 @register("country_region", """
-select user_id, array_to_string(list_distinct_ordered, ',') regions from (
+select user_id, array_to_string(list_filter(list_distinct_ordered, lambda x, i: list_position(list_distinct_ordered, x) = i), ',')
+       regions from (
   select user_id, list_concat(list_filter(list_transform(list_filter(list_transform(string_split(coalesce(countries, ''), ','),
            lambda c: lower(trim(c))), lambda c: c <> ''),
            lambda c: case c when 'in' then 'India' when 'us' then 'North America' when 'ca' then 'North America'
@@ -276,7 +289,7 @@ def _cases(column: str, values: dict, other: str) -> str:
 # A job of every third order per feed, before its relevance filter, from the raw tables.
 _JOBS_CTE = f"""
 with jobs as (
-  select p.*, d.text description, g.tags, month(o.o_orderdate) created, cast(p.posting_id as bigint) % 3 feed,
+  select p.*, d.text description, g.tags, cast(month(o.o_orderdate) as integer) created, cast(p.posting_id as bigint) % 3 feed,
          [{', '.join(map(_sql_str, FEED_COUNTRIES))}][
            1 + coalesce(try_cast(regexp_extract(p.location, '([0-9]+)$', 1) as integer), 0) % {len(FEED_COUNTRIES)}] country
   from fx_posting p join orders o on cast(o.o_orderkey as varchar) = p.posting_id

@@ -111,7 +111,7 @@ def profiles(t: Tables) -> DataFrame:
                       F.lit(", Brand#"), ((k * 7) % 25 + 1).cast("string"),
                       F.lit(",, BRAND#"), ((k * 11) % 25 + 1).cast("string"))
     roles = F.when(k % 3 == 0, "Ring, plate").when(k % 3 == 1, "rod").otherwise("")
-    countries = F.when(k % 2 == 0, "in,us").otherwise("GB, ")
+    countries = F.when(k % 2 == 0, "in,us,ca").otherwise("GB, ")
     return t.customer.select(k.alias("user_id"), skills.alias("skills"),
                              roles.alias("target_roles"), countries.alias("countries"))
 
