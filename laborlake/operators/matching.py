@@ -1,20 +1,19 @@
 """Posting ↔ profile matching, match scores and notification rows.
 
 A posting matches a profile when (a) they share at least two skills (case-insensitive)
-or (b) one of the profile's target roles is a substring of the posting title.  Neither
-branch is evaluated as a cross product:
-
-* Skill branch — each side emits its sorted skill *pairs* (bounded by its own list,
-  C(k, 2)); an equi join on the pair key yields exactly the (profile, posting) pairs
-  sharing ≥ 2 skills, nothing else.  A hot pair key is a skewed join partition that AQE
-  splits (``spark.sql.adaptive.skewJoin.enabled``).
-* Role branch — substring search as an n-gram equi join: distinct role terms are keyed
-  by their first ≤3 characters, posting titles emit their distinct 1/2/3-grams, the
-  join on the gram yields candidates that are then verified with ``instr``.  This runs on
-  *distinct* roles; the expansion back to profiles is an equi join on the role.
-
-The two branches are unioned and de-duplicated on (user_id, posting_id); the overlap
-list and role flag are then computed per matched pair only.
+or (b) one of the profile's target roles is a substring of the posting title.  Profiles
+that list the same skills and roles match the same postings, so matching, overlap, score
+and text are worked out once per distinct *signature* (skill set, roles); users come in
+where their rows are written (``for_users``).  Neither branch is a cross product:
+
+* Skill branch — sets are ordered rarest skill first.  Two sets that share two skills have
+  their first shared skill before the last place of both, so each side emits its skills but
+  the last; an equi join yields candidates, and a pair is kept at its first shared skill
+  only.  A hot skill is a skewed join partition that AQE splits
+  (``spark.sql.adaptive.skewJoin.enabled``), and is the last in most sets.
+* Role branch — substring search as an n-gram equi join: each distinct role is keyed by the
+  one of its 3-grams that the fewest titles hold, titles emit their distinct 1/2/3-grams,
+  and candidates are verified with ``instr``.
 """
 from __future__ import annotations
 
@@ -45,128 +44,139 @@ def profile_users(profiles: DataFrame, users: DataFrame) -> DataFrame:
     return pending_profiles(profiles).join(users.select("user_id", "email"), "user_id")
 
 
-def profile_sets(profiles: DataFrame) -> DataFrame:
-    """(user_id, skill_set sorted distinct lower, roles lower list)."""
-    return profiles.select(
-        "user_id",
-        F.array_sort(F.array_distinct(csv_list("skills"))).alias("skill_set"),
-        csv_list("target_roles").alias("roles"))
+def profile_signatures(profiles: DataFrame, users: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, signatures) of the matchable profiles: members (user_id, [email,] sig_id),
+    signatures (sig_id, sorted distinct lower skill_set, sorted distinct lower roles)."""
+    prof = pending_profiles(profiles) if users is None else profile_users(profiles, users)
+    sets = prof.select("user_id", *([] if users is None else ["email"]),
+                       F.array_sort(F.array_distinct(csv_list("skills"))).alias("skill_set"),
+                       F.array_sort(F.array_distinct(csv_list("target_roles"))).alias("roles"))
+    sets = sets.withColumn("sig_id", F.md5(F.to_json(F.struct("skill_set", "roles"))))
+    return sets.drop("skill_set", "roles"), sets.select("sig_id", "skill_set", "roles").distinct()
 
 
-def posting_skill_sets(posting_skills: DataFrame) -> DataFrame:
-    """(posting_id, sorted distinct lower-cased skills) from (posting_id, skill) rows."""
-    s = F.lower(F.trim(F.col("skill")))
-    return (posting_skills.filter(F.col("skill").isNotNull())
-                          .select("posting_id", s.alias("skill")).filter(F.col("skill") != "")
-                          .groupBy("posting_id")
-                          .agg(F.array_sort(F.collect_set("skill")).alias("skill_set")))
+def _skill_rows(posting_skills: DataFrame) -> DataFrame:
+    return (posting_skills.select("posting_id", F.lower(F.trim("skill")).alias("skill"))
+                          .filter(F.col("skill") != ""))
 
 
-def _pairs(arr: Column) -> Column:
-    """All (a, b) with a < b of a sorted distinct array, as array<struct<a,b>>."""
-    n = F.size(arr)
-    pairs = F.flatten(F.transform(
-        F.sequence(F.lit(0), n - 2),
-        lambda i: F.transform(F.slice(arr, i + 2, n - i - 1),
-                              lambda y: F.struct(F.get(arr, i).alias("a"), y.alias("b")))))
-    return F.when(n >= 2, pairs).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+def _rarest_first(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """(key, its distinct skills, the rarest first) for the skills in ``counts``."""
+    by_count = F.array_sort(F.collect_set(F.struct("n", "skill")))
+    return (rows.join(counts, "skill").groupBy(key).agg(by_count.alias("ranked"))
+                .select(key, F.col("ranked.skill").alias("ranked")))
 
 
-def skill_overlap_pairs(posting_sets: DataFrame, profile_sets_df: DataFrame) -> DataFrame:
-    """(user_id, posting_id) sharing ≥ 2 skills, via the pair-key equi join."""
-    pp = posting_sets.select("posting_id", F.explode(_pairs(F.col("skill_set"))).alias("k"))
-    up = profile_sets_df.select("user_id", F.explode(_pairs(F.col("skill_set"))).alias("k"))
-    pp = pp.select("posting_id", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
-    up = up.select("user_id", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
-    return pp.join(up, ["a", "b"]).select("user_id", "posting_id").distinct()
+def posting_skill_sets(posting_skills: DataFrame, counts: DataFrame) -> DataFrame:
+    """(posting_id, ranked: distinct lower-cased skills, the rarest first)."""
+    return _rarest_first(_skill_rows(posting_skills), "posting_id", counts)
 
 
-def _grams(text: Column) -> Column:
-    """Distinct substrings of length 1..3 of ``text``."""
+def skill_overlap_pairs(posting_sets: DataFrame, signatures: DataFrame, counts: DataFrame) -> DataFrame:
+    """(sig_id, posting_id) sharing ≥ 2 skills, each pair once."""
+    def prefix(sets: DataFrame, key: str, name: str) -> DataFrame:
+        heads = F.slice("ranked", 1, F.greatest(F.size("ranked") - (MIN_SKILL_OVERLAP - 1), F.lit(0)))
+        return sets.select(key, F.col("ranked").alias(name), F.explode(heads).alias("skill"))
+
+    held = _rarest_first(signatures.select("sig_id", F.explode("skill_set").alias("skill")), "sig_id", counts)
+    shared = F.array_intersect("theirs", "ours")
+    return (prefix(posting_sets, "posting_id", "theirs").join(prefix(held, "sig_id", "ours"), "skill")
+            .filter((F.size(shared) >= MIN_SKILL_OVERLAP) & (F.get(shared, F.lit(0)) == F.col("skill")))
+            .select("sig_id", "posting_id"))
+
+
+def _grams(text: Column, sizes: Column) -> Column:
+    """Distinct substrings of ``text`` of the given lengths."""
     n = F.length(text)
     grams = F.flatten(F.transform(
-        F.array(*[F.lit(k) for k in range(1, GRAM + 1)]),
-        lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
-                              lambda i: F.substring(text, i, k))))
+        sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
+                                     lambda i: F.substring(text, i, k))))
     return F.array_distinct(F.filter(grams, lambda g: g != ""))
 
 
-def role_title_pairs(postings: DataFrame, profile_sets_df: DataFrame) -> DataFrame:
-    """(user_id, posting_id) where a target role is a substring of the title."""
-    roles = profile_sets_df.select("user_id", F.explode("roles").alias("role"))
-    distinct_roles = roles.select("role").distinct() \
-        .withColumn("gram", F.substring("role", 1, GRAM))
-    titles = postings.select("posting_id", F.lower(F.coalesce("title", F.lit(""))).alias("t"))
-    title_grams = titles.select("posting_id", "t", F.explode(_grams(F.col("t"))).alias("gram"))
-    hits = (title_grams.join(distinct_roles, "gram")
-                       .filter(F.instr("t", F.col("role")) > 0)
-                       .select("role", "posting_id").distinct())
-    return hits.join(roles, "role").select("user_id", "posting_id")
+def role_title_pairs(postings: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(sig_id, posting_id) where a target role is a substring of the title; a pair comes
+    once for each such role."""
+    roles = signatures.select("sig_id", F.explode("roles").alias("role"))
+    role_grams = roles.select("role").distinct().select(
+        "role", F.explode(_grams(F.col("role"), F.array(F.least(F.length("role"), F.lit(GRAM))))).alias("gram"))
+    title_grams = postings.select("posting_id", F.lower(F.coalesce("title", F.lit(""))).alias("t")).select(
+        "posting_id", "t", F.explode(_grams(F.col("t"), F.array(*map(F.lit, range(1, GRAM + 1))))).alias("gram"))
+    held = (title_grams.select("gram").join(role_grams.select("gram").distinct(), "gram", "left_semi")
+                       .groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))
+    keyed = (role_grams.join(held, "gram", "left").groupBy("role").agg(rarest.alias("r"))
+                       .select("role", F.col("r.gram").alias("gram")))
+    hits = title_grams.join(keyed, "gram").filter(F.instr("t", F.col("role")) > 0).select("role", "posting_id")
+    return hits.join(roles, "role").select("sig_id", "posting_id")
 
 
-def profile_match(postings: DataFrame, posting_skills: DataFrame, profiles: DataFrame,
-                  users: DataFrame | None = None) -> DataFrame:
-    """Matched (user, posting) pairs with the sorted skill overlap and the role flag.
+def signature_match(postings: DataFrame, posting_skills: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Matched (sig_id, posting) pairs with the sorted skill overlap and the role flag.
 
     ``postings``: posting_id, title (+ company / region / url carried through).
-    ``posting_skills``: (posting_id, skill) rows.  ``profiles``: user_id, skills,
-    target_roles."""
-    prof = pending_profiles(profiles)
-    if users is not None:
-        prof = prof.join(users.select("user_id", "email"), "user_id")
-    psets = profile_sets(prof)
-    ksets = posting_skill_sets(posting_skills)
-    pairs = (skill_overlap_pairs(ksets, psets)
-             .unionByName(role_title_pairs(postings, psets))
-             .distinct())
+    ``posting_skills``: (posting_id, skill) rows."""
+    counts = _skill_rows(posting_skills).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
+    sets = posting_skill_sets(posting_skills, counts)
     keep = [c for c in ("posting_id", "title", "company_name", "region", "url") if c in postings.columns]
+    # One partitioning by posting serves the distinct and both joins behind it.
+    pairs = (skill_overlap_pairs(sets, signatures, counts).unionByName(role_title_pairs(postings, signatures))
+             .repartition("posting_id").distinct())
     out = (pairs.join(postings.select(*keep), "posting_id")
-                .join(ksets.withColumnRenamed("skill_set", "posting_skills"), "posting_id", "left")
-                .join(psets, "user_id"))
-    overlap = F.array_sort(F.array_intersect(
-        F.coalesce("posting_skills", F.array().cast("array<string>")), F.col("skill_set")))
+                .join(sets.select("posting_id", F.array_sort("ranked").alias("posting_skills")), "posting_id", "left")
+                .join(signatures, "sig_id"))
+    overlap = F.array_intersect(F.coalesce("posting_skills", F.array().cast("array<string>")), F.col("skill_set"))
     tl = F.lower(F.coalesce("title", F.lit("")))
-    out = out.select(
-        "user_id", *keep, "posting_skills", F.col("skill_set").alias("profile_skills"),
-        overlap.alias("overlap"),
+    return out.select(
+        "sig_id", *keep, "posting_skills", F.col("skill_set").alias("profile_skills"),
+        F.array_sort(overlap).alias("overlap"),
         F.exists("roles", lambda r: F.instr(tl, r) > 0).alias("role_match"))
-    if users is not None:
-        out = out.join(prof.select("user_id", "email"), "user_id")
-    return out
 
 
-def notification_rows(matches: DataFrame) -> DataFrame:
+def for_users(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of signatures as rows of their users."""
+    return rows.join(members, "sig_id").drop("sig_id")
+
+
+def profile_match(postings: DataFrame, posting_skills: DataFrame, profiles: DataFrame,
+                  users: DataFrame | None = None) -> DataFrame:
+    """Matched (user, posting) pairs: ``signature_match`` written out for every user."""
+    members, signatures = profile_signatures(profiles, users)
+    return for_users(signature_match(postings, posting_skills, signatures), members)
+
+
+def notification_rows(matches: DataFrame, key: str = "sig_id") -> DataFrame:
     """In-app notification per match: title, body, link, posting_id, kind."""
     py = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))  # noqa: E731  (f-string of None)
     matched = F.when(F.size("overlap") > 0, F.array_join("overlap", ", ")).otherwise(F.lit(ROLE_MATCH_TEXT))
     body = F.concat(py("title"), F.lit(" at "), py("company_name"), F.lit(" · "), py("region"),
                     F.lit(" · Matching skills: "), matched)
-    return matches.select("user_id", "posting_id",
+    return matches.select(key, "posting_id",
                           F.concat(F.lit("New match: "), py("title")).alias("title"),
                           body.alias("body"),
                           (F.col("url") if "url" in matches.columns else F.lit(None).cast("string")).alias("link"),
                           F.lit(NOTIFICATION_KIND).alias("kind"))
 
 
-def match_score(matches: DataFrame) -> DataFrame:
+def match_score(matches: DataFrame, key: str = "sig_id") -> DataFrame:
     """matched = required ∩ have, missing = required − have (sorted), score =
     round-half-even(100 · |matched| / |required|), 0 when nothing is required."""
     req = F.coalesce("posting_skills", F.array().cast("array<string>"))
     matched = F.array_sort(F.array_intersect(req, F.col("profile_skills")))
     missing = F.array_sort(F.array_except(req, F.col("profile_skills")))
     score = F.when(F.size(req) > 0, F.bround(F.size(matched) / F.size(req) * 100, 0).cast("int")).otherwise(0)
-    return matches.select("user_id", "posting_id", "title", "company_name",
+    return matches.select(key, "posting_id", "title", "company_name",
                           matched.alias("matched_skills"), missing.alias("missing_skills"),
                           score.alias("match_score"))
 
 
-def match_report(scored: DataFrame) -> DataFrame:
+def match_report(scored: DataFrame, key: str = "sig_id") -> DataFrame:
     have = F.when(F.size("matched_skills") > 0, F.array_join("matched_skills", ", ")).otherwise(NO_SKILLS_TEXT)
     gaps = F.when(F.size("missing_skills") > 0, F.array_join("missing_skills", ", ")).otherwise(NO_GAPS_TEXT)
     text = F.format_string("Match score: %s%% for '%s' at %s.\nYou have: %s.\nGaps: %s.",
                            F.col("match_score"), F.coalesce(F.col("title"), F.lit("None")),
                            F.coalesce(F.col("company_name"), F.lit("None")), have, gaps)
-    return scored.select("user_id", "posting_id", text.alias("report"))
+    return scored.select(key, "posting_id", text.alias("report"))
 
 
 def notify_once(new: DataFrame, history: DataFrame | None = None,

@@ -138,7 +138,7 @@ def q_stream_match(fx: Fixtures) -> DataFrame:
     """Notifications written by the stream (events published twice: replays must not
     duplicate), summarised per user like ``notification_text``."""
     from laborlake.plans import catalog_matching as cm
-    return cm.per_user(stream_match_pairs(fx), cm.NOTIFY_INTS, cm.NOTIFY_TEXTS)
+    return cm.summed(stream_match_pairs(fx), cm.NOTIFY_INTS, cm.NOTIFY_TEXTS)
 
 
 @register("profile_refresh")

@@ -47,21 +47,26 @@ _SCORE = ("case when n_required > 0 then cast(round_even(n_overlap::double / n_r
           "else 0 end")
 
 
-# The pair-level outputs are millions of rows at sf 0.01 (every profile against every
-# posting); the registered queries summarise them per user over *all* pairs (counts,
-# total text length, first / last text) so a result check does not need to hold the pair
-# table in one driver.  The full pair tables are compared with PAIR_SQL in the tests.
+# Every pair of a user and a posting would be millions of rows at sf 0.01; the registered
+# queries summarise *all* pairs per user (counts, total text length, first / last text).
+# The sums are taken once per signature and handed to its users, so the work grows with
+# postings and signatures.  The full pair tables are compared with PAIR_SQL in the tests.
 PAIR_SQL: dict[str, str] = {}
 
 
-def per_user(df: DataFrame, ints: list[str], texts: list[str]) -> DataFrame:
+def summed(df: DataFrame, ints: list[str], texts: list[str], key: str = "user_id") -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("pairs")]
     for c in ints:
         aggs.append(F.sum(F.col(c).cast("bigint")).alias(f"sum_{c}"))
     for c in texts:
         aggs += [F.sum(F.length(c)).cast("bigint").alias(f"len_{c}"), F.min(c).alias(f"min_{c}"),
                  F.max(c).alias(f"max_{c}")]
-    return df.groupBy("user_id").agg(*aggs)
+    return df.groupBy(key).agg(*aggs)
+
+
+def per_user(pairs: DataFrame, members: DataFrame, ints: list[str], texts: list[str]) -> DataFrame:
+    """Sums over a signature's pairs, for each of its users."""
+    return matching.for_users(summed(pairs, ints, texts, "sig_id"), members.select("user_id", "sig_id"))
 
 
 def per_user_sql(pairs_sql: str, ints: list[str], texts: list[str]) -> str:
@@ -71,21 +76,27 @@ def per_user_sql(pairs_sql: str, ints: list[str], texts: list[str]) -> str:
     return f"select user_id, {', '.join(cols)} from ({pairs_sql.strip()}) pairs group by user_id"
 
 
-def _matches(fx: Fixtures) -> DataFrame:
+def _matches(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """(matches of the signatures, their users)."""
     skills = fx.bridge.join(fx.dim_skill, "skill_id").select("posting_id", F.col("skill_name").alias("skill"))
-    return matching.profile_match(fx.fact_wide, skills, fx.profiles, fx.users)
+    members, signatures = matching.profile_signatures(fx.profiles, fx.users)
+    return matching.signature_match(fx.fact_wide, skills, signatures), members
 
 
 PAIR_SQL["profile_match"] = _MATCH_CTE + """
 select user_id, email, posting_id, title, n_overlap, overlap_skills, role_match from m"""
 
 
-def profile_match_pairs(fx: Fixtures) -> DataFrame:
-    m = _matches(fx)
-    return m.select("user_id", "email", "posting_id", "title", F.size("overlap").alias("n_overlap"),
+def _match_columns(m: DataFrame) -> DataFrame:
+    return m.select("sig_id", "posting_id", "title", F.size("overlap").alias("n_overlap"),
                     F.array_join("overlap", ", ").alias("overlap_skills"), "role_match")
 
 
+def profile_match_pairs(fx: Fixtures) -> DataFrame:
+    m, members = _matches(fx)
+    return matching.for_users(_match_columns(m), members)
+
+
 @register("profile_match", _MATCH_CTE + """
 select user_id, count(*) pairs, cast(sum(n_overlap) as bigint) sum_n_overlap,
        count(*) filter (where n_overlap >= 2) skill_pairs, count(*) filter (where role_match) role_pairs,
@@ -93,28 +104,33 @@ select user_id, count(*) pairs, cast(sum(n_overlap) as bigint) sum_n_overlap,
        max(posting_id) max_posting_id, min(email) email
 from m group by user_id""")
 def q_profile_match(fx: Fixtures) -> DataFrame:
-    p = profile_match_pairs(fx)
-    return p.groupBy("user_id").agg(
+    m, members = _matches(fx)
+    return matching.for_users(_match_columns(m).groupBy("sig_id").agg(
         F.count(F.lit(1)).alias("pairs"), F.sum(F.col("n_overlap").cast("bigint")).alias("sum_n_overlap"),
         F.count_if(F.col("n_overlap") >= 2).alias("skill_pairs"), F.count_if("role_match").alias("role_pairs"),
         F.sum(F.length("overlap_skills")).cast("bigint").alias("len_overlap_skills"),
-        F.min("posting_id").alias("min_posting_id"), F.max("posting_id").alias("max_posting_id"),
-        F.min("email").alias("email"))
+        F.min("posting_id").alias("min_posting_id"), F.max("posting_id").alias("max_posting_id")), members)
 
 
 PAIR_SQL["match_score"] = _MATCH_CTE + f"""
 select user_id, posting_id, overlap_skills matched_skills, missing_skills, {_SCORE} match_score from m"""
 
 
+def _score_columns(m: DataFrame) -> DataFrame:
+    return matching.match_score(m).select(
+        "sig_id", "posting_id", F.array_join("matched_skills", ", ").alias("matched_skills"),
+        F.array_join("missing_skills", ", ").alias("missing_skills"), "match_score")
+
+
 def match_score_pairs(fx: Fixtures) -> DataFrame:
-    sc = matching.match_score(_matches(fx))
-    return sc.select("user_id", "posting_id", F.array_join("matched_skills", ", ").alias("matched_skills"),
-                     F.array_join("missing_skills", ", ").alias("missing_skills"), "match_score")
+    m, members = _matches(fx)
+    return matching.for_users(_score_columns(m), members.select("user_id", "sig_id"))
 
 
 @register("match_score", per_user_sql(PAIR_SQL["match_score"], ["match_score"], ["matched_skills", "missing_skills"]))
 def q_match_score(fx: Fixtures) -> DataFrame:
-    return per_user(match_score_pairs(fx), ["match_score"], ["matched_skills", "missing_skills"])
+    m, members = _matches(fx)
+    return per_user(_score_columns(m), members, ["match_score"], ["matched_skills", "missing_skills"])
 
 
 PAIR_SQL["match_report"] = _MATCH_CTE + f"""
@@ -128,12 +144,14 @@ from m"""
 
 
 def match_report_pairs(fx: Fixtures) -> DataFrame:
-    return matching.match_report(matching.match_score(_matches(fx)))
+    m, members = _matches(fx)
+    return matching.for_users(matching.match_report(matching.match_score(m)), members.select("user_id", "sig_id"))
 
 
 @register("match_report", per_user_sql(PAIR_SQL["match_report"], [], ["report"]))
 def q_match_report(fx: Fixtures) -> DataFrame:
-    return per_user(match_report_pairs(fx), [], ["report"])
+    m, members = _matches(fx)
+    return per_user(matching.match_report(matching.match_score(m)), members, [], ["report"])
 
 
 PAIR_SQL["notification_text"] = _MATCH_CTE + """
@@ -147,12 +165,14 @@ NOTIFY_TEXTS = ["title", "body", "kind"]
 
 
 def notification_pairs(fx: Fixtures) -> DataFrame:
-    return matching.notification_rows(_matches(fx))
+    m, members = _matches(fx)
+    return matching.for_users(matching.notification_rows(m), members.select("user_id", "sig_id"))
 
 
 @register("notification_text", per_user_sql(PAIR_SQL["notification_text"], NOTIFY_INTS, NOTIFY_TEXTS))
 def q_notification_text(fx: Fixtures) -> DataFrame:
-    return per_user(notification_pairs(fx), NOTIFY_INTS, NOTIFY_TEXTS)
+    m, members = _matches(fx)
+    return per_user(matching.notification_rows(m), members, NOTIFY_INTS, NOTIFY_TEXTS)
 
 
 @register("pending_profiles", """
