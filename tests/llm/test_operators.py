@@ -307,6 +307,15 @@ def test_deobfuscation():
     assert clean < 0.3 and toxicity.viterbi("1d10t", model.trigrams) == "idiot"
 
 
+def test_long_tokens_are_searched_whole():
+    model = toxicity.Trigrams()
+    for w in ("idiot", "stupid", "the"):
+        model.learn(w, 10)
+    assert toxicity.disguised("1d10t-" * 40) is not None
+    assert toxicity.viterbi("1d10t" * 40, model) == "idiot" * 40
+    assert toxicity.viterbi("x" * 100_000, model) in ("x", "xx")
+
+
 def test_classifiers_on_edges(spark, docs, none, rows):
     labels = spark.createDataFrame([(i, i % 2, None if i == 9 else i % 2) for i in range(20)] + [(0, 1, 1), (None, 1, 1), (999, 0, 0)],
                                    "doc_id long, quality int, toxic int")
