@@ -7,7 +7,8 @@ Within such a bucket the fingerprints stand vertically, one bit plane per bit.
 compared with itself moved by 1, 2, 3 ... places: the planes' differences go into carry-save
 counters, a bit for each pair in every counter plane, and words of pairs that have all passed
 the radius are given up before the remaining planes are read.  Buckets above ``SPLIT`` are cut
-into cells of two pieces, so no task holds a whole hot bucket.  Equal fingerprints are one node.
+into cells of two pieces, so no task holds a whole hot bucket, and a task works through its
+cells in turn, holding a bounded number of rows.  Equal fingerprints are one node.
 
 Defined results: null is the empty text, whose fingerprint is 0 and links like any other; a
 null id ranks after all ids and stays null.  Repeated rows get equal results.  An empty table
@@ -29,6 +30,7 @@ from laborlake.llm.graph import components
 SHINGLE = 4
 RADIUS = 4
 SPLIT = 8192
+AT_ONCE = 1 << 18
 NO_ID = 2 ** 63 - 1
 
 
@@ -152,18 +154,32 @@ def linked(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def _links(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
+def _links(radius: int, at_once: int = AT_ONCE):
+    """Links (node, smallest node it hangs together with) of cells.  Rows come in order of their
+    cell; whole cells are compared, about ``at_once`` rows at a time, so a task holds no more."""
+    def compare(t: pa.Table) -> pa.RecordBatch:
         cell, fp, node = (t[c].to_numpy() for c in ("cell", "fp", "node"))
         order = np.lexsort((fp, cell))
         cell, fp, node = cell[order], fp[order].view("<u8"), node[order]
         root = linked(cell, fp, radius)
         i = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[root[i]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[root[i]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) < at_once:
+                continue
+            t = pa.Table.from_batches(held)
+            cell = t["cell"].to_numpy()
+            if whole := int(np.searchsorted(cell, cell[-1])):
+                yield compare(t.slice(0, whole))
+                held = t.slice(whole).to_batches()
+        if held:
+            yield compare(pa.Table.from_batches(held))
         release()
     return run
 
@@ -199,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = met.where((F.col("g") == 1) | (F.col("g") == 2) & (F.col("q") == 0) | (F.col("g") > 2) & (F.col("q") != F.col("p")))
     cell = F.xxhash64("t", "key", F.when(F.col("g") > 2, F.least("p", "q")).otherwise(0),
                       F.when(F.col("g") > 2, F.greatest("p", "q")).otherwise(0))
-    met = met.select(cell.alias("cell"), "fp", "node").repartition("cell")
+    met = met.select(cell.alias("cell"), "fp", "node").repartition("cell").sortWithinPartitions("cell")
     edges = met.mapInArrow(_links(radius), "a long, b long")
     found = components(edges)
     where = nodes.join(found, nodes["node"] == found["node"], "left").select(

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,18 @@ def test_bit_sliced_links(radius):
     assert (root == want).all()
 
 
+def test_cells_are_compared_in_turn():
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 1 << 63, 40, dtype=np.int64)[rng.integers(0, 40, 300)] ^ (1 << rng.integers(0, 60, 300))
+    rows = pa.table({"cell": np.sort(rng.integers(-9, 9, 300)), "fp": fp, "node": np.arange(300)})
+
+    def links(at_once):
+        out = simhash._links(4, at_once)(iter(rows.to_batches(max_chunksize=7)))
+        return sorted((r["a"], r["b"]) for b in out for r in b.to_pylist())
+    # A cell's smallest row is the one its sorted rows begin with, whatever is held with it.
+    assert links(20) == links(1) == links(1000) and links(20)
+
+
 def test_components_of_a_long_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 103), (103, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(df).collect()}
