@@ -343,11 +343,13 @@ def q_intake_format(fx: Fixtures) -> DataFrame:
 # ---------------------------------------------------------------- pipeline and bench
 @register("pipeline_run")
 def q_pipeline_run(fx: Fixtures) -> DataFrame:
+    """The whole run, from the landed pages to the gate; returns the fact it built."""
     from laborlake.plans.pipeline import PipelineConf, run
     conf = PipelineConf(base=_scratch(fx, "pipeline"),
                         synthetic_ids=fx.tables.orders.select("o_orderkey"),
                         pages=landed_pages(fx.spark, fx.sf_dir), terms=["ring", "Bolt Blue"])
-    return run(fx.spark, conf)
+    run(fx.spark, conf)
+    return fx.spark.read.parquet(f"{conf.base}/warehouse/fact_job_posting")
 
 
 @register("bench_summary")

@@ -43,9 +43,9 @@ def kafka_available(spark: SparkSession) -> bool:
 
 
 def publish(postings: DataFrame, path: str | None = None, bootstrap: str | None = None,
-            topic: str = TOPIC) -> int:
-    """Write one event per posting; returns the number of records written.  A missing
-    broker never fails the load: no connector and no path → 0."""
+            topic: str = TOPIC, mode: str = "append") -> int:
+    """Write one event per posting; returns the number of records written.  No connector and
+    no path → 0.  ``mode`` is that of the file form: a step that may run again overwrites."""
     written = Observation()
     records = encode_events(postings).observe(written, F.count(F.lit(1)).alias("records"))
     spark = postings.sparkSession
@@ -53,7 +53,7 @@ def publish(postings: DataFrame, path: str | None = None, bootstrap: str | None
         records.write.format("kafka").option("kafka.bootstrap.servers", bootstrap) \
                .option("topic", topic).save()
     elif path:
-        records.write.mode("append").json(path)
+        records.write.mode(mode).json(path)
     else:
         return 0
     return written.get["records"]

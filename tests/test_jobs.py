@@ -86,14 +86,33 @@ def test_pipeline_twice_same_output(spark, small_dir):
     for _ in range(2):
         base = shared_dir(spark, f"pipe-{uuid.uuid4().hex}")
         conf = PipelineConf(base=base, synthetic_ids=t.orders.select("o_orderkey"), pages=feed_pages(t),
-                            terms=["ring"], only=("generate", "normalize", "etl", "load", "star", "dq"))
-        report = {r.step: r.status for r in run(spark, conf).collect()}
-        assert report["dq"] == "ok" and report["model"] == "skipped"
+                            terms=["ring"], only=("generate", "normalize", "publish", "etl", "load", "star", "dq"))
+        rows = {r.step: r for r in run(spark, conf).collect()}
+        assert rows["dq"].status == "ok" and rows["model"].status == "skipped"
+        live = spark.read.json(f"{base}/landing/live")
+        sent = spark.read.json(f"{base}/events")
+        assert rows["publish"].rows == live.count() == sent.select("key").distinct().count() > 0
         fact = spark.read.parquet(f"{base}/warehouse/fact_job_posting")
         outs.append(sorted(map(tuple, fact.collect())))
     assert outs[0] == outs[1]
 
 
+def test_failed_broker_does_not_stop_the_load(spark, small_dir, monkeypatch):
+    from laborlake.plans.pipeline import PipelineConf, run
+    from laborlake.sources.fixtures import feed_pages
+    from laborlake.sources.tables import Tables
+    from laborlake.streaming import events
+    from pyspark.errors import PySparkException
+
+    def broken(*args, **kwargs):
+        raise PySparkException("no broker")
+    monkeypatch.setattr(events, "publish", broken)
+    conf = PipelineConf(base=shared_dir(spark, f"pipe-{uuid.uuid4().hex}"), pages=feed_pages(Tables(spark, small_dir)),
+                        terms=["ring"], only=("normalize", "publish", "etl"))
+    assert {r.step: r.status for r in run(spark, conf).collect() if r.status != "skipped"} == {
+        "normalize": "ok", "publish": "failed", "etl": "ok"}
+
+
 def test_profile_match_brute_force_with_hot_pair(spark):
     """A third of the postings share one skill pair; the pair-key / n-gram joins must
     equal the brute-force definition (overlap >= 2 or role substring of title)."""
