@@ -329,6 +329,21 @@ def test_long_tokens_are_searched_whole():
     assert toxicity.viterbi("x" * 100_000, model) in ("x", "xx")
 
 
+def test_disguises_at_the_ends_doubled_and_spaced():
+    vile = ("idiot", "dumbass", "asshole", "shit", "ass", "loser", "stupid")
+    words = {"": (60, 60, 600, 6000)} | {w: (20, 0, 25, 0) for w in vile}
+    words |= {w: (30, 30, 90, 900) for w in "you are a an such the this and stone river light of paper apple letter hole radio".split()}
+    model = toxicity.fit(words)
+    for t in ("idio+", "dumba$$", "@$$hole", "5h17", "a55", "@$$", "stuppid", '"idio+",', "$h1t!", "such a l o s e r", "a s s",
+              "y o u a r e a n i d i o t", "y o u a r e s t u u u u p i d", "1d10t!", "(1d10t)"):
+        assert model.ratio(t, {}) + len(t.split()) * model.excess > model.weight("idiot") / 2, t
+    for t in ("apple letter!", "the (river)", "a 2 3 -", "such a - b"):
+        assert model.ratio(t, {}) <= 0, t
+    # What a token hides counts once, and not beside its plain word.
+    assert model.ratio("idiot!", {}) == pytest.approx(model.ratio("idiot", {}))
+    assert toxicity.viterbi("y o u a r e a n i d i o t", model.trigrams) == "you are an idiot"
+
+
 def test_classifiers_on_edges(spark, docs, none, rows):
     labels = spark.createDataFrame([(i, i % 2, None if i == 9 else i % 2) for i in range(20)] + [(0, 1, 1), (None, 1, 1), (999, 0, 0)],
                                    "doc_id long, quality int, toxic int")
