@@ -8,10 +8,11 @@ compared with itself moved by 1, 2, 3 ... places: the planes' differences go int
 counters, a bit for each pair in every counter plane, and words of pairs that have all passed
 the radius are given up before the remaining planes are read.  Buckets above ``SPLIT`` are cut
 into cells of two pieces, so no task holds a whole hot bucket, and a task works through its
-cells in turn, holding a bounded number of rows.  Equal fingerprints are one node.
+cells in turn, holding a bounded number of rows.  The fingerprints are the nodes of the graph;
+a component's id is the smallest document id in it, found once the components are known.
 
 Defined results: null is the empty text, whose fingerprint is 0 and links like any other; a
-null id ranks after all ids and stays null.  Repeated rows get equal results.  An empty table
+null id ranks after all ids and stays null, as does the id of a component without ids.  Repeated rows get equal results.  An empty table
 gives an empty result.  Only the id and text columns are read.
 """
 from __future__ import annotations
@@ -201,10 +202,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, fingerprint (long) and component_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     fps = settled(rows.mapInArrow(_fingerprints(shingle), "id long, fp long"), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("node"))
+    low = fps.groupBy("fp").agg(F.min("id").alias("low"))
+    where = groups(low.select("fp"), radius, split).join(low, "fp")
+    best = where.groupBy("component").agg(F.min("low").alias("component_id"))
+    where = where.join(best, "component").select("fp", "component_id")
+    return fps.join(where, "fp").select(F.col("id").alias("doc_id"), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def groups(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """(fp, component) for distinct fingerprints ``fp``; a component is named by one of its own."""
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key"))
                        for t, m in enumerate(masks(radius))))
-    met = nodes.select("fp", "node", F.explode(tables).alias("x")).select("fp", "node", "x.t", "x.key")
+    met = nodes.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
     hot = met.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = met.join(hot, ["t", "key"])
     # A bucket of g pieces has a cell for each pair of pieces; a row goes to the cells of its piece.
@@ -215,11 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = met.where((F.col("g") == 1) | (F.col("g") == 2) & (F.col("q") == 0) | (F.col("g") > 2) & (F.col("q") != F.col("p")))
     cell = F.xxhash64("t", "key", F.when(F.col("g") > 2, F.least("p", "q")).otherwise(0),
                       F.when(F.col("g") > 2, F.greatest("p", "q")).otherwise(0))
-    met = met.select(cell.alias("cell"), "fp", "node").repartition("cell").sortWithinPartitions("cell")
-    edges = met.mapInArrow(_links(radius), "a long, b long")
+    met = met.select(cell.alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell")
+    edges = met.select("cell", "fp", F.col("fp").alias("node")).mapInArrow(_links(radius), "a long, b long")
     found = components(edges)
-    where = nodes.join(found, nodes["node"] == found["node"], "left").select(
-        "fp", F.coalesce("component", nodes["node"]).alias("component"))
-    return fps.join(where, "fp").select(
-        F.col("id").alias("doc_id"), F.col("fp").alias("fingerprint"),
-        F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"))

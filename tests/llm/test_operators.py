@@ -143,6 +143,26 @@ def test_simhash(docs, none, rows):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def near_pairs(n, seed=7):
+    """``n`` unlike texts and for each a near copy of another fingerprint."""
+    rng, out = random.Random(seed), []
+    while len(out) < n:
+        words = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(400)]
+        a, b = " ".join(words), " ".join([*words[:-1], "end"])
+        if 0 < (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= simhash.RADIUS:
+            out.append((a, b))
+    return out
+
+
+def test_simhash_shared_and_missing_ids_link_nothing(spark):
+    (a, near_a), (b, near_b), (c, near_c), (d, near_d), (e, _) = near_pairs(5)
+    rows = [(5, a), (9, b), (None, near_a), (None, near_b), (20, c), (30, d), (15, near_c), (15, near_d), (None, e)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect())
+    assert got == Counter((simhash.signed(simhash.fingerprint(t)), i) for t, i in (
+        (a, 5), (near_a, 5), (b, 9), (near_b, 9), (c, 15), (near_c, 15), (d, 15), (near_d, 15), (e, None)))
+
+
 @pytest.mark.parametrize("radius", [1, 3, 4])
 def test_bit_sliced_links(radius):
     rng = np.random.default_rng(radius)
