@@ -1,7 +1,7 @@
 """Corpus pipeline: documents to packed training sequences, one written table after another."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laborlake.llm import cube_mixing, packing, simhash, suffix_dedup, toxicity
@@ -19,11 +19,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    one = docs.select(*DOCUMENTS).dropDuplicates(["doc_id"])
-    return one.join(stay, one["doc_id"].eqNullSafe(stay["id"])).select(*DOCUMENTS)
+    """One row of each group of near copies stays: the one with the smallest doc_id, rows without
+    an id last, and of one id the one with the smallest hash of its text.  Rows equal in both
+    are one; they keep the smallest lang, source and n_chars."""
+    key = [F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("key"), "th"]
+    stay = simhash.representatives(docs).select(*key)
+    rows = (docs.select(*DOCUMENTS, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+            .select(*DOCUMENTS, *key))
+    return (rows.join(stay, ["none", "key", "th"]).groupBy("none", "key", "th")
+            .agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+            .select("doc_id", "text", "rest.*").select(*DOCUMENTS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +46,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = cube_mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), "th", "copies")
+    """Every document as often as the mix takes it.
+
+    Rows alike in id and text share their copies, one more for the first ones if they are uneven."""
+    copies = (cube_mixing.mix(docs).groupBy(F.col("doc_id").alias("id"), "th")
+              .agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike")).where("copies > 0"))
     docs = docs.select(*DOCUMENTS).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = docs["doc_id"].eqNullSafe(copies["id"]) & (docs["th"] == copies["th"])
-    return (docs.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*DOCUMENTS))
+    taken = docs.join(copies, same).select(*DOCUMENTS, docs["th"], "copies", "alike")
+    place = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("lang", "source", "n_chars"))
+    share = F.floor(F.col("copies") / F.col("alike")) + (place <= F.col("copies") % F.col("alike")).cast("int")
+    alike = taken.where("alike > 1").withColumn("copies", share).where("copies > 0")
+    return (taken.where("alike = 1").unionByName(alike)
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*DOCUMENTS))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

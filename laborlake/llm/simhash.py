@@ -56,7 +56,7 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([fingerprint(t or "", shingle) for t in b.column(1).to_pylist()], dtype="<u8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view("<i8"))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got.view("<i8"))], ["id", "th", "fp"])
         release()
     return run
 
@@ -197,11 +197,28 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _fingerprinted(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, th, fp) of every row, ``th`` being the hash of its text."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
+    return settled(rows.mapInArrow(_fingerprints(shingle), "id long, th long, fp long"), "simhash")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """(id, th) of one row per component, ``th`` being the hash of its text: the smallest id, rows
+    without an id last, and of one id the smallest hash."""
+    fps = _fingerprinted(docs, id_col, text_col, shingle)
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    low = fps.groupBy("fp").agg(F.min(key).alias("key"))
+    where = groups(low.select("fp"), radius, split).join(low, "fp")
+    return where.groupBy("component").agg(F.min("key").alias("key")).select("key.id", "key.th")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """One row per document: doc_id, fingerprint (long) and component_id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    fps = settled(rows.mapInArrow(_fingerprints(shingle), "id long, fp long"), "simhash")
+    fps = _fingerprinted(docs, id_col, text_col, shingle)
     low = fps.groupBy("fp").agg(F.min("id").alias("low"))
     where = groups(low.select("fp"), radius, split).join(low, "fp")
     best = where.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -410,3 +410,25 @@ def test_pipeline(spark):
         docs = out
     last = c.run(spark, sf).collect()
     assert n and {r["doc_id"] for r in last} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline as c
+    (a, near_a), (b, near_b), (x, near_x), (d, _) = near_pairs(4)
+    rows = [(None, a), (None, b), (None, d), (None, d), (4, near_b), (7, x), (7, near_a), (2, near_x), (9, None), (9, "")]
+    for parts in (1, 5):
+        df = spark.createDataFrame([(i, t, "en", s, 1) for s, (i, t) in zip("abcdefghij", rows, strict=True)],
+                                   "doc_id long, text string, lang string, source string, n_chars int").repartition(parts)
+        got = c.near_dedup(spark, df, "").collect()
+        # The clean texts without an id stay, as does a row whose id another component holds too.
+        assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter(
+            [(7, near_a, "g"), (4, near_b, "e"), (None, d, "c"), (2, near_x, "h"), (9, "", "i")])
+
+
+def test_mix_takes_rows_alike_in_id_and_text_no_more_than_others(spark):
+    import corpus_pipeline as c
+    df = spark.createDataFrame([(None, "the same rest", "en", "ab"[i % 2], 13) for i in range(6)] + [(i, f"text {i}", "en", "a", 6) for i in range(9)],
+                               "doc_id long, text string, lang string, source string, n_chars int")
+    got = c.mix_sources(spark, df, "")
+    assert got.count() == cube_mixing.mix(df).agg(F.sum("copies")).first()[0]
+    assert got.columns == list(c.DOCUMENTS)
