@@ -10,7 +10,9 @@ writes those pages with their labels from templates, a bounded and documented nu
 messages of more than ``HEARD`` children of one node are tempered to that many.
 
 A text belongs to its nearest block element; inline elements are part of their block, and a
-line break ends a block.  Scripts, styles, controls and the head have no text.
+line break ends a block.  Scripts, styles, controls and the head have no text, nor have elements
+with the attribute ``hidden``, ``aria-hidden`` true or a style of ``display: none``; they end where
+any element of their kind ends, and are no nodes.
 
 Defined results: null or empty html, and pages without kept text, give ''.  Unclosed, crossed
 or cut off tags are repaired or ignored, a cut off tag has no text.  Repeated rows are handled
@@ -46,7 +48,10 @@ SCOPE = frozenset("table ul ol dl body html article section div nav aside footer
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_PAIR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*\"|'[^']*'|\([^)]*\)|[\"'(])+")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 #: Class, id and role words by what they tell; a word counts as its group, so unseen names of a
@@ -89,11 +94,31 @@ class Page:
     blocks: list[tuple[int, str]]
 
 
+def hides(attrs: str) -> bool:
+    """Whether a tag's attributes hide its element."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    values: dict[str, str] = {}
+    for m in _PAIR.finditer(attrs):
+        values.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    shown: dict[bool, str] = {}
+    for d in _DECLARATION.findall(_COMMENT.sub("", values.get("style", ""))):
+        name, _, value = d.partition(":")
+        if name.strip().lower() == "display":
+            value, mark, _ = value.lower().partition("!")
+            shown[bool(mark)] = value.strip()
+    return shown.get(True, shown.get(False)) == "none"
+
+
 def parse(html: str) -> Page:
     nodes, blocks = [Node("#page", -1)], []
     stack: list[tuple[str, int]] = [("#page", 0)]
     run: list[str] = []
     linked = in_link = 0
+    # Where the stack holds a hidden element; what stands in it leaves no trace.
+    unseen = 0
 
     def flush() -> None:
         nonlocal linked
@@ -110,18 +135,22 @@ def parse(html: str) -> Page:
 
     def say(raw: str) -> None:
         nonlocal linked
+        if unseen:
+            return
         text = entities.unescape(raw) if "&" in raw else raw
         run.append(text)
         if in_link:
             linked += len(text)
 
     def close(down_to: int) -> None:
-        nonlocal in_link
-        if any(t not in INLINE for t, _ in stack[down_to:]):
+        nonlocal in_link, unseen
+        if any(t not in INLINE for t, _ in (stack[down_to:unseen + 1] if unseen else stack[down_to:])):
             flush()
         for t, _ in stack[down_to:]:
             in_link -= t == "a"
         del stack[down_to:]
+        if unseen >= down_to:
+            unseen = 0
 
     at, end = 0, len(html)
     while at < end:
@@ -146,22 +175,29 @@ def parse(html: str) -> Page:
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
             else:
-                if tag in ("p", "br"):
+                if tag in ("p", "br") and not unseen:
                     flush()
             continue
-        if tag in RAW or _HIDDEN.search(attrs):
+        if tag in RAW:
             if not attrs.endswith("/") and tag not in VOID:
                 at = _past(html, at, tag)
-            if tag not in INLINE:
+            if tag not in INLINE and not unseen:
                 flush()
             continue
         if tag in VOID:
-            if tag in ("br", "hr"):
+            if tag in ("br", "hr") and not unseen and not hides(attrs):
+                flush()
+            continue
+        hidden = not unseen and hides(attrs)
+        if hidden and attrs.endswith("/") and not re.search(r"=\s*[^\s\"'][^\s]*/\Z", attrs):
+            if tag not in INLINE:
                 flush()
             continue
         if tag in INLINE:
             stack.append((tag, stack[-1][1]))
             in_link += tag == "a"
+            if hidden:
+                unseen = len(stack) - 1
             continue
         shut = CLOSES.get(tag, set())
         for i in range(len(stack) - 1, 0, -1):
@@ -172,7 +208,15 @@ def parse(html: str) -> Page:
                     break
             elif t in SCOPE and t not in shut:
                 break
+        if unseen:
+            stack.append((tag, stack[-1][1]))
+            continue
         flush()
+        # Its start may have ended a hidden element, so it is looked at again.
+        if hidden or hides(attrs):
+            stack.append((tag, stack[-1][1]))
+            unseen = len(stack) - 1
+            continue
         nodes.append(Node(tag, stack[-1][1], attrs))
         nodes[stack[-1][1]].children += 1
         stack.append((tag, len(nodes) - 1))

@@ -329,6 +329,22 @@ def test_dom_extract(spark):
         spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 
 
+def test_hidden_is_an_attribute_of_its_own():
+    for attrs in ('title="A hidden gem"', 'title="The hidden cost of rent"', 'class="post hidden sm"', 'style="overflow: hidden !important"',
+                  "title='say hidden'", "data-hidden", "href=/hidden", 'style="--display: none"', 'aria-hidden="false"',
+                  'title="display: none"', "style=\"background:url('x;display:none')\"", 'style="display:none; display:block"'):
+        assert [t for _, t in dom_extract.parse(f"<p {attrs}>some text</p>more").blocks] == ["some text", "more"], attrs
+    for attrs in ("hidden", "HIDDEN=''", 'class=x hidden="until-found"', 'style="color: red; Display : NONE"', "style=display:none",
+                  'style="display:none!important; display:block"', "aria-hidden=true", 'id="a"hidden'):
+        assert [t for _, t in dom_extract.parse(f"<div>a<p {attrs}>some <b>text</b></p>more</div>b").blocks] == ["a", "more", "b"], attrs
+    for html, want in (("<p hidden>x<p>one<p>two", ["one", "two"]), ("<ul><li hidden>x<li>one<li>two</ul>end", ["one", "two", "end"]),
+                       ("<p hidden>x<p hidden>y<p>one", ["one"]), ("<div>a<p hidden>x</div>b", ["a", "b"]),
+                       ("a <span hidden>x<i>y</i></span> b", ["a b"]), ("<div hidden><div>x</div>y</div>b", ["b"]),
+                       ("<p>a<span hidden>x</p>b", ["a", "b"]), ("<div hidden/>b", ["b"]), ("a<br hidden>b", ["ab"]),
+                       ("<div hidden><script>'</div>'</script>x</div>b", ["b"])):
+        assert [t for _, t in dom_extract.parse(html).blocks] == want, html
+
+
 def test_deobfuscation():
     words = {"": (60, 60, 600, 6000)} | {w: (20, 0, 25, 0) for w in ("idiot", "moron", "trash")}
     words |= {w: (30, 30, 90, 900) for w in "the this and stone river light of paper dot an are you".split()}
