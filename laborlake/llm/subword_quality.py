@@ -155,7 +155,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id
               .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
               .orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_train))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "label")
+    # One text of each id: a repeated id would bring a bag to the driver for each of its rows.
+    one = F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")).alias("one")
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(one).select("id", "one.text", "label")
     got = rows.mapInArrow(_bags(buckets), "id long, label int, ids binary, counts binary").collect()
     got.sort(key=lambda r: (r["id"], r["label"], bytes(r["ids"]), bytes(r["counts"])))
     y = np.array([1 if r["label"] else 0 for r in got], np.int64)

@@ -396,6 +396,17 @@ def test_classifiers_on_edges(spark, docs, none, rows):
     assert toxicity.clean(docs, tox, 2.0).count() == len(rows) and toxicity.clean(docs, tox, 2.0).columns == docs.columns
 
 
+def test_quality_learns_one_text_of_each_id(spark, monkeypatch):
+    bags = []
+    monkeypatch.setattr(subword_quality, "sgd", lambda got, y, buckets, seed: bags.append(got) or (np.zeros(buckets, np.float32), 0.0))
+    texts = spark.createDataFrame([(i % 2 if i < 60 else i, f"text number {i} of many") for i in range(64)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (0, 1, 60, 61)], "doc_id long, quality int")
+    for parts in (1, 4):
+        subword_quality.learn(texts.repartition(parts), labels, "quality", F.lit(True))
+    assert [len(b) for b in bags] == [4, 4]
+    assert all((x[0] == y[0]).all() and (x[1] == y[1]).all() for x, y in zip(*bags, strict=True))
+
+
 @pytest.mark.parametrize("name, label, kind, least", [("op2_quality_classifier", "quality", 3, 0.97), ("op7_toxicity", "toxic", 4, 0.93)])
 def test_held_out_accuracy(spark, name, label, kind, least):
     sf = "/root/testdata/sf0.1"
