@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laborlake.llm import (cube_mixing, dom_extract, line_dedup, packing, quality_rules, simhash, spotsigs,
-                           subword_quality, suffix_dedup, toxicity, warc)
+                           subword_quality, suffix_dedup, toxicity, turn_repair, warc)
 from laborlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,17 @@ FROM m GROUP BY doc_id
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_common_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op12_turn_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    summary, rows = turn_repair.repair(turn_repair.damage(talks))
+    keys = [F.col("conv_id").isNull().alias("cn"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("ck")]
+    every = talks.select(F.col("conv_id").cast("long").alias("id")).distinct().select(
+        F.col("id").alias("conv_id"), F.col("id").isNull().alias("cn"), F.coalesce("id", F.lit(0)).alias("ck"))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    out = (every.join(summary.select(*keys, *counts, "audit"), ["cn", "ck"], "left")
+           .join(turn_repair.repaired_hash(rows), ["cn", "ck"], "left"))
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
