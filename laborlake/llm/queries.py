@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import (cube_mixing, dom_extract, line_dedup, packing, quality_rules, simhash, spotsigs,
+from laborlake.llm import (cube_mixing, dom_extract, hard_negatives, line_dedup, packing, quality_rules, simhash, spotsigs,
                            subword_quality, suffix_dedup, toxicity, turn_repair, warc)
 from laborlake.llm.common import table
 
@@ -138,3 +138,27 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
            .join(turn_repair.repaired_hash(rows), ["cn", "ck"], "left"))
     return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
                       F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query("op11_hard_negatives", """
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other, a.label = r.label AS alike, list_dot_product(a.q, r.q)::BIGINT AS score
+  FROM valid a JOIN valid r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+positive AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.other AS negative_id, positive_score, n.score AS negative_score
+FROM positive JOIN pairs n USING (anchor_id)
+WHERE NOT n.alike AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.other)
+QUALIFY row_number() OVER w <= 10
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(relabelled)
