@@ -6,14 +6,17 @@ that list the same skills and roles match the same postings, so matching, overla
 and text are worked out once per distinct *signature* (skill set, roles); users come in
 where their rows are written (``for_users``).  Neither branch is a cross product:
 
-* Skill branch — sets are ordered rarest skill first.  Two sets that share two skills have
-  their first shared skill before the last place of both, so each side emits its skills but
-  the last; an equi join yields candidates, and a pair is kept at its first shared skill
-  only.  A hot skill is a skewed join partition that AQE splits
-  (``spark.sql.adaptive.skewJoin.enabled``), and is the last in most sets.
-* Role branch — substring search as an n-gram equi join: each distinct role is keyed by the
-  one of its 3-grams that the fewest titles hold, titles emit their distinct 1/2/3-grams,
-  and candidates are verified with ``instr``.
+* Skill branch — a posting's skills stand with the rarest first.  A posting and a signature
+  that share two skills share one before the posting's last, so the posting emits its skills
+  but the last and joins the signatures' skill lists; a pair is kept at its first shared skill
+  only.  The order needs just the ``HOT_SKILLS`` most frequent skills by name (all others come
+  before them), so a hot skill is the last one in most sets and no skill row is joined to a
+  count.
+* Role branch — substring search by length: for each length that a role has, the title's
+  substrings of that length are hashed and joined to the roles' hashes.  A bit map of the
+  role hashes (``ROLE_BITS`` bits whatever the number of roles) drops most substrings before
+  the join; neither title nor role travels through it, and chance hits fall out where the
+  pair's title and roles are together again.
 """
 from __future__ import annotations
 
@@ -31,7 +34,9 @@ NO_GAPS_TEXT = "none — strong match"
 TERM_MIN_LEN, TERM_MAX_LEN = 3, 40
 # ---------------------------------------------------------------------------------------
 
-GRAM = 3
+HOT_SKILLS = 256
+ROLE_BITS = 1 << 16
+WORD = 64
 
 
 def pending_profiles(profiles: DataFrame) -> DataFrame:
@@ -55,82 +60,104 @@ def profile_signatures(profiles: DataFrame, users: DataFrame | None = None) -> t
     return sets.drop("skill_set", "roles"), sets.select("sig_id", "skill_set", "roles").distinct()
 
 
-def _skill_rows(posting_skills: DataFrame) -> DataFrame:
-    return (posting_skills.select("posting_id", F.lower(F.trim("skill")).alias("skill"))
-                          .filter(F.col("skill") != ""))
+def posting_skill_sets(posting_skills: DataFrame) -> DataFrame:
+    """(posting_id, posting_skills: sorted distinct lower-cased names)."""
+    names = posting_skills.select("posting_id", F.lower(F.trim("skill")).alias("skill")).filter(F.col("skill") != "")
+    return names.groupBy("posting_id").agg(F.array_sort(F.collect_set("skill")).alias("posting_skills"))
 
 
-def _rarest_first(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """(key, its distinct skills, the rarest first) for the skills in ``counts``."""
-    by_count = F.array_sort(F.collect_set(F.struct("n", "skill")))
-    return (rows.join(counts, "skill").groupBy(key).agg(by_count.alias("ranked"))
-                .select(key, F.col("ranked.skill").alias("ranked")))
+def frequent_skills(sets: DataFrame, column: str, n: int = HOT_SKILLS) -> list[str]:
+    """The ``n`` most frequent skills of the sets, the most frequent last.  Only the order in
+    which sets are searched depends on them."""
+    counts = sets.select(F.explode(column).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
+    return [r.skill for r in counts.orderBy(F.desc("n"), "skill").limit(n).collect()][::-1]
 
 
-def posting_skill_sets(posting_skills: DataFrame, counts: DataFrame) -> DataFrame:
-    """(posting_id, ranked: distinct lower-cased skills, the rarest first)."""
-    return _rarest_first(_skill_rows(posting_skills), "posting_id", counts)
+def _rarest_first(skills: Column, frequent: list[str]) -> Column:
+    places = F.lit(frequent) if frequent else F.array().cast("array<string>")
+    ranked = F.array_sort(F.transform(skills, lambda s: F.struct(F.array_position(places, s).alias("place"), s.alias("skill"))))
+    return F.transform(ranked, lambda r: r["skill"])
 
 
-def skill_overlap_pairs(posting_sets: DataFrame, signatures: DataFrame, counts: DataFrame) -> DataFrame:
-    """(sig_id, posting_id) sharing ≥ 2 skills, each pair once."""
-    def prefix(sets: DataFrame, key: str, name: str) -> DataFrame:
-        heads = F.slice("ranked", 1, F.greatest(F.size("ranked") - (MIN_SKILL_OVERLAP - 1), F.lit(0)))
-        return sets.select(key, F.col("ranked").alias(name), F.explode(heads).alias("skill"))
+def skill_lists(signatures: DataFrame) -> DataFrame:
+    """(skill, sig_id, ours): the inverted lists of the signatures' skills."""
+    return signatures.select(F.explode("skill_set").alias("skill"), "sig_id", F.col("skill_set").alias("ours"))
+
 
-    held = _rarest_first(signatures.select("sig_id", F.explode("skill_set").alias("skill")), "sig_id", counts)
+def skill_overlap_pairs(sets: DataFrame, lists: DataFrame, frequent: list[str]) -> DataFrame:
+    """(sig_id, posting_id) sharing ≥ 2 skills, each pair once."""
+    ranked = sets.select("posting_id", _rarest_first(F.col("posting_skills"), frequent).alias("theirs"))
+    heads = F.slice("theirs", 1, F.greatest(F.size("theirs") - (MIN_SKILL_OVERLAP - 1), F.lit(0)))
     shared = F.array_intersect("theirs", "ours")
-    return (prefix(posting_sets, "posting_id", "theirs").join(prefix(held, "sig_id", "ours"), "skill")
+    return (ranked.select("posting_id", "theirs", F.explode(heads).alias("skill")).join(lists, "skill")
             .filter((F.size(shared) >= MIN_SKILL_OVERLAP) & (F.get(shared, F.lit(0)) == F.col("skill")))
             .select("sig_id", "posting_id"))
 
 
-def _grams(text: Column, sizes: Column) -> Column:
-    """Distinct substrings of ``text`` of the given lengths."""
-    n = F.length(text)
-    grams = F.flatten(F.transform(
-        sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
-                                     lambda i: F.substring(text, i, k))))
-    return F.array_distinct(F.filter(grams, lambda g: g != ""))
+def role_lists(signatures: DataFrame) -> DataFrame:
+    """(h, len, sig_id): hash and length of each role of a signature."""
+    roles = signatures.select("sig_id", F.explode("roles").alias("role"))
+    return roles.select(F.xxhash64("role").alias("h"), F.length("role").alias("len"), "sig_id")
 
 
-def role_title_pairs(postings: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(sig_id, posting_id) where a target role is a substring of the title; a pair comes
-    once for each such role."""
-    roles = signatures.select("sig_id", F.explode("roles").alias("role"))
-    role_grams = roles.select("role").distinct().select(
-        "role", F.explode(_grams(F.col("role"), F.array(F.least(F.length("role"), F.lit(GRAM))))).alias("gram"))
-    title_grams = postings.select("posting_id", F.lower(F.coalesce("title", F.lit(""))).alias("t")).select(
-        "posting_id", "t", F.explode(_grams(F.col("t"), F.array(*map(F.lit, range(1, GRAM + 1))))).alias("gram"))
-    held = (title_grams.select("gram").join(role_grams.select("gram").distinct(), "gram", "left_semi")
-                       .groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))
-    keyed = (role_grams.join(held, "gram", "left").groupBy("role").agg(rarest.alias("r"))
-                       .select("role", F.col("r.gram").alias("gram")))
-    hits = title_grams.join(keyed, "gram").filter(F.instr("t", F.col("role")) > 0).select("role", "posting_id")
-    return hits.join(roles, "role").select("sig_id", "posting_id")
-
-
-def signature_match(postings: DataFrame, posting_skills: DataFrame, signatures: DataFrame) -> DataFrame:
+def role_filter(lists: DataFrame) -> tuple[list[int], list[int]]:
+    """(the roles' lengths, the words of a bit map of their hashes): what a title needs to know
+    of the roles; its size is that of the longest role and of the map."""
+    slot = F.pmod("h", F.lit(ROLE_BITS))
+    row = lists.agg(F.collect_set("len").alias("len"), F.collect_set(slot).alias("slots")).first()
+    words = [0] * (ROLE_BITS // WORD)
+    for x in row["slots"]:
+        words[x // WORD] |= 1 << (x % WORD)
+    return sorted(row["len"]), [w - (1 << WORD) if w >> (WORD - 1) else w for w in words]
+
+
+def substring_hashes(text: Column, lengths: list[int], words: list[int]) -> Column:
+    """Distinct hashes of the substrings of the given lengths that the bit map holds."""
+    slots = F.lit(words).cast("array<bigint>")
+
+    def of(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.xxhash64(F.substring(text, i, F.lit(k))))
+        return F.when(F.length(text) >= k, every).otherwise(F.array().cast("array<bigint>"))
+
+    def held(h: Column) -> Column:
+        slot = F.pmod(h, F.lit(ROLE_BITS))
+        return F.getbit(F.get(slots, F.floor(slot / WORD).cast("int")), (slot % WORD).cast("int")) == 1
+
+    return F.array_distinct(F.filter(F.concat(*[of(k) for k in lengths]), held))
+
+
+def role_title_pairs(postings: DataFrame, lists: DataFrame, known: tuple[list[int], list[int]] | None = None) -> DataFrame:
+    """(sig_id, posting_id) where the title has a substring with the hash of a target role."""
+    lengths, words = known or role_filter(lists)
+    if not lengths:
+        return lists.select("sig_id", F.lit(None).cast("string").alias("posting_id")).limit(0)
+    title = F.lower(F.coalesce("title", F.lit("")))
+    hashes = postings.select("posting_id", F.explode(substring_hashes(title, lengths, words)).alias("h"))
+    return hashes.join(lists.select("h", "sig_id"), "h").select("sig_id", "posting_id")
+
+
+def signature_match(postings: DataFrame, sets: DataFrame, signatures: DataFrame, skills: DataFrame | None = None,
+                    roles: DataFrame | None = None, frequent: list[str] | None = None) -> DataFrame:
     """Matched (sig_id, posting) pairs with the sorted skill overlap and the role flag.
 
     ``postings``: posting_id, title (+ company / region / url carried through).
-    ``posting_skills``: (posting_id, skill) rows."""
-    counts = _skill_rows(posting_skills).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
-    sets = posting_skill_sets(posting_skills, counts)
+    ``sets``: ``posting_skill_sets``.  ``skills``, ``roles`` and ``frequent`` are the lists of a
+    standing index; without them they are made from the signatures and the sets."""
+    frequent = frequent_skills(sets, "posting_skills") if frequent is None else frequent
+    skills = skill_lists(signatures) if skills is None else skills
+    roles = role_lists(signatures) if roles is None else roles
     keep = [c for c in ("posting_id", "title", "company_name", "region", "url") if c in postings.columns]
     # One partitioning by posting serves the distinct and both joins behind it.
-    pairs = (skill_overlap_pairs(sets, signatures, counts).unionByName(role_title_pairs(postings, signatures))
+    pairs = (skill_overlap_pairs(sets, skills, frequent).unionByName(role_title_pairs(postings, roles))
              .repartition("posting_id").distinct())
-    out = (pairs.join(postings.select(*keep), "posting_id")
-                .join(sets.select("posting_id", F.array_sort("ranked").alias("posting_skills")), "posting_id", "left")
-                .join(signatures, "sig_id"))
+    out = (pairs.join(postings.select(*keep), "posting_id").join(sets, "posting_id", "left").join(signatures, "sig_id"))
     overlap = F.array_intersect(F.coalesce("posting_skills", F.array().cast("array<string>")), F.col("skill_set"))
     tl = F.lower(F.coalesce("title", F.lit("")))
     return out.select(
         "sig_id", *keep, "posting_skills", F.col("skill_set").alias("profile_skills"),
         F.array_sort(overlap).alias("overlap"),
-        F.exists("roles", lambda r: F.instr(tl, r) > 0).alias("role_match"))
+        F.exists("roles", lambda r: F.instr(tl, r) > 0).alias("role_match")
+    ).where((F.size("overlap") >= MIN_SKILL_OVERLAP) | F.col("role_match"))
 
 
 def for_users(rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -142,7 +169,7 @@ def profile_match(postings: DataFrame, posting_skills: DataFrame, profiles: Data
                   users: DataFrame | None = None) -> DataFrame:
     """Matched (user, posting) pairs: ``signature_match`` written out for every user."""
     members, signatures = profile_signatures(profiles, users)
-    return for_users(signature_match(postings, posting_skills, signatures), members)
+    return for_users(signature_match(postings, posting_skill_sets(posting_skills), signatures), members)
 
 
 def notification_rows(matches: DataFrame, key: str = "sig_id") -> DataFrame:

@@ -77,10 +77,8 @@ def per_user_sql(pairs_sql: str, ints: list[str], texts: list[str]) -> str:
 
 
 def _matches(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
-    """(matches of the signatures, their users)."""
-    skills = fx.bridge.join(fx.dim_skill, "skill_id").select("posting_id", F.col("skill_name").alias("skill"))
-    members, signatures = matching.profile_signatures(fx.profiles, fx.users)
-    return matching.signature_match(fx.fact_wide, skills, signatures), members
+    """(matches of the signatures, their users), both written once per session."""
+    return fx.matches["matches"], fx.matches["members"]
 
 
 PAIR_SQL["profile_match"] = _MATCH_CTE + """

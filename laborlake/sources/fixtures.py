@@ -281,6 +281,28 @@ def materialized_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     return out
 
 
+_MATCHES: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def materialized_matches(fx: Fixtures) -> dict[str, DataFrame]:
+    """The match of postings and profile signatures as tables, written once per session: what
+    scores, reports and notifications are made from.  No pair of a user and a posting is stored."""
+    from laborlake.operators import matching
+    key = (fx.spark.sparkContext.applicationId, os.path.abspath(fx.sf_dir))
+    if key not in _MATCHES:
+        base = shared_dir(fx.spark, f"matches-{uuid.uuid4().hex}")
+
+        def put(name: str, df: DataFrame) -> DataFrame:
+            df.write.parquet(f"{base}/{name}")
+            return fx.spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+        members, signatures = matching.profile_signatures(fx.profiles, fx.users)
+        sets = put("posting_skill_sets", matching.posting_skill_sets(fx.posting_skill))
+        matches = matching.signature_match(fx.fact_wide, sets, put("signatures", signatures))
+        _MATCHES[key] = {"members": put("members", members), "matches": put("matches", matches)}
+    return _MATCHES[key]
+
+
 @dataclass
 class Fixtures:
     """Job-market frames for one ``sf_dir``.  With ``materialize`` (default) the posting
@@ -299,6 +321,10 @@ class Fixtures:
     def marts(self) -> dict[str, DataFrame] | None:
         return materialized_marts(self.spark, self.sf_dir) if self.materialize else None
 
+    @cached_property
+    def matches(self) -> dict[str, DataFrame]:
+        return materialized_matches(self)
+
     @cached_property
     def posting(self) -> DataFrame:
         return self.marts["posting"] if self.marts else posting_raw(self.tables)

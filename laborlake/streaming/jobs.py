@@ -38,7 +38,7 @@ def match_batch(batch: DataFrame, batch_id: int, load_profiles, load_users, stag
     postings = events.select("posting_id", "title", F.col("company").alias("company_name"), "region", "url")
     skills = events.select("posting_id", F.explode_outer("required_skills").alias("skill"))
     members, signatures = matching.profile_signatures(load_profiles(), load_users() if load_users else None)
-    matches = matching.signature_match(postings.dropDuplicates(["posting_id"]), skills, signatures)
+    matches = matching.signature_match(postings.dropDuplicates(["posting_id"]), matching.posting_skill_sets(skills), signatures)
     rows = matching.for_users(matching.notification_rows(matches), members)
     cols = [c.split()[0] for c in NOTIFICATION_SCHEMA.split(", ")]
     rows.select(*cols).write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
