@@ -53,7 +53,7 @@ def profile_signatures(profiles: DataFrame, users: DataFrame | None = None) -> t
     """(members, signatures) of the matchable profiles: members (user_id, [email,] sig_id),
     signatures (sig_id, sorted distinct lower skill_set, sorted distinct lower roles)."""
     prof = pending_profiles(profiles) if users is None else profile_users(profiles, users)
-    sets = prof.select("user_id", *([] if users is None else ["email"]),
+    sets = prof.select("user_id", *[c for c in ("email",) if c in prof.columns],
                        F.array_sort(F.array_distinct(csv_list("skills"))).alias("skill_set"),
                        F.array_sort(F.array_distinct(csv_list("target_roles"))).alias("roles"))
     sets = sets.withColumn("sig_id", F.md5(F.to_json(F.struct("skill_set", "roles"))))

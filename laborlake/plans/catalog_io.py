@@ -20,6 +20,7 @@ from laborlake.session import shared_dir
 from laborlake.sources import files
 from laborlake.sources.fixtures import Fixtures, landed_pages
 from laborlake.streaming import events, jobs
+from laborlake.streaming.profile_index import ProfileIndex
 
 
 def _scratch(fx: Fixtures, name: str) -> str:
@@ -66,14 +67,17 @@ def q_ml_score(fx: Fixtures) -> DataFrame:
 
 
 # ---------------------------------------------------------------- streaming
+def _with_skills(fx: Fixtures) -> DataFrame:
+    skills = (fx.bridge.join(fx.dim_skill, "skill_id").groupBy("posting_id")
+              .agg(F.array_sort(F.collect_list("skill_name")).alias("required_skills")))
+    return fx.fact_wide.join(skills, "posting_id", "left")
+
+
 def _events_dir(fx: Fixtures, copies: int = 1) -> str:
     """Publish one event per fact posting (skills sorted) into a fresh folder."""
     path = _scratch(fx, "events")
-    skills = (fx.bridge.join(fx.dim_skill, "skill_id").groupBy("posting_id")
-              .agg(F.array_sort(F.collect_list("skill_name")).alias("required_skills")))
-    postings = fx.fact_wide.join(skills, "posting_id", "left")
     for _ in range(copies):
-        events.publish(postings, path=path)
+        events.publish(_with_skills(fx), path=path)
     return path
 
 
@@ -114,13 +118,16 @@ def q_sink_kafka_events(fx: Fixtures) -> DataFrame:
         "key", "value", F.lit(n).cast("bigint").alias("published"))
 
 
+def _profile_rows(fx: Fixtures) -> DataFrame:
+    return fx.profiles.join(fx.users, "user_id").select("user_id", "email", "skills", "target_roles")
+
+
 def _match_stream(fx: Fixtures, copies: int) -> DataFrame:
     src = events.subscribe(fx.spark, path=_events_dir(fx, copies), files_per_trigger=4)
     sink = _scratch(fx, "notifications")
-    profiles_path = _scratch(fx, "profiles")
-    files.write_parquet(fx.profiles, profiles_path)
-    jobs.run_match_stream(fx.spark, src, lambda: files.read_profiles(fx.spark, path=profiles_path), lambda: fx.users,
-                          sink)
+    index = ProfileIndex(fx.spark, _scratch(fx, "profile-index"))
+    index.commit(_profile_rows(fx))
+    jobs.run_match_stream(fx.spark, src, index, sink)
     return jobs.read_notifications(fx.spark, sink)
 
 
@@ -130,7 +137,7 @@ def _notify_sql() -> str:
 
 
 def stream_match_pairs(fx: Fixtures) -> DataFrame:
-    return _match_stream(fx, copies=2).drop("batch_id")
+    return _match_stream(fx, copies=2).drop("batch_id", "profile_version")
 
 
 @register("stream_match", _notify_sql())
@@ -141,23 +148,60 @@ def q_stream_match(fx: Fixtures) -> DataFrame:
     return cm.summed(stream_match_pairs(fx), cm.NOTIFY_INTS, cm.NOTIFY_TEXTS)
 
 
-@register("profile_refresh")
+def changed_profiles(fx: Fixtures) -> DataFrame:
+    """The edits between the two halves of ``profile_refresh``: every tenth user looks for
+    something else, and every seventh of the rest takes the profile out."""
+    k = F.col("user_id")
+    return _profile_rows(fx).where((k % 10 == 0) | (k % 7 == 0)).select(
+        "user_id", "email", F.when(k % 10 == 0, F.concat(F.lit("Brand#"), (k % 23 + 3).cast("string"), F.lit(", brand#"), (k % 5 + 1).cast("string")))
+        .otherwise("").alias("skills"), F.when(k % 20 == 0, "steel").otherwise("").alias("target_roles"))
+
+
+def _refresh_sql() -> str:
+    from laborlake.plans import catalog_matching as cm
+    after = (cm.PAIR_SQL["notification_text"].replace("from fx_profile p", "from fx_profile_edited p")
+             .replace("where p.skills is not null", "where p.skills is not null and true"))
+    return f"""
+with v1 as ({cm.PAIR_SQL["notification_text"]}),
+v2 as ({after}),
+both_halves as (select 1 profile_version, * from v1 where cast(posting_id as bigint) % 2 = 0
+                union all select 2, * from v2 where cast(posting_id as bigint) % 2 = 1)
+select cast(profile_version as bigint) profile_version, user_id, count(*) pairs, cast(sum(length(title)) as bigint) len_title,
+       cast(sum(length(body)) as bigint) len_body, min(posting_id) min_posting_id, max(body) max_body
+from both_halves group by all"""
+
+
+@register("profile_refresh", _refresh_sql())
 def q_profile_refresh(fx: Fixtures) -> DataFrame:
-    """Profiles are re-read from their table by every micro-batch: per batch, how many
-    notifications were written."""
-    return _match_stream(fx, copies=1).groupBy("batch_id").agg(F.count(F.lit(1)).alias("notifications"))
+    """The stream sees half of the postings, then profiles change, then it goes on with the other
+    half: what each user was told, by the profile version that the batch used."""
+    sink, path, checkpoint = _scratch(fx, "notifications"), _scratch(fx, "events"), _scratch(fx, "ckpt")
+    index = ProfileIndex(fx.spark, _scratch(fx, "profile-index"))
+    halves = [(_profile_rows(fx), 0), (changed_profiles(fx), 1)]
+    for changes, half in halves:
+        index.commit(changes)
+        events.publish(_with_skills(fx).where(F.col("posting_id").cast("bigint") % 2 == half), path=path)
+        jobs.run_match_stream(fx.spark, events.subscribe(fx.spark, path=path), index, sink, checkpoint)
+    return jobs.read_notifications(fx.spark, sink).groupBy("profile_version", "user_id").agg(
+        F.count(F.lit(1)).alias("pairs"), F.sum(F.length("title")).cast("bigint").alias("len_title"),
+        F.sum(F.length("body")).cast("bigint").alias("len_body"), F.min("posting_id").alias("min_posting_id"), F.max("body").alias("max_body"))
+
+
+NOTIFICATION_ROWS = "notification_id long, user_id long, posting_id string, is_read boolean, created_at timestamp_ntz"
 
 
 @register("stream_notify_once", """
-select distinct user_id, posting_id from fx_notification""")
+select notification_id, user_id, posting_id, is_read, created_at from (
+  select *, row_number() over (partition by user_id, posting_id order by created_at, notification_id) rn
+  from fx_notification) q where rn = 1""")
 def q_stream_notify_once(fx: Fixtures) -> DataFrame:
-    src_dir = _scratch(fx, "notif-in")
-    fx.notifications.repartition(8).write.json(src_dir)
-    sink = _scratch(fx, "notif-out")
-    schema = "notification_id long, user_id long, posting_id string, is_read boolean, created_at timestamp_ntz"
-    src = fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(src_dir)
-    jobs.run_once_stream(fx.spark, src, ["user_id", "posting_id"], "notification_id", sink)
-    return fx.spark.read.parquet(sink).select("user_id", "posting_id")
+    """The notifications arrive in files whose order is not that of their times."""
+    src_dir, sink = _scratch(fx, "notif-in"), _scratch(fx, "notif-out")
+    fx.notifications.repartition(8).write.parquet(src_dir)
+    src = fx.spark.readStream.schema(NOTIFICATION_ROWS).option("maxFilesPerTrigger", 2).parquet(src_dir)
+    order = ["created_at", "notification_id"]
+    jobs.run_once_stream(fx.spark, src, ["user_id", "posting_id"], "notification_id", sink, order=order)
+    return jobs.read_once(fx.spark, sink, ["user_id", "posting_id"], order, NOTIFICATION_ROWS, "notification_id").drop("batch_id")
 
 
 @register("stream_rate", """

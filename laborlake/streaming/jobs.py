@@ -1,10 +1,13 @@
 """Structured Streaming jobs.
 
 * ``run_match_stream`` — posting events → profile match → in-app notifications, at most
-  one per (user, posting).  ``foreachBatch`` re-reads the profile table every batch (the
-  static side follows profile edits) and stages each micro-batch in its own
-  ``batch_id=N`` folder (overwrite: replay-safe); a second stream de-duplicates the
-  staged rows on (user, posting) with keyed state and appends to an exactly-once sink.
+  one per (user, posting).  Each micro-batch notes the profile version it uses, matches its
+  postings against the standing index of signatures (``profile_index``) as of that version and
+  stages its rows in a ``batch_id=N`` folder (overwrite: replay-safe).  A second stream runs
+  beside the first and passes each key of the staged rows once.
+* ``run_once_stream`` — at most one row per key, the earliest: a history table, partitioned by
+  batch and bucket of the key's hash, is read for the batch's buckets alone and joined to it.
+  No state store grows with the stream.
 * ``run_rate_stream`` — tumbling-window request counts per identity with a watermark
   (bounded state), update mode; counts only grow, so the final count per window is the
   max over emitted updates.
@@ -26,49 +29,51 @@ from pyspark.sql import functions as F
 from laborlake.operators import matching, tracking
 from laborlake.session import shared_dir
 from laborlake.streaming.events import decode_events
+from laborlake.streaming.profile_index import ProfileIndex
 
 
-NOTIFICATION_SCHEMA = "user_id long, posting_id string, title string, body string, link string, kind string"
+NOTIFICATION_SCHEMA = ("user_id long, posting_id string, title string, body string, link string, kind string, "
+                       "profile_version long")
+BUCKETS = 64
 
 
-def match_batch(batch: DataFrame, batch_id: int, load_profiles, load_users, staging: str) -> None:
-    """One micro-batch: decode → match against the *current* profiles → notification
-    rows → ``staging/batch_id=N`` (overwrite, so a replayed batch rewrites its folder)."""
+def match_batch(batch: DataFrame, batch_id: int, index: ProfileIndex, staging: str) -> None:
+    """One micro-batch: decode → match against the index as of the batch's profile version →
+    notification rows → ``staging/batch_id=N`` (overwrite, so a replayed batch rewrites its folder)."""
+    version = index.version_of(batch_id)
+    index.advance(version)
+    view = index.at(version)
     events = decode_events(batch)
     postings = events.select("posting_id", "title", F.col("company").alias("company_name"), "region", "url")
-    skills = events.select("posting_id", F.explode_outer("required_skills").alias("skill"))
-    members, signatures = matching.profile_signatures(load_profiles(), load_users() if load_users else None)
-    matches = matching.signature_match(postings.dropDuplicates(["posting_id"]), matching.posting_skill_sets(skills), signatures)
-    rows = matching.for_users(matching.notification_rows(matches), members)
+    sets = matching.posting_skill_sets(events.select("posting_id", F.explode_outer("required_skills").alias("skill")))
+    matches = matching.signature_match(postings.dropDuplicates(["posting_id"]), sets, view.signatures, view.skills, view.roles,
+                                       view.frequent)
+    rows = matching.for_users(matching.notification_rows(matches), view.members)
     cols = [c.split()[0] for c in NOTIFICATION_SCHEMA.split(", ")]
-    rows.select(*cols).write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
-
-
-def run_match_stream(spark: SparkSession, source: DataFrame, load_profiles, load_users, sink: str,
-                     checkpoint: str | None = None) -> None:
-    """Two streaming stages:
-    1. ``foreachBatch`` matching (profiles re-read every batch) → staged notification rows;
-    2. a file stream over the staged rows → ``dropDuplicates(user_id, posting_id)``, whose
-       seen-key set lives in the state store (per-batch cost follows the batch, not the
-       history) → append to an exactly-once file sink.
-    Replays of either stage are absorbed: stage 1 overwrites its batch folder, stage 2
-    drops keys it has already emitted."""
+    (rows.withColumn("profile_version", F.lit(version).cast("long")).select(*cols)
+     .write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}"))
+
+
+def run_match_stream(spark: SparkSession, source: DataFrame, index: ProfileIndex, sink: str, checkpoint: str | None = None) -> None:
+    """Two streaming stages that run at once: ``match_batch`` stages notification rows, and
+    ``run_once_stream``'s batches pass each (user, posting) on to ``sink`` while the first goes on.
+    Started again with its checkpoint and sink, the job goes on where it ended."""
     checkpoint = checkpoint or shared_dir(spark, f"match-stream-{uuid.uuid4().hex}")
     staging = f"{sink}_staging"
-    q1 = (source.writeStream
-          .foreachBatch(lambda df, bid: match_batch(df, bid, load_profiles, load_users, staging))
-          .option("checkpointLocation", f"{checkpoint}/match")
-          .trigger(availableNow=True).start())
-    q1.awaitTermination()
-    staged = spark.readStream.schema(NOTIFICATION_SCHEMA + ", batch_id long").parquet(staging)
-    once = staged.dropDuplicates(["user_id", "posting_id"])
-    q2 = (once.writeStream.format("parquet").outputMode("append").option("path", sink)
-          .option("checkpointLocation", f"{checkpoint}/once").trigger(availableNow=True).start())
-    q2.awaitTermination()
+    spark.createDataFrame([], NOTIFICATION_SCHEMA).write.mode("overwrite").parquet(f"{staging}/batch_id=-1")  # the folder to watch
+    staged = spark.readStream.schema(NOTIFICATION_SCHEMA + ", batch_id long").parquet(staging).drop("batch_id")
+    once = _once_query(staged, ["user_id", "posting_id"], None, sink, f"{checkpoint}/once", [], {"processingTime": "0 seconds"})
+    try:
+        match = (source.writeStream.foreachBatch(lambda df, bid: match_batch(df, bid, index, staging))
+                 .option("checkpointLocation", f"{checkpoint}/match").trigger(availableNow=True).start())
+        match.awaitTermination()
+        once.processAllAvailable()
+    finally:
+        once.stop()
 
 
 def read_notifications(spark: SparkSession, sink: str) -> DataFrame:
-    return spark.read.schema(NOTIFICATION_SCHEMA + ", batch_id long").parquet(sink)
+    return read_once(spark, sink, ["user_id", "posting_id"], [], NOTIFICATION_SCHEMA)
 
 
 def rate_counts(requests: DataFrame, ts: str, identity, window_seconds: int, watermark: str) -> DataFrame:
@@ -123,15 +128,70 @@ def read_status(spark: SparkSession, sink: str) -> DataFrame:
     return u.groupBy("user_id", "company_key").agg(latest).select("user_id", "company_key", *[f"l.{c}" for c in values])
 
 
+def _history(sink: str) -> str:
+    return f"{sink.rstrip('/')}_history"
+
+
+def once_batch(batch: DataFrame, batch_id: int, keys: list[str], row_id: str | None, order: list[str], sink: str,
+               buckets: int = BUCKETS) -> None:
+    """Write the batch's rows whose key is new, or (with ``order``) earlier than what the history
+    has for it, to ``sink/batch_id=N``, and their keys to the history.
+
+    A key's rows of one batch are reduced to the earliest.  A row with a null in its key is only a
+    repeat of a row with its ``row_id``.  Only batches before this one count as history, so a
+    batch that is run again writes the same rows."""
+    spark = batch.sparkSession
+    own = F.when(reduce(or_, [F.col(k).isNull() for k in keys]), F.col(row_id)) if row_id else F.lit(None)
+    by = [*keys, "__own"]
+    values = [c for c in batch.columns if c not in keys]
+    rows = batch.withColumn("__own", own.cast("string"))
+    first = F.min(F.struct(*order, *[F.col(c).alias(f"__v_{c}") for c in values])).alias("f")
+    new = (rows.groupBy(*by).agg(first).select(*by, *[F.col(f"f.{c}").alias(f"__o_{c}") for c in order],
+                                               *[F.col(f"f.__v_{c}").alias(c) for c in values])
+           .withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")))
+    staged = f"{sink.rstrip('/')}_batch/batch_id={batch_id}"
+    new.write.mode("overwrite").parquet(staged)  # the batch is read once, then its buckets and rows from here
+    new = spark.read.schema(new.schema).parquet(staged)
+    if batch_id > 0:
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        known = (spark.read.schema(_history_schema(new, by, order)).parquet(_history(sink))
+                 .where(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id)))
+        known = known.groupBy("bucket", *by).agg(F.min(F.struct(*[f"__o_{c}" for c in order], F.lit(0).alias("__held"))).alias("held"))
+        same = reduce(lambda a, b: a & b, [new[k].eqNullSafe(known[k]) for k in by], new["bucket"] == known["bucket"])
+        late = reduce(or_, [F.lit(False)] + ([F.struct(*[new[f"__o_{c}"] for c in order]) < F.struct(
+            *[known["held"][f"__o_{c}"] for c in order])] if order else []))
+        new = new.join(known, same, "left").where(known["held"].isNull() | late).select(*[new[c] for c in new.columns])
+    new.select(*batch.columns).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+    new.select("bucket", *by, *[f"__o_{c}" for c in order]).write.mode("overwrite").partitionBy("bucket").parquet(
+        f"{_history(sink)}/batch_id={batch_id}")
+
+
+def _history_schema(new: DataFrame, by: list[str], order: list[str]):
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+    fields = [new.schema[c] for c in [*by, *[f"__o_{c}" for c in order]]]
+    return StructType([*fields, StructField("batch_id", LongType()), StructField("bucket", IntegerType())])
+
+
+def _once_query(source: DataFrame, keys: list[str], row_id: str | None, sink: str, checkpoint: str, order: list[str], trigger: dict):
+    return (source.writeStream.foreachBatch(lambda df, bid: once_batch(df, bid, keys, row_id, order, sink))
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+
+
 def run_once_stream(spark: SparkSession, source: DataFrame, keys: list[str], row_id: str, sink: str,
-                    checkpoint: str | None = None) -> None:
-    """At most one row per key over the whole stream: ``dropDuplicates`` keeps the seen
-    keys in the state store and the file sink commits each batch exactly once.  A row with a
-    NULL in its key is only a repeat of a row with its ``row_id``, as in ``notify_once``."""
-    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
-    source = source.withColumn("__own", F.when(no_key, F.col(row_id)))
+                    checkpoint: str | None = None, order: list[str] | None = None) -> None:
+    """At most one row per key over the whole stream; with ``order`` the earliest by it, in whatever
+    order the rows arrive (``read_once`` takes the last correction)."""
     checkpoint = checkpoint or shared_dir(spark, f"once-{uuid.uuid4().hex}")
-    q = (source.dropDuplicates([*keys, "__own"]).drop("__own").writeStream.format("parquet").outputMode("append")
-         .option("path", sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _once_query(source, keys, row_id, sink, checkpoint, order or [], {"availableNow": True}).awaitTermination()
+
+
+def read_once(spark: SparkSession, sink: str, keys: list[str], order: list[str], schema: str, row_id: str | None = None) -> DataFrame:
+    """The sink's rows; a row that a later batch corrected by an earlier one is left out."""
+    rows = spark.read.schema(f"{schema}, batch_id long").parquet(sink)
+    if not order:
+        return rows
+    own = F.when(reduce(or_, [F.col(k).isNull() for k in keys]), F.col(row_id)) if row_id else F.lit(None)
+    values = [c for c in rows.columns if c not in keys]
+    first = F.min(F.struct(*order, *[F.col(c).alias(f"__v_{c}") for c in values])).alias("f")
+    return (rows.groupBy(*keys, own.cast("string").alias("__own")).agg(first)
+            .select(*keys, *[F.col(f"f.__v_{c}").alias(c) for c in values]).select(*rows.columns))
