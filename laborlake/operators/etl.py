@@ -6,27 +6,58 @@ The median comes from a histogram of distinct salaries.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laborlake.functions.lists import skill_count
 from laborlake.functions.salary import clean_salary
 
 
+def _order_code(df: DataFrame, name: str) -> Column:
+    """A long that never falls as the column rises (null lowest): numbers rounded down, dates
+    as days, texts as their first seven bytes.  Ties are settled on the rows themselves."""
+    c, kind = F.col(name), df.schema[name].dataType
+    if isinstance(kind, (T.FractionalType, T.IntegralType)):
+        code = c if isinstance(kind, T.IntegralType) else F.floor(F.least(F.greatest(c.cast("double"), F.lit(-9e18)), F.lit(9e18)))
+    elif isinstance(kind, T.StringType):
+        code = F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        code = F.datediff(c, F.lit("1970-01-01").cast("date"))
+    elif isinstance(kind, T.BooleanType):
+        code = c.cast("int")
+    else:
+        return F.lit(0).cast("bigint")
+    return F.coalesce(code.cast("bigint"), F.lit(-2 ** 63))
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One whole row per key, the first by ``order`` (nulls first; null keys are one key).
+
+    A hash aggregate finds each key's lowest order code, a long, from (key, code) alone; the wide
+    rows meet it once, and only rows with that code, few of each key, are put in order."""
+    plain = {k: isinstance(df.schema[k].dataType, T.NumericType) for k in keys}
+    ks = [f"__{x}{i}" for i in range(len(keys)) for x in "nk"]
+    rows = df.withColumns({f"__{x}{i}": F.col(k).isNull() if x == "n" else F.coalesce(k, F.lit(0)) if plain[k] else F.coalesce(F.col(k).cast("string"), F.lit(""))
+                           for i, k in enumerate(keys) for x in "nk"}).withColumn("__code", _order_code(df, order[0]))
+    low = rows.groupBy(*ks).agg(F.min("__code").alias("__low"))
+    place = F.row_number().over(Window.partitionBy(*ks).orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    return (rows.join(low, ks).where(F.col("__code") == F.col("__low")).withColumn("__place", place)
+            .where(F.col("__place") == 1).select(*df.columns))
+
+
 def dedupe_postings(raw: DataFrame, key: str | list[str] = "posting_id") -> DataFrame:
     """One row per key: the smallest by its other columns, in their order, so a task that
     runs again keeps the same row."""
     keys = [key] if isinstance(key, str) else list(key)
     others = [c for c in raw.columns if c not in keys]
-    if not others:
-        return raw.distinct()
-    first = F.min(F.struct(*others)).alias("__first")
-    return raw.groupBy(*keys).agg(first).select(*[c if c in keys else F.col(f"__first.{c}").alias(c) for c in raw.columns])
+    return first_rows(raw, keys, others) if others else raw.distinct()
 
 
 def dedupe_deterministic(raw: DataFrame, key: str, order_cols: list[str], keep: str = "min") -> DataFrame:
-    """One row per key chosen by ``order_cols`` (min or max), as an aggregate of a struct:
-    partial aggregation keeps one candidate per key per task, never a whole group."""
+    """One row per key chosen by ``order_cols`` (min or max), ties by the other columns.  The
+    order columns are fixed-width here, so the choice is an aggregate of a struct: partial
+    aggregation keeps one candidate per key per task, never a whole group."""
     others = [c for c in raw.columns if c != key]
     s = F.struct(*[F.col(c) for c in order_cols], *[F.col(c).alias(f"__v_{c}") for c in others])
     pick = F.min(s) if keep == "min" else F.max(s)
@@ -34,10 +65,10 @@ def dedupe_deterministic(raw: DataFrame, key: str, order_cols: list[str], keep:
                .select(key, *[F.col(f"__pick.__v_{c}").alias(c) for c in others]))
 
 
-def dedupe_keep_last(rows: DataFrame, key: str, seq: str, title_col: str = "title") -> DataFrame:
+def dedupe_keep_last(rows: DataFrame, key: str, seq: str | list[str], title_col: str = "title") -> DataFrame:
     """Within one ingest the last row per key wins; rows without a title are skipped."""
     usable = rows.filter(F.col(title_col).isNotNull())
-    return dedupe_deterministic(usable, key, [seq], keep="max")
+    return dedupe_deterministic(usable, key, [seq] if isinstance(seq, str) else seq, keep="max")
 
 
 def clean_postings(raw: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laborlake.functions.lists import csv_list
+from laborlake.operators.etl import first_rows
 
 # --- fixed values (must equal the reference for identical results) -------------------
 MIN_SKILL_OVERLAP = 2
@@ -214,11 +215,8 @@ def notify_once(new: DataFrame, history: DataFrame | None = None,
     if history is not None:
         keyed = keyed.join(history.select("user_id", "posting_id").filter(F.col("posting_id").isNotNull()),
                            ["user_id", "posting_id"], "left_anti")
-    others = [c for c in keyed.columns if c not in ("user_id", "posting_id")]
-    first = F.min(F.struct(*[F.col(c) for c in order_cols],
-                           *[F.col(c).alias(f"__v_{c}") for c in others])).alias("__f")
-    dedup = keyed.groupBy("user_id", "posting_id").agg(first) \
-                 .select("user_id", "posting_id", *[F.col(f"__f.__v_{c}").alias(c) for c in others])
+    rest = [c for c in keyed.columns if c not in ("user_id", "posting_id", *order_cols)]
+    dedup = first_rows(keyed, ["user_id", "posting_id"], [*order_cols, *rest])
     return dedup.unionByName(new.filter(F.col("posting_id").isNull()))
 
 

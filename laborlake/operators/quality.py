@@ -10,12 +10,17 @@ A check's failure count follows the usual test-returns-offending-rows convention
 Checks on the same table share one aggregate pass (``count_if`` per column, unpivoted to
 rows); uniqueness is a grouped count; relationships are left-anti joins.  The summary is
 at most 17 rows, so the gate may bring it to the driver.
+
+``offending_rows`` gives the rows behind the counts: each table is read once for its row-level
+checks and emits a failing row with every check that it fails.  ``quarantine`` writes them,
+raises if a check of severity error has one, and only then lets the tables
+be seen (``sources.releases``).
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laborlake.operators.star import Star
@@ -125,6 +130,70 @@ def gate_summary(star: Star) -> DataFrame:
                    .when(F.col("severity") == "warn", "warn").otherwise("fail"))
 
 
+def _failing(df: DataFrame, model: str, key: list[str], tests: list[tuple[Check, Column]]) -> DataFrame:
+    """(check, severity, model, row_key, value, row): one pass over ``df``."""
+    found = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(c.name).alias("check"), F.lit(c.severity).alias("severity"),
+                                                           F.col(c.column).cast("string").alias("value"))) for c, bad in tests]))
+    return (df.withColumn("__f", F.explode(found)).select(
+        "__f.check", "__f.severity", F.lit(model).alias("model"), _row_key(key), "__f.value",
+        F.to_json(F.struct(*df.columns)).alias("row")))
+
+
+def _row_key(key: list[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).alias("row_key")
+
+
+def _repeats(df: DataFrame, model: str, key: list[str], column: str) -> DataFrame:
+    """Every row whose non-null value stands in another row as well."""
+    twice = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(column)
+    return _failing(df.join(twice, column, "left_semi"), model, key, [(Check("unique", model, column), F.lit(True))])
+
+
+def _without_parent(df: DataFrame, model: str, key: list[str], column: str, parent: DataFrame) -> DataFrame:
+    lost = df.where(F.col(column).isNotNull()).join(parent.select(column), column, "left_anti")
+    return _failing(lost, model, key, [(Check("relationships", model, column), F.lit(True))])
+
+
+def offending_rows(star: Star) -> DataFrame:
+    """The quarantine table: (check, severity, model, row_key, value, row as JSON)."""
+    low, high = SALARY_RANGE
+
+    def missing(model: str, *columns: str) -> list[tuple[Check, Column]]:
+        return [(Check("not_null", model, c), F.col(c).isNull()) for c in columns]
+
+    stg, fact = "stg_postings", "fact_job_posting"
+    parts = [
+        _failing(star.stg, stg, ["posting_id"], [*missing(stg, "posting_id", "title"), (
+            Check("accepted_values", stg, "seniority"), ~F.coalesce(F.col("seniority").isin(*ACCEPTED_SENIORITY), F.lit(True)))]),
+        _failing(star.dim_company, "dim_company", ["company_id"], missing("dim_company", "company_id", "company_name")),
+        _failing(star.dim_skill, "dim_skill", ["skill_id"], missing("dim_skill", "skill_id", "skill_name")),
+        _failing(star.fact, fact, ["posting_id"], [*missing(fact, "posting_id"), (
+            Check("accepted_range", fact, "salary", "warn"), F.coalesce((F.col("salary") < low) | (F.col("salary") > high), F.lit(False)))]),
+        _repeats(star.stg, stg, ["posting_id"], "posting_id"), _repeats(star.dim_company, "dim_company", ["company_id"], "company_id"),
+        _repeats(star.dim_skill, "dim_skill", ["skill_id"], "skill_id"), _repeats(star.dim_skill, "dim_skill", ["skill_id"], "skill_name"),
+        _repeats(star.fact, fact, ["posting_id"], "posting_id"),
+        _without_parent(star.fact, fact, ["posting_id"], "company_id", star.dim_company),
+        _without_parent(star.bridge, "bridge_posting_skill", ["posting_id", "skill_id"], "posting_id", star.fact),
+        _without_parent(star.bridge, "bridge_posting_skill", ["posting_id", "skill_id"], "skill_id", star.dim_skill),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def quarantine(star: Star, path: str) -> DataFrame:
+    """Write the offending rows below ``path`` and raise if one failed a check of severity error.
+    Returns them read back; warnings do not stop the gate."""
+    offending_rows(star).write.mode("overwrite").parquet(path)
+    rows = star.stg.sparkSession.read.parquet(path)
+    failed = rows.where("severity = 'error'").groupBy("check").agg(F.count(F.lit(1)).alias("n")).orderBy("check").collect()
+    if failed:   # at most one row per check
+        names = ", ".join(f"{r['check']}={r['n']}" for r in failed)
+        raise DataQualityError(f"{len(failed)} data-quality check(s) failed: {names}; rows in {path}")
+    return rows
+
+
 def enforce(summary: DataFrame) -> list[dict]:
     """Raise if any error-severity check failed; warnings are only reported.
     The summary is bounded (one row per check), so collecting it is safe."""

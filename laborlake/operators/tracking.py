@@ -61,15 +61,29 @@ def events_apps(events: DataFrame, apps: DataFrame) -> DataFrame:
                        ["application_id", "user_id"] if "user_id" in events.columns else ["application_id"])
 
 
+FUNNEL_STATUSES = ("applied", "interview_invite", "offer", "rejected")
+
+
+def reached_statuses(events: DataFrame, apps: DataFrame) -> DataFrame:
+    """The applications with ``mask``: bit i is set if an event gave them status i of
+    ``FUNNEL_STATUSES``.  Masks combine before the shuffle, and what follows are plain sums."""
+    bit = F.lit(0).cast("bigint")
+    for i, s in enumerate(FUNNEL_STATUSES):
+        bit = F.when(F.col("status") == s, 1 << i).otherwise(bit)
+    masks = events.groupBy("application_id").agg(F.bit_or(bit.cast("bigint")).alias("mask"))
+    return apps.join(masks, "application_id", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+
+
+def _reached(*statuses: str) -> Column:
+    bits = sum(1 << FUNNEL_STATUSES.index(s) for s in statuses)
+    return F.sum((F.col("mask").bitwiseAND(F.lit(bits)) != 0).cast("bigint"))
+
+
 def application_funnel(events: DataFrame, apps: DataFrame) -> DataFrame:
-    """Per user: applied → interview → offer counts (distinct applications reaching each
-    status, from events) as % of max(distinct applied, total applications)."""
-    ev = events.select("application_id", "status").join(apps.select("application_id", "user_id"), "application_id")
-    reached = ev.groupBy("user_id").agg(
-        *[F.count_distinct(F.when(F.col("status") == s, F.col("application_id"))).alias(f"r_{s}")
-          for s in ("applied", "interview_invite", "offer", "rejected")])
-    totals = apps.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_applications"))
-    j = totals.join(reached, "user_id", "left").fillna(0)
+    """Per user: applied → interview → offer counts (applications that reached each status)
+    as % of max(applied, total applications)."""
+    j = reached_statuses(events, apps).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("total_applications"), *[_reached(s).alias(f"r_{s}") for s in FUNNEL_STATUSES])
     base = F.greatest("r_applied", "total_applications")
     return j.select(
         "user_id", "total_applications",
@@ -83,17 +97,10 @@ def application_funnel(events: DataFrame, apps: DataFrame) -> DataFrame:
 
 
 def resume_performance(events: DataFrame, apps: DataFrame) -> DataFrame:
-    """Per user and resume version: applications, distinct applications that ever got
-    an interview or offer, response rate, small-sample warning."""
-    totals = apps.groupBy("user_id", "resume_version").agg(F.count(F.lit(1)).alias("applications"))
-    pos = (events.filter(F.col("status").isin(*POSITIVE_STATUSES)).select("application_id")
-                 .join(apps.select("application_id", "user_id", "resume_version"), "application_id")
-                 .groupBy("user_id", "resume_version")
-                 .agg(F.count_distinct("application_id").alias("positive_responses")))
-    j = totals.join(pos, [totals.user_id == pos.user_id,
-                          totals.resume_version.eqNullSafe(pos.resume_version)], "left") \
-              .select(totals.user_id, totals.resume_version, "applications",
-                      F.coalesce("positive_responses", F.lit(0)).alias("positive_responses"))
+    """Per user and resume version: applications, applications that ever got an interview or
+    offer, response rate, small-sample warning."""
+    j = reached_statuses(events, apps).groupBy("user_id", "resume_version").agg(
+        F.count(F.lit(1)).alias("applications"), _reached(*POSITIVE_STATUSES).alias("positive_responses"))
     return j.select(
         "user_id", F.coalesce("resume_version", F.lit(UNVERSIONED)).alias("resume_version"),
         "applications", "positive_responses",

@@ -11,16 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laborlake.operators import analytics, etl, quality, search
+from laborlake.operators.star import Star
 from laborlake.plans.registry import REGISTRY, QueryFn, register  # noqa: F401
 from laborlake.sources.fixtures import Fixtures
 
 
 def raw_postings(fx: Fixtures) -> DataFrame:
-    """Fixture postings in the raw landing shape (mixed salary text)."""
-    p = fx.posting
-    return p.select("posting_id", "title", F.col("company_name").alias("company"), "location",
-                    "region", "seniority", "remote", F.col("salary_raw").alias("salary"),
-                    "posted_month", "is_real")
+    """Postings in the raw landing shape: mixed salary text, repeated ids."""
+    return fx.raw
 
 
 def cleaned_postings(fx: Fixtures) -> DataFrame:
@@ -157,8 +155,8 @@ def q_clean_salary(fx: Fixtures) -> DataFrame:
 
 
 @register("etl_audit", """
-select (select count(*) from fx_posting) raw_rows, (select count(*) from fx_clean) clean_rows,
-       (select count(*) from fx_posting) - (select count(*) from fx_clean) removed_rows""")
+select (select count(*) from fx_raw) raw_rows, (select count(*) from fx_clean) clean_rows,
+       (select count(*) from fx_raw) - (select count(*) from fx_clean) removed_rows""")
 def q_etl_audit(fx: Fixtures) -> DataFrame:
     raw = raw_postings(fx)
     return etl.etl_audit(raw, etl.clean_postings(raw))
@@ -393,8 +391,8 @@ def q_topk_skills(fx: Fixtures) -> DataFrame:
 _DQ = {
     "not_null": """
 select 'not_null:stg_postings.posting_id' "check", 'not_null' kind, 'error' severity,
-       count(*) filter (where posting_id is null) failures from fx_posting
-union all select 'not_null:stg_postings.title', 'not_null', 'error', count(*) filter (where title is null) from fx_posting where title is not null
+       count(*) filter (where posting_id is null) failures from fx_clean
+union all select 'not_null:stg_postings.title', 'not_null', 'error', count(*) filter (where title is null) from fx_clean
 union all select 'not_null:dim_company.company_id', 'not_null', 'error', count(*) filter (where company_id is null) from fx_dim_company
 union all select 'not_null:dim_company.company_name', 'not_null', 'error', count(*) filter (where company_name is null) from fx_dim_company
 union all select 'not_null:dim_skill.skill_id', 'not_null', 'error', count(*) filter (where skill_id is null) from fx_dim_skill
@@ -402,7 +400,7 @@ union all select 'not_null:dim_skill.skill_name', 'not_null', 'error', count(*)
 union all select 'not_null:fact_job_posting.posting_id', 'not_null', 'error', count(*) filter (where posting_id is null) from fx_fact""",
     "unique": """
 select 'unique:stg_postings.posting_id' "check", 'unique' kind, 'error' severity,
-       (select count(*) from (select posting_id from fx_posting where posting_id is not null group by 1 having count(*) > 1)) failures
+       (select count(*) from (select posting_id from fx_clean where posting_id is not null group by 1 having count(*) > 1)) failures
 union all select 'unique:dim_company.company_id', 'unique', 'error',
        (select count(*) from (select company_id from fx_dim_company where company_id is not null group by 1 having count(*) > 1))
 union all select 'unique:dim_skill.skill_id', 'unique', 'error',
@@ -414,7 +412,7 @@ union all select 'unique:fact_job_posting.posting_id', 'unique', 'error',
     "accepted_values": """
 select 'accepted_values:stg_postings.seniority' "check", 'accepted_values' kind, 'error' severity,
        count(distinct case when seniority not in ('junior', 'mid', 'senior', 'unknown') then seniority end) failures
-from fx_posting""",
+from fx_clean""",
     "relationships": """
 select 'relationships:fact_job_posting.company_id' "check", 'relationships' kind, 'error' severity,
        (select count(*) from fx_fact f where f.company_id is not null
@@ -447,6 +445,41 @@ def q_dq_gate(fx: Fixtures) -> DataFrame:
     return quality.gate_summary(fx.star)
 
 
+def planted_star(fx: Fixtures) -> Star:
+    """The star with faults put into the rows of some postings: each kind of check meets some."""
+    n = F.col("posting_id").cast("bigint")
+    at = lambda k: n % 400 == k
+    stg = fx.star.stg.withColumns({
+        "title": F.when(~at(1), F.col("title")), "seniority": F.when(at(2), "guru").otherwise(F.col("seniority"))})
+    fact = fx.fact.withColumns({
+        "salary": F.when(at(3), F.lit(2500000)).when(at(4), F.lit(-1)).otherwise(F.col("salary")),
+        "company_id": F.when(at(5), F.lit("nobody")).otherwise(F.col("company_id"))})
+    fact = fact.where(~at(6)).unionByName(fact.where(at(7)))
+    bridge = fx.bridge.withColumn("skill_id", F.when(at(8), F.lit("unheard of")).otherwise(F.col("skill_id")))
+    return Star(stg=stg, dim_company=fx.dim_company, dim_skill=fx.dim_skill, fact=fact, bridge=bridge, fact_wide=fact)
+
+
+@register("dq_quarantine", """
+with f0 as (select posting_id, cast(posting_id as bigint) % 400 k, salary, company_id from fx_fact),
+f1 as (select * from f0 where k <> 6 union all select * from f0 where k = 7),
+b as (select posting_id, case when cast(posting_id as bigint) % 400 = 8 then 'unheard of' else skill_id end skill_id from fx_bridge)
+select 'not_null:stg_postings.title' "check", 'error' severity, 'stg_postings' model, posting_id row_key, cast(null as varchar) "value"
+from fx_clean where cast(posting_id as bigint) % 400 = 1
+union all select 'accepted_values:stg_postings.seniority', 'error', 'stg_postings', posting_id, 'guru'
+from fx_clean where cast(posting_id as bigint) % 400 = 2
+union all select 'accepted_range:fact_job_posting.salary', 'warn', 'fact_job_posting', posting_id, case when k = 3 then '2500000' else '-1' end
+from f1 where k in (3, 4)
+union all select 'relationships:fact_job_posting.company_id', 'error', 'fact_job_posting', posting_id, 'nobody' from f1 where k = 5
+union all select 'unique:fact_job_posting.posting_id', 'error', 'fact_job_posting', posting_id, posting_id from f1 where k = 7
+union all select 'relationships:bridge_posting_skill.posting_id', 'error', 'bridge_posting_skill', posting_id || '|' || skill_id, posting_id
+from b where cast(posting_id as bigint) % 400 = 6
+union all select 'relationships:bridge_posting_skill.skill_id', 'error', 'bridge_posting_skill', posting_id || '|' || skill_id, skill_id
+from b where cast(posting_id as bigint) % 400 = 8""")
+def q_dq_quarantine(fx: Fixtures) -> DataFrame:
+    """The rows that the gate would hold back, with the check that each fails."""
+    return quality.offending_rows(planted_star(fx)).drop("row")
+
+
 def queries() -> dict[str, QueryFn]:
     from laborlake.plans import load_all
     load_all()

@@ -228,19 +228,21 @@ select user_id, version_id, activated_at, origin from (
   from fx_resume_version where origin is not null) q where rn = 1""")
 def q_dedupe_keep_last(fx: Fixtures) -> DataFrame:
     rows = fx.resume_versions.withColumnRenamed("origin", "title")
-    out = etl.dedupe_deterministic(rows.filter(F.col("title").isNotNull()), "user_id",
-                                   ["activated_at", "version_id"], keep="max")
+    out = etl.dedupe_keep_last(rows, "user_id", ["activated_at", "version_id"])
     return out.select("user_id", "version_id", "activated_at", F.col("title").alias("origin"))
 
 
-@register("dedupe_postings", """
-select l_orderkey, l_linenumber, l_partkey, l_quantity from (
-  select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) rn
+_LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+               "l_linestatus", "l_shipdate")
+
+
+@register("dedupe_postings", f"""
+select l_orderkey, {", ".join(_LINE_ORDER)} from (
+  select *, row_number() over (partition by l_orderkey order by {", ".join(f"{c} nulls first" for c in _LINE_ORDER)}) rn
   from lineitem) q where rn = 1""")
 def q_dedupe_postings(fx: Fixtures) -> DataFrame:
-    """Orders repeat in ``lineitem``: one differing row of each stays."""
-    return etl.dedupe_postings(fx.tables.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"),
-                               "l_orderkey")
+    """Orders repeat in ``lineitem``: one differing row of each stays, whole."""
+    return etl.dedupe_postings(fx.tables.lineitem.select("l_orderkey", *_LINE_ORDER), "l_orderkey")
 
 
 @register("resume_versions", """

@@ -30,8 +30,8 @@ from laborlake.session import shared_dir
 from laborlake.sources.tables import Tables
 
 # Fixed values of the fixture mapping (must equal the oracle SQL).
-APPLICATION_MODULUS = 1500
-USER_MODULUS = 20
+EVENTS_PER_APPLICATION = 6
+APPLICATIONS_PER_USER = 31
 
 
 def _geo(t: Tables) -> DataFrame:
@@ -92,6 +92,19 @@ def posting_raw(t: Tables) -> DataFrame:
     )
 
 
+def raw_landing(posting: DataFrame) -> DataFrame:
+    """The postings as they land, in the raw shape: salary as mixed text, and some ids twice or
+    more, as pages overlap: every 24th as it was, every 35th with other text in its place."""
+    raw = posting.select("posting_id", "title", F.col("company_name").alias("company"), "location", "region", "seniority", "remote",
+                         F.col("salary_raw").alias("salary"), "posted_month", "is_real")
+    n = F.col("posting_id").cast("bigint")
+    again = raw.where((n % 24 == 5) | (n % 48 == 5))
+    edited = raw.where(n % 35 == 3).withColumns({
+        "title": F.concat("title", F.lit(" (reposted)")), "company": F.concat(F.lit("Agency for "), F.col("company")),
+        "salary": F.lit("9,999,999"), "seniority": F.lit("guru")})
+    return raw.unionByName(again).unionByName(edited).unionByName(again.where(n % 48 == 5))
+
+
 def posting_scores(posting: DataFrame) -> DataFrame:
     """Stand-in for the model's batch scores: a salaried posting's prediction is the mean
     salary (whole units, rounded down) of its seniority and region."""
@@ -131,8 +144,8 @@ def application_events(t: Tables) -> DataFrame:
         status = F.when(et == ev, st).otherwise(status)
     eid = F.col("event_id")
     return t.events.select(eid.alias("message_id"),
-                           (eid % APPLICATION_MODULUS).alias("application_id"),
-                           (eid % USER_MODULUS).alias("user_id"),
+                           F.expr(f"event_id div {EVENTS_PER_APPLICATION}").alias("application_id"),
+                           F.expr(f"event_id div {EVENTS_PER_APPLICATION * APPLICATIONS_PER_USER}").alias("user_id"),
                            status.alias("status"),
                            F.col("ts").alias("occurred_at"))
 
@@ -144,8 +157,8 @@ def applications(events: DataFrame) -> DataFrame:
                        F.min("occurred_at").alias("applied_at"),
                        F.max("occurred_at").alias("updated_at"))
                   .withColumn("resume_version",
-                              F.when(aid % 7 == 0, F.lit(None).cast("string"))
-                               .otherwise(F.concat(F.lit("v"), (aid % 7).cast("string")))))
+                              F.when(aid % 3 == 0, F.lit(None).cast("string"))
+                               .otherwise(F.concat(F.lit("v"), (aid % 3).cast("string")))))
 
 
 def messages(t: Tables) -> DataFrame:
@@ -245,7 +258,8 @@ def materialized_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key in _MARTS:
         return _MARTS[key]
-    from laborlake.operators.star import build_star
+    from laborlake.operators import etl, quality
+    from laborlake.operators.star import Star, build_bridge, build_star, stage_postings
     base = shared_dir(spark, f"marts-{uuid.uuid4().hex}")
     t = Tables(spark, sf_dir)
     out: dict[str, DataFrame] = {}
@@ -259,7 +273,7 @@ def materialized_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
         """Bucketed by posting_id (same bucket count for fact and bridge): their joins on
         posting_id read co-located buckets and need no shuffle."""
         table = f"laborlake_{name}_{base.rsplit('-', 1)[-1][:12]}"
-        w = df.write.mode("overwrite").option("path", f"{base}/{name}")
+        w = df.repartition(buckets, "posting_id").write.mode("overwrite").option("path", f"{base}/{name}")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.bucketBy(buckets, "posting_id").sortBy("posting_id").saveAsTable(table)
@@ -270,13 +284,18 @@ def materialized_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     posting = put("posting", posting_raw(t))
     skills = put("posting_skill", posting_skill_raw(t))
     scores = put("scores", posting_scores(posting))
-    # Staged as the warehouse stages them: a posting without a title never reaches the star.
-    staged = put("staged", posting.where(F.col("title").isNotNull()))
+    # The way of every posting: raw, deduped and cleaned, staged, star.
+    raw = put("raw", raw_landing(posting))
+    cleaned = put("cleaned", etl.clean_postings(raw))
+    staged = put("staged", stage_postings(cleaned))
     star = build_star(staged, skills, scores)
     put("dim_company", star.dim_company)
     put("dim_skill", star.dim_skill)
-    put_bucketed("fact_wide", star.fact_wide, ["is_real"])
-    put_bucketed("bridge", star.bridge)
+    fact = put_bucketed("fact_wide", star.fact_wide, ["is_real"])
+    put_bucketed("bridge", build_bridge(skills, fact))
+    # The barrier: a star that fails its checks is never handed out.
+    quality.quarantine(Star(stg=staged, dim_company=out["dim_company"], dim_skill=out["dim_skill"],
+                            fact=fact.drop("company_name"), bridge=out["bridge"], fact_wide=fact), f"{base}/quarantine")
     _MARTS[key] = out
     return out
 
@@ -329,6 +348,10 @@ class Fixtures:
     def posting(self) -> DataFrame:
         return self.marts["posting"] if self.marts else posting_raw(self.tables)
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        return self.marts["raw"] if self.marts else raw_landing(self.posting)
+
     @cached_property
     def posting_skill(self) -> DataFrame:
         return self.marts["posting_skill"] if self.marts else posting_skill_raw(self.tables)
@@ -341,7 +364,9 @@ class Fixtures:
     def star(self):
         from laborlake.operators.star import Star, build_star
         if not self.marts:
-            return build_star(self.posting, self.posting_skill, self.scores)
+            from laborlake.operators.etl import clean_postings
+            from laborlake.operators.star import stage_postings
+            return build_star(stage_postings(clean_postings(raw_landing(self.posting))), self.posting_skill, self.scores)
         m = self.marts
         return Star(stg=m["staged"], dim_company=m["dim_company"], dim_skill=m["dim_skill"],
                     fact=m["fact_wide"].drop("company_name"), bridge=m["bridge"], fact_wide=m["fact_wide"])
