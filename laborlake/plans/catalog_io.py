@@ -5,19 +5,18 @@ checkpoint location and return what they wrote, read back as a batch frame.
 """
 from __future__ import annotations
 
-import statistics
-import time
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laborlake.functions import messages
+from laborlake.functions.lists import skill_count
 from laborlake.operators import etl, model
 from laborlake.plans.catalog_tracking import COMPANY_MERGE_SQL, classified_messages
 from laborlake.plans.registry import register
 from laborlake.session import shared_dir
-from laborlake.sources import files
+from laborlake.sources import files, releases
 from laborlake.sources.fixtures import Fixtures, landed_pages
 from laborlake.streaming import events, jobs
 from laborlake.streaming.profile_index import ProfileIndex
@@ -30,15 +29,31 @@ def _scratch(fx: Fixtures, name: str) -> str:
 def _cleaned_with_skills(fx: Fixtures) -> DataFrame:
     from laborlake.plans.catalog import cleaned_postings
     arr = fx.posting_skill.groupBy("posting_id").agg(F.collect_list("skill").alias("required_skills"))
-    return etl.clean_postings(cleaned_postings(fx).drop("salary_clean").join(arr, "posting_id", "left"))
+    return cleaned_postings(fx).join(arr, "posting_id", "left").withColumn("skill_count", skill_count("required_skills"))
 
 
-# ---------------------------------------------------------------- model (rows-only)
+# ---------------------------------------------------------------- model
 def _model_input(fx: Fixtures) -> DataFrame:
     return model.ml_features(_cleaned_with_skills(fx))
 
 
-@register("ml_features")
+def _trained(fx: Fixtures) -> tuple[model.Trained, DataFrame]:
+    """(the models of these postings, trained once for all queries, their input)."""
+    df = _model_input(fx)
+    train, test, _ = model.split_guard(df, real_only=True)
+    return model.trained_once(train, test, shared_dir(fx.spark, "models")), df
+
+
+@register("ml_features", """
+with m as (select c.*, coalesce(s.n, 0) skill_count from fx_clean c
+           left join (select posting_id, count(*) n from fx_posting_skill group by 1) s on s.posting_id = c.posting_id
+           where c.salary_clean is not null),
+si as (select seniority, row_number() over (order by count(*) desc, seniority) - 1 i from m where seniority is not null group by seniority),
+ri as (select region, row_number() over (order by count(*) desc, region) - 1 i from m where region is not null group by region)
+select m.posting_id, cast(coalesce(si.i, (select count(*) from si)) as double) seniority_idx,
+       cast(coalesce(ri.i, (select count(*) from ri)) as double) region_idx,
+       cast(cast(m.remote as integer) as double) remote_int, cast(m.skill_count as double) skill_count
+from m left join si on si.seniority = m.seniority left join ri on ri.region = m.region where m.remote is not null""")
 def q_ml_features(fx: Fixtures) -> DataFrame:
     return model.features_table(_model_input(fx))
 
@@ -55,15 +70,13 @@ def q_ml_split_guard(fx: Fixtures) -> DataFrame:
 
 @register("ml_train_eval")
 def q_ml_train_eval(fx: Fixtures) -> DataFrame:
-    train, test, _ = model.split_guard(_model_input(fx), real_only=True)
-    return model.train_eval(train, test).metrics
+    return _trained(fx)[0].metrics
 
 
 @register("ml_score")
 def q_ml_score(fx: Fixtures) -> DataFrame:
-    df = _model_input(fx)
-    train, test, _ = model.split_guard(df, real_only=True)
-    return model.score(model.train_eval(train, test).gbt, df)
+    trained, df = _trained(fx)
+    return model.score(trained.gbt, df)
 
 
 # ---------------------------------------------------------------- streaming
@@ -231,7 +244,14 @@ def q_stream_status_merge(fx: Fixtures) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sources / sinks
-@register("src_jsonl")
+@register("src_jsonl", """
+with bad as (select count(*) n from fx_raw where cast(posting_id as bigint) % 97 = 0)
+select posting_id, title, company, location, region, seniority, remote, salary, cast(null as varchar) salary_currency_original,
+       cast(null as varchar) required_skills, cast(null as varchar) description, cast(null as varchar) source, is_real,
+       cast(null as varchar) url, posted_month from fx_raw
+union all
+select null, null, null, null, null, null, null, null, null, null, null, null, null, null, null
+from generate_series(1, (select n from bad))""")
 def q_src_jsonl(fx: Fixtures) -> DataFrame:
     """Raw postings landed as JSON lines (plus one unparseable line per 97 postings),
     read back with the explicit landing schema: bad lines become all-NULL rows."""
@@ -241,7 +261,7 @@ def q_src_jsonl(fx: Fixtures) -> DataFrame:
     bad = raw_postings(fx).filter(F.col("posting_id").cast("bigint") % 97 == 0) \
         .select(F.concat(F.lit("{broken "), F.col("posting_id")).alias("value"))
     good.unionByName(bad).write.text(path)
-    return files.read_jsonl(fx.spark, path)
+    return files.read_jsonl(fx.spark, path).withColumn("required_skills", F.array_join("required_skills", ","))
 
 
 @register("src_parquet", """
@@ -253,23 +273,62 @@ def q_src_parquet(fx: Fixtures) -> DataFrame:
     return files.read_parquet(fx.spark, path)
 
 
-@register("sink_parquet", """select skill, count(*) "count" from fx_clean_skill group by skill""")
-def q_sink_parquet(fx: Fixtures) -> DataFrame:
+def _curated_outputs(fx: Fixtures) -> dict[str, DataFrame]:
+    """The seven curated outputs; some locations are empty, as feeds deliver them."""
     from laborlake.plans.catalog import cleaned_postings
-    base = _scratch(fx, "curated")
-    c = cleaned_postings(fx)
+    no_place = F.col("posting_id").cast("bigint") % 10 == 3
+    c = cleaned_postings(fx).withColumn("location", F.when(no_place, F.lit("")).otherwise(F.col("location")))
     skills = fx.posting_skill.join(c.select("posting_id"), "posting_id", "left_semi")
-    files.write_curated({"postings": c, "posting_skills": skills}, base)
-    files.write_curated({"skill_demand": etl.skill_demand(fx.spark.read.parquet(f"{base}/posting_skills"))}, base)
-    return fx.spark.read.parquet(f"{base}/skill_demand")
+    return {"postings": c, "posting_skills": skills, "skill_demand": etl.skill_demand(skills),
+            "salary_by_seniority": etl.batch_salary_by_seniority(c), "postings_by_month": etl.batch_postings_by_month(c),
+            "salary_by_region": etl.batch_salary_by_region(c), "posting_scores": fx.scores}
+
+
+@register("sink_parquet", """
+select 'postings' "table", count(*) "rows" from fx_clean
+union all select 'posting_skills', count(*) from fx_clean_skill
+union all select 'skill_demand', count(distinct skill) from fx_clean_skill
+union all select 'salary_by_seniority', (select count(*) from (select distinct seniority from fx_clean))
+union all select 'postings_by_month', (select count(*) from (select distinct posted_month from fx_clean))
+union all select 'salary_by_region', (select count(*) from (select distinct region from fx_clean))
+union all select 'posting_scores', count(*) from fx_score""")
+def q_sink_parquet(fx: Fixtures) -> DataFrame:
+    """All curated directories as one release, counted as readers see them."""
+    return files.publish_curated(fx.spark, _curated_outputs(fx), _scratch(fx, "curated"))
 
 
 @register("sink_warehouse", """
-select skill_id, skill_name, posting_count from fx_dim_skill""")
+with c as (select * replace (case when cast(posting_id as bigint) % 10 = 3 then '' else location end as location) from fx_clean),
+s as (select seniority, cast(round(avg(salary_clean)) as bigint) a, quantile_disc(salary_clean, 0.5) m from c group by 1),
+r as (select region, cast(round(avg(salary_clean)) as bigint) a from c group by 1),
+k as (select skill, count(*) n from fx_clean_skill group by 1),
+p as (select posted_month, count(*) n from c group by 1)
+select 'raw_postings' "table", count(*) "rows", count(*) filter (where nullif(location, '') is null) empty_text,
+       cast(sum(salary_clean) as bigint) total, 'bigint' total_type from c
+union all select 'raw_posting_skills', count(*), count(*) filter (where nullif(skill, '') is null), null, null from fx_clean_skill
+union all select 'raw_skill_demand', count(*), count(*) filter (where nullif(skill, '') is null), cast(sum(n) as bigint), 'bigint' from k
+union all select 'raw_salary_by_seniority', count(*), count(*) filter (where nullif(seniority, '') is null), cast(sum(a) + sum(m) as bigint), 'bigint' from s
+union all select 'raw_postings_by_month', count(*), 0, cast(sum(n) as bigint), 'bigint' from p
+union all select 'raw_salary_by_region', count(*), count(*) filter (where nullif(region, '') is null), cast(sum(a) as bigint), 'bigint' from r
+union all select 'raw_posting_scores', count(*), count(*) filter (where nullif(pay_band, '') is null), cast(sum(predicted_salary) as bigint), 'bigint' from fx_score""")
 def q_sink_warehouse(fx: Fixtures) -> DataFrame:
-    path = _scratch(fx, "wh")
-    name = f"dim_skill_{uuid.uuid4().hex[:8]}"
-    return files.write_warehouse(fx.dim_skill, name, f"{path}/{name}", overrides={"posting_count": "bigint"})
+    """The warehouse's seven raw tables after a refresh: rows, texts loaded as NULL, and the total
+    of the typed numbers with the type that they got."""
+    curated, base = _scratch(fx, "curated"), _scratch(fx, "warehouse")
+    files.publish_curated(fx.spark, _curated_outputs(fx), curated)
+    files.publish_warehouse(fx.spark, curated, base)
+    shown = {"postings": ("location", ["salary_clean"]), "posting_skills": ("skill", []), "skill_demand": ("skill", ["count"]),
+             "salary_by_seniority": ("seniority", ["avg_salary", "median_salary"]), "postings_by_month": (None, ["count"]),
+             "salary_by_region": ("region", ["avg_salary"]), "posting_scores": ("pay_band", ["predicted_salary"])}
+    out = None
+    for name, (text, numbers) in shown.items():
+        t = releases.read(fx.spark, base, f"raw_{name}")
+        total = sum((F.sum(c) for c in numbers[1:]), F.sum(numbers[0])) if numbers else F.lit(None)
+        one = t.agg(F.count(F.lit(1)).alias("rows"), (F.count_if(F.col(text).isNull()) if text else F.lit(0)).cast("bigint").alias("empty_text"),
+                    total.cast("bigint").alias("total")).select(
+            F.lit(f"raw_{name}").alias("table"), "*", F.lit(t.schema[numbers[0]].dataType.simpleString() if numbers else None).alias("total_type"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("src_profiles_jdbc", """
@@ -284,23 +343,19 @@ def q_src_profiles_jdbc(fx: Fixtures) -> DataFrame:
 
 @register("sink_model")
 def q_sink_model(fx: Fixtures) -> DataFrame:
+    """The stored model, saved, loaded again and applied."""
     from pyspark.ml import PipelineModel
     base = _scratch(fx, "model")
-    df = _model_input(fx)
-    train, test, _ = model.split_guard(df, real_only=True)
-    trained = model.train_eval(train, test)
+    trained, df = _trained(fx)
     files.save_model(trained.gbt, f"{base}/gbt")
-    files.save_metrics(trained.metrics, f"{base}/metrics")
-    reloaded = PipelineModel.load(f"{base}/gbt")
-    return model.score(reloaded, df)
+    return model.score(PipelineModel.load(f"{base}/gbt"), df)
 
 
 @register("sink_metrics")
 def q_sink_metrics(fx: Fixtures) -> DataFrame:
     base = _scratch(fx, "metrics")
-    train, test, _ = model.split_guard(_model_input(fx), real_only=True)
-    files.save_metrics(model.train_eval(train, test).metrics, base)
-    return fx.spark.read.json(base)
+    files.save_metrics(_trained(fx)[0].metrics, base)
+    return fx.spark.read.schema(model.METRICS).json(base)
 
 
 @register("event_codec", """
@@ -384,45 +439,51 @@ def q_intake_format(fx: Fixtures) -> DataFrame:
     return p.select("page_id", "name", fmt.alias("format"), err.alias("error"))
 
 
-# ---------------------------------------------------------------- pipeline and bench
-@register("pipeline_run")
+# ---------------------------------------------------------------- pipeline
+def _pipeline_sql() -> str:
+    from laborlake.plans import catalog_text as ct
+    remotive = ct._match_terms_sql(PROFILE_TERMS)
+    arbeitnow = " or ".join(f"instr(lower(coalesce(title, '')), '{t.lower()}') > 0" for t in PROFILE_TERMS)
+    jobs_sql = ct._JOBS_CTE.replace(ct._match_terms_sql(ct.REMOTIVE_TERMS), remotive).replace(
+        " or ".join(f"instr(lower(coalesce(title, '')), '{t}') > 0" for t in ct.ARBEITNOW_TERMS), arbeitnow)
+    return f"""
+with live as ({jobs_sql} where nullif(trim(title), '') is not null)
+select posting_id, md5(company) company_id, title, location, region, seniority, remote,
+       try_cast(regexp_extract(regexp_replace(cast(salary as varchar), '[^0-9.]', '', 'g'), '^([0-9]+)', 1) as bigint) salary,
+       posted_month, source, url, 'ok' publish_step
+from live"""
+
+
+#: What the profiles look for, and the ingest's own terms behind it.
+PROFILE_TERMS = ("Ring", "plate", "rod", "Bolt Blue")
+
+
+@register("pipeline_run", _pipeline_sql())
 def q_pipeline_run(fx: Fixtures) -> DataFrame:
-    """The whole run, from the landed pages to the gate; returns the fact it built, with the outcome
-    of the steps that may end without their result (too few rows, no broker)."""
-    from laborlake.plans.pipeline import PipelineConf, run
-    conf = PipelineConf(base=_scratch(fx, "pipeline"),
-                        synthetic_ids=fx.tables.orders.select("o_orderkey"),
-                        pages=landed_pages(fx.spark, fx.sf_dir), terms=["ring", "Bolt Blue"])
+    """The whole run, from the landed pages and the profiles' search terms to the gate; returns the
+    live part of the fact that it published, with the outcome of the publish step."""
+    from laborlake.operators.matching import search_terms
+    from laborlake.plans.pipeline import PipelineConf, run, warehouse
+    found = search_terms(fx.profiles, ["ring", "Bolt Blue"]).orderBy("src", "user_id", "pos").select("term")
+    conf = PipelineConf(base=_scratch(fx, "pipeline"), synthetic_ids=fx.tables.orders.select("o_orderkey"),
+                        pages=landed_pages(fx.spark, fx.sf_dir), terms=[r["term"] for r in found.collect()])
     status = {r["step"]: r["status"] for r in run(fx.spark, conf).collect()}
-    return fx.spark.read.parquet(f"{conf.base}/warehouse/fact_job_posting").select(
-        "*", F.lit(status["model"]).alias("model_step"), F.lit(status["publish"]).alias("publish_step"))
+    return releases.read(fx.spark, warehouse(conf), "fact_job_posting").where("is_real").select(
+        "posting_id", "company_id", "title", "location", "region", "seniority", "remote", "salary", "posted_month", "source", "url",
+        F.lit(status["publish"]).alias("publish_step"))
 
 
-@register("bench_summary")
+@register("bench_summary", """
+select skill, count(*) mapreduce_count, count(*) dataframe_count, true same_result from fx_clean_skill group by skill""")
 def q_bench_summary(fx: Fixtures) -> DataFrame:
-    """The two skill-count formulations timed (median of 3 after a warm-up), the time
-    reduction and speed-up, and the equality check of their results."""
+    """The two formulations of the skill count side by side, and whether they agree; ``bench.py``
+    holds the stopwatch."""
     from laborlake.plans.catalog import cleaned_postings
     clean_ids = cleaned_postings(fx).select("posting_id")
-    arr = fx.posting_skill.groupBy("posting_id").agg(F.collect_list("skill").alias("required_skills"))
-    lines = arr.join(clean_ids, "posting_id", "left_semi").select(
-        F.to_json(F.struct("posting_id", "required_skills")).alias("value"))
-    a = etl.mapreduce_skill_count(lines)
-    b = etl.skill_demand(fx.posting_skill.join(clean_ids, "posting_id", "left_semi"))
-
-    def timed(df):
-        df.collect()
-        runs = []
-        for _ in range(3):
-            t0 = time.perf_counter()
-            out = df.collect()
-            runs.append(time.perf_counter() - t0)
-        return statistics.median(runs), out
-
-    ta, ra = timed(a)
-    tb, rb = timed(b)
-    equal = sorted(map(tuple, ra)) == sorted(map(tuple, rb))
-    return fx.spark.createDataFrame(
-        [(ta, tb, round((1 - tb / ta) * 100, 1) if ta else 0.0, round(ta / tb, 2) if tb else 0.0, equal, len(ra))],
-        "mapreduce_median_s double, dataframe_median_s double, reduction_percent double, speedup double, "
-        "same_result boolean, skills long")
+    skills = fx.posting_skill.join(clean_ids, "posting_id", "left_semi")
+    lines = (skills.groupBy("posting_id").agg(F.collect_list("skill").alias("required_skills"))
+             .select(F.to_json(F.struct("posting_id", "required_skills")).alias("value")))
+    a = etl.mapreduce_skill_count(lines).select("skill", F.col("count").alias("mapreduce_count"))
+    b = etl.skill_demand(skills).select("skill", F.col("count").alias("dataframe_count"))
+    return a.join(b, "skill", "full_outer").withColumn(
+        "same_result", F.col("mapreduce_count").eqNullSafe(F.col("dataframe_count")))

@@ -10,7 +10,6 @@ from laborlake.operators import etl
 from laborlake.plans.registry import register
 from laborlake.sources import feeds
 from laborlake.sources.fixtures import FEED_COUNTRIES, Fixtures, landed_pages
-from laborlake.sources.synthetic import synth_postings
 
 
 # ---------------------------------------------------------------- oracle helpers
@@ -357,8 +356,3 @@ def q_feeds_union(fx: Fixtures) -> DataFrame:
 @register("normalize_posting", _JOBS_CTE + "where nullif(trim(title), '') is not null")
 def q_normalize_posting(fx: Fixtures) -> DataFrame:
     return _shown(feeds.unique_postings(feeds.feeds_union(*_feeds(fx))))
-
-
-@register("synth_postings")
-def q_synth_postings(fx: Fixtures) -> DataFrame:
-    return synth_postings(fx.tables.orders, "o_orderkey")

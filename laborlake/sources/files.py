@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from laborlake.sources import releases
+
 log = logging.getLogger(__name__)
 
 # Landing schema: the union of the live-feed and generated shapes; salary is read as text
@@ -26,8 +28,17 @@ POSTING_RAW_SCHEMA = T.StructType([
     T.StructField("posted_month", T.IntegerType()),
 ])
 
+#: The loader's type overrides by curated table.
+WAREHOUSE_TYPES = {
+    "postings": {"salary_clean": "bigint", "posted_month": "int"},
+    "salary_by_seniority": {"avg_salary": "bigint", "median_salary": "bigint"},
+    "salary_by_region": {"avg_salary": "bigint"},
+    "posting_scores": {"predicted_salary": "bigint", "salary_vs_market": "bigint"},
+}
+
 CURATED_OUTPUTS = ("postings", "posting_skills", "skill_demand", "salary_by_seniority",
                    "postings_by_month", "salary_by_region")
+CURATED_TABLES = (*CURATED_OUTPUTS, "posting_scores")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = POSTING_RAW_SCHEMA) -> DataFrame:
@@ -59,6 +70,31 @@ def write_curated(outputs: dict[str, DataFrame], base: str) -> None:
         write_parquet(df, f"{base}/{name}")
 
 
+def publish_curated(spark: SparkSession, outputs: dict[str, DataFrame], base: str) -> DataFrame:
+    """All curated outputs as one release, and their (table, rows) read back from it."""
+    missing = set(CURATED_TABLES) - set(outputs)
+    if missing:
+        raise ValueError(f"curated outputs missing: {', '.join(sorted(missing))}")
+    releases.publish(spark, base, {name: outputs[name] for name in CURATED_TABLES})
+    return releases.counts(spark, base, list(CURATED_TABLES))
+
+
+def publish_warehouse(spark: SparkSession, curated: str, base: str) -> None:
+    """Full refresh of the warehouse's raw tables from the current curated release: typed by
+    the loader's rules, seen by readers all at once.  A count that differs from the curated
+    table's stops the refresh."""
+    tables = {f"raw_{name}": warehouse_ready(releases.read(spark, curated, name), WAREHOUSE_TYPES.get(name)) for name in CURATED_TABLES}
+
+    def whole(written: dict[str, DataFrame]) -> None:
+        want = {r["table"]: r["rows"] for r in releases.counts(spark, curated, list(CURATED_TABLES)).collect()}
+        for name, df in written.items():
+            n = df.count()
+            if n != want[name.removeprefix("raw_")]:
+                raise RuntimeError(f"{name}: {n} rows written, {want[name.removeprefix('raw_')]} expected")
+
+    releases.publish(spark, base, tables, whole)
+
+
 def warehouse_ready(df: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
     """Loader typing rules: empty strings load as NULL, explicit type overrides, and
     floating columns listed in ``overrides`` as ``bigint`` are rounded first."""

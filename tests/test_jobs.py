@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from laborlake.operators import etl, tracking
 from laborlake.session import shared_dir
+from laborlake.sources import releases
 from laborlake.streaming import jobs
 
 
@@ -92,7 +93,7 @@ def test_pipeline_twice_same_output(spark, small_dir):
         live = spark.read.json(f"{base}/landing/live")
         sent = spark.read.json(f"{base}/events")
         assert rows["publish"].rows == live.count() == sent.select("key").distinct().count() > 0
-        fact = spark.read.parquet(f"{base}/warehouse/fact_job_posting")
+        fact = releases.read(spark, f"{base}/warehouse", "fact_job_posting")
         outs.append(sorted(map(tuple, fact.collect())))
     assert outs[0] == outs[1]
 
