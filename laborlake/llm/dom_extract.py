@@ -6,8 +6,9 @@ potential for each parent and child connects them, by kind of child.  Sum-produc
 up the tree and down again, which yields every node's exact marginal; the text of a node whose
 marginal is a half or more is kept.  The weights are learned by gradient ascent on the
 likelihood of labelled pages, with expectations from the same messages; ``training_pages``
-writes those pages with their labels from templates, a bounded and documented number.  The
-messages of more than ``HEARD`` children of one node are tempered to that many.
+writes those pages with their labels from templates, a bounded and documented number.  The log
+potential of a parent and a child is divided by the square root of the parent's number of
+children, in learning and in use: like children are no independent witnesses.
 
 A text belongs to its nearest block element; inline elements are part of their block, and a
 line break ends a block.  Scripts, styles, controls and the head have no text, nor have elements
@@ -34,25 +35,29 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 400
 EPOCHS = 12
-HEARD = 8
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg select button datalist object canvas audio video".split())
+#: Of these the ones that end a block; controls, graphics and scripts may stand inside a sentence.
+ENDS = frozenset("title xmp noembed noframes".split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
                     "strong sub sup time tt u var wbr img picture map area center ruby rt rp nobr").split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("table ul ol dl body html article section div nav aside footer header main form td th blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
+#: A tag's end is the first > outside quotes.  A < outside quotes before that means that the tag
+#: was cut off: it has no text, and reading goes on at that <, so no character is passed twice.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
+                    r"|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?=<|\Z)|</?[a-zA-Z][^<>]*(?:(?=<)|>|\Z)|<[/!?]?\Z", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PAIR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*\"|'[^']*'|\([^)]*\)|[\"'(])+")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+SECTIONS = frozenset("article main section nav aside header footer form body".split())
 
 #: Class, id and role words by what they tell; a word counts as its group, so unseen names of a
 #: known kind carry weight.
@@ -86,6 +91,11 @@ class Node:
     all_links: int = 0
     children: int = 0
 
+    @property
+    def bond(self) -> float:
+        """What the log potentials between this node and each child are multiplied by."""
+        return 1 / math.sqrt(self.children) if self.children else 1.0
+
 
 @dataclass
 class Page:
@@ -156,10 +166,7 @@ def parse(html: str) -> Page:
     while at < end:
         m = _TOKEN.search(html, at)
         if m is None:
-            rest = html[at:]
-            if cut := _CUT_TAG.search(rest):
-                rest = rest[:cut.start()]
-            say(rest)
+            say(html[at:])
             break
         if m.start() > at:
             say(html[at:m.start()])
@@ -181,7 +188,7 @@ def parse(html: str) -> Page:
         if tag in RAW:
             if not attrs.endswith("/") and tag not in VOID:
                 at = _past(html, at, tag)
-            if tag not in INLINE and not unseen:
+            if tag in ENDS and not unseen:
                 flush()
             continue
         if tag in VOID:
@@ -245,17 +252,23 @@ def _past(html: str, at: int, tag: str) -> int:
 
 def features(page: Page) -> list[list[str]]:
     """The binary features of every node."""
-    out = []
+    out: list[list[str]] = []
     total = max(1, page.nodes[0].all)
     seen = 0
+    within: list[str] = []
+    under: list[frozenset[str]] = []
     for n in page.nodes:
-        f = ["bias", f"tag={n.tag}"]
+        above = page.nodes[n.parent].tag if n.parent >= 0 else "none"
+        within.append(above if above in SECTIONS else within[n.parent] if n.parent >= 0 else "none")
+        f = ["bias", f"tag={n.tag}", f"within={within[-1]}", f"tag={n.tag} within={within[-1]}"]
         words = set()
         for m in _ATTR.finditer(n.attrs):
             for w in _WORD.findall((m.group(2) or m.group(3) or m.group(4) or "")):
                 words.add(w.lower())
         groups = {g for w in words for g in _GROUP_OF.get(w, ())}
-        f += [f"group={g}" for g in sorted(groups)]
+        above = under[n.parent] if n.parent >= 0 else frozenset()
+        f += [f"group={g}" for g in sorted(groups)] + [f"under={g}" for g in sorted(above)]
+        under.append(above if groups <= above else above | groups)
         f += [f"word={w}" for w in sorted(words)]
         if n.all:
             f.append(f"links={min(4, int(5 * n.all_links / n.all))}")
@@ -296,16 +309,14 @@ class Model:
         for i in range(n):
             s = in0[i] + in1[i]
             in0[i], in1[i] = in0[i] / s, in1[i] / s
-        psi = [tuple(math.exp(x) for x in self.pair(x.tag)) for x in nodes]
+        psi = [(1.0,) * 4] + [tuple(math.exp(v * nodes[x.parent].bond) for v in self.pair(x.tag)) for x in nodes[1:]]
         up0, up1 = [1.0] * n, [1.0] * n
         for i in range(n - 1, 0, -1):
             a, b, c, d = psi[i]
             m0, m1 = a * in0[i] + b * in1[i], c * in0[i] + d * in1[i]
             s = m0 + m1
             p = nodes[i].parent
-            # Like children are no independent witnesses: many of them count as HEARD together.
-            heard = min(1.0, HEARD / nodes[p].children)
-            up0[i], up1[i] = (m0 / s) ** heard, (m1 / s) ** heard
+            up0[i], up1[i] = m0 / s, m1 / s
             q0, q1 = in0[p] * up0[i], in1[p] * up1[i]
             s = q0 + q1
             in0[p], in1[p] = (q0 / s, q1 / s) if s > 0 else (0.5, 0.5)
@@ -355,8 +366,9 @@ def fit(pages: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.3, s
             pair_grad: dict[tuple[str, int], float] = {}
             for i in range(1, len(state)):
                 k, true = kind(page.nodes[i].tag), 2 * state[page.nodes[i].parent] + state[i]
+                bond = page.nodes[page.nodes[i].parent].bond
                 for s in range(4):
-                    pair_grad[k, s] = pair_grad.get((k, s), 0.0) + (s == true) - joint[i][s]
+                    pair_grad[k, s] = pair_grad.get((k, s), 0.0) + bond * ((s == true) - joint[i][s])
             for f, g in grad.items():
                 g -= 0.01 * model.weights.get(f, 0.0)
                 size[f] = size.get(f, 1e-6) + g * g
@@ -425,12 +437,28 @@ def training_pages(n: int = TRAIN_PAGES, seed: int = 42) -> list[tuple[str, str]
     def comments() -> str:
         each = "".join(rng.choice([lambda: f"<div class='comment'><b>{esc(word())}</b><p>{esc(prose(1, 4))}</p></div>",
                                    lambda: f"<li class='comment'><p>{esc(prose(1, 3))}</p></li>",
-                                   lambda: f"<p>{esc(prose(1, 3))}</p>"])() for _ in range(rng.randint(1, 5)))
+                                   lambda: f"<p>{esc(prose(1, 3))}</p>"])() for _ in range(rng.choice([rng.randint(1, 5), rng.randint(6, 40)])))
         return named(rng.choice(["section", "div", "ol", "aside"]), GROUPS["comment"], f"<h3>{esc(words(1, 2))}</h3>{each}")
 
     def form() -> str:
         return f"<form action='/{word()}'><p>{esc(sentence(2, 6))}</p><label>{esc(words(1, 2))}</label><input name=q><button>{word()}</button></form>"
 
+    def other_block() -> tuple[str, list[str]]:
+        """Blocks of a text besides paragraphs and lists, each with its lines."""
+        a, b, c = prose(1, 4), sentence(2, 9), words(1, 3)
+        return rng.choice([
+            lambda: (f"<pre>{esc(a)}</pre>", [a]), lambda: (f"<pre><code>{esc(a)}</code></pre>", [a]),
+            lambda: (f"<dl><dt>{esc(c)}</dt><dd>{esc(a)}</dd><dt>{esc(c)}</dt><dd>{esc(b)}</dd></dl>", [c, a, c, b]),
+            lambda: (f"<figure><img src=x><figcaption>{esc(b)}</figcaption></figure>", [b]),
+            lambda: (f"<address>{esc(b)}</address>", [b]), lambda: (f"<div>{esc(a)}</div>", [a]),
+            lambda: (f"<div class='{word()}'><p>{esc(a)}</p><div>{esc(b)}</div></div>", [a, b]),
+            lambda: (f"<section><h3>{esc(c)}</h3><p>{esc(a)}</p></section>", [c, a]),
+            lambda: (f"<details><summary>{esc(c)}</summary><p>{esc(a)}</p></details>", [c, a]),
+            lambda: (f"<table><caption>{esc(b)}</caption><tr><th>{esc(c)}</th><th>{esc(c)}</th></tr><tr><td>{esc(a)}</td><td>{esc(b)}</td></tr></table>",
+                     [b, c, c, a, b]),
+            lambda: (f"<h4>{esc(b)}</h4><p>{esc(a)}</p>", [b, a]), lambda: (f"<p>{esc(a)} <button>{word()}</button> {esc(b)}</p>", [a + " " + b]),
+        ])()
+
     def article() -> tuple[str, list[str]]:
         parts, main = [], []
         title = sentence(2, 9)
@@ -438,7 +466,17 @@ def training_pages(n: int = TRAIN_PAGES, seed: int = 42) -> list[tuple[str, str]
             tag = rng.choice(["h1", "h1", "h2"])
             parts.append(f"<{tag}>{esc(title)}</{tag}>")
             main.append(title)
+        if rng.random() < 0.25:
+            by = words(2, 4)
+            line = rng.choice([f"<p>{esc(by)}</p>", f"<p class='byline'>{esc(by)}</p>", f"<address>{esc(by)}</address>", f"<div class='author'>{esc(by)}</div>"])
+            parts = [f"<header>{''.join(parts)}{line}</header>"]
+            main.append(by)
         for i in range(rng.randint(1, 9)):
+            if rng.random() < 0.22:
+                part, lines = other_block()
+                parts.append(part)
+                main += lines
+                continue
             t = prose(1, 7) if rng.random() < 0.8 else sentence(1, 3)
             style = rng.random()
             if style < 0.6:
@@ -479,8 +517,10 @@ def training_pages(n: int = TRAIN_PAGES, seed: int = 42) -> list[tuple[str, str]
     for _ in range(n):
         body, main = article()
         shell = rng.choice([lambda x: f"<article>{x}</article>", lambda x: f"<article>{x}</article>", lambda x: f"<main>{x}</main>",
+                            lambda x: f'<div id="{word()}">{x}</div>', lambda x: f'<div class="{word()}">{x}</div>',
                             lambda x: f"<main><article>{x}</article></main>", lambda x: named("div", GROUPS["main"], x),
-                            lambda x: f'<div id="{word()}"><div class="{word()}">{x}</div></div>', lambda x: f"<section>{x}</section>"])
+                            lambda x: f'<div id="{word()}"><div class="{word()}">{x}</div></div>', lambda x: f'<div id="{word()}">{x}</div>',
+                            lambda x: f"<section>{x}</section>", lambda x: f"<article><div class='{rng.choice(['review', 'story', 'post', word()])}-body'>{x}</div></article>"])
         before = [f() for f, p in ((menu, 0.8), (lambda: f"<header><a href='/'>{esc(words(1, 3))}</a><p>{esc(sentence())}</p></header>", 0.4),
                                    (lambda: aside("head"), 0.2), (lambda: aside("notice"), 0.3), (lambda: aside("advert"), 0.4),
                                    (form, 0.2), (menu, 0.2)) if rng.random() < p]
