@@ -111,3 +111,37 @@ def test_long_texts_keep_moving():
     m = toxicity.Model(toxicity.Trigrams(), {}, 0.0)
     m.slope, m.bias, m.ratio = 0.1, 0.0, lambda text, kept: float(text)
     assert m.score("30", {}) < m.score("60", {}) < m.score("300", {}) <= 1.0 and m.score("-1e9", {}) >= 0.0
+
+
+def test_plain_marks_at_the_ends_change_no_reading():
+    rng = random.Random(4)
+    m = toxicity.Model(toxicity.Trigrams(), {"idiot": 3.0, "^idiot": 2.0, "loser": 1.5}, 0.0)
+    for w in ("idiot", "loser", "house", "wall", "tree"):
+        m.trigrams.learn(w, 5)
+    assert not set(toxicity.PLAIN_MARKS) & set(toxicity.LOOKS_LIKE)
+    for _ in range(3000):
+        t = "".join(rng.choice("idiotl0s3r$!.,;:?\"'-_([{@*aé") for _ in range(rng.randint(0, 8)))
+        assert m.token(t) == m.token(t.strip(toxicity.PLAIN_MARKS)), t
+
+
+def test_search_equals_enumeration():
+    rng = random.Random(5)
+    m = toxicity.Trigrams()
+    for w in ("idiot", "loser", "house", "sell", "toast"):
+        m.learn(w, 4)
+    for _ in range(150):
+        token = "".join(rng.choice("idot1053s@$.. l") for _ in range(rng.randint(1, 6))).strip() or "s"
+        best = None
+        for arcs in itertools.product(*toxicity.lattice(token)):
+            word, score = "".join(a for a, _ in arcs), -sum(p for _, p in arcs)
+            for part in word.split(" "):
+                w = f"^^{part}$"
+                score += sum(m.log(w[i:i + 2], w[i + 2]) for i in range(len(w) - 2))
+            best = score if best is None else max(best, score)
+        found = toxicity.viterbi(token, m)
+        reach = [(-sum(p for _, p in arcs)) for arcs in itertools.product(*toxicity.lattice(token)) if "".join(a for a, _ in arcs) == found]
+        mine = max(reach)
+        for part in found.split(" "):
+            w = f"^^{part}$"
+            mine += sum(m.log(w[i:i + 2], w[i + 2]) for i in range(len(w) - 2))
+        assert mine == pytest.approx(best)
