@@ -31,15 +31,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .select("doc_id", "text", "rest.*").select(*DOCUMENTS))
 
 
+#: One UTF-8 character, bytes read as Latin-1 letters; what no character covers is a stray byte.
+_CHARACTER = ("[\\x00-\\x7f]|[\\xc2-\\xdf][\\x80-\\xbf]|\\xe0[\\xa0-\\xbf][\\x80-\\xbf]|[\\xe1-\\xec\\xee\\xef][\\x80-\\xbf]{2}|"
+              "\\xed[\\x80-\\x9f][\\x80-\\xbf]|\\xf0[\\x90-\\xbf][\\x80-\\xbf]{2}|[\\xf1-\\xf3][\\x80-\\xbf]{3}|\\xf4[\\x80-\\x8f][\\x80-\\xbf]{2}")
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; a document with nothing left goes.
 
-    A cut may part a character's bytes; the stray bytes are left out of the text."""
+    A cut may part a character's bytes; the stray bytes are left out of the text, and nothing
+    else.  Rows alike in id and text get the same text each, whatever their other columns."""
     got = suffix_dedup.dedup(docs).where("n_removed < n_bytes or n_bytes = 0")
-    kept = got.select(F.col("doc_id").alias("id"), "th", "kept")
-    rest = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "lang", "source").distinct()
+    kept = got.select(F.col("doc_id").alias("id"), "th", "kept").dropDuplicates(["id", "th"])
+    rest = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "lang", "source")
+    letters = F.regexp_replace(F.decode("kept", "ISO-8859-1"), f"({_CHARACTER})|[\\x80-\\xff]", "$1")
     whole = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(
-        F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
+        F.encode(letters, "ISO-8859-1").cast("string"))
     same = rest["doc_id"].eqNullSafe(kept["id"]) & (rest["h"] == kept["th"])
     return (kept.join(rest, same).withColumn("text", whole).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
             .select(*DOCUMENTS))
@@ -62,6 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row's text (null: empty) in training sequences; each row is packed."""
     return packing.pack(docs)
 
 
