@@ -42,13 +42,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A cut may part a character's bytes; the stray bytes are left out of the text, and nothing
     else.  Rows alike in id and text get the same text each, whatever their other columns."""
     got = suffix_dedup.dedup(docs).where("n_removed < n_bytes or n_bytes = 0")
-    kept = got.select(F.col("doc_id").alias("id"), "th", "kept").dropDuplicates(["id", "th"])
-    rest = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "lang", "source")
+    # One partitioning serves the distinct and the join: the texts are shuffled once.
+    key = [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key")]
+    kept = got.select(*key, "th", "kept").dropDuplicates(["none", "key", "th"])
+    rest = docs.select("doc_id", *key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "lang", "source")
     letters = F.regexp_replace(F.decode("kept", "ISO-8859-1"), f"({_CHARACTER})|[\\x80-\\xff]", "$1")
     whole = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(
         F.encode(letters, "ISO-8859-1").cast("string"))
-    same = rest["doc_id"].eqNullSafe(kept["id"]) & (rest["h"] == kept["th"])
-    return (kept.join(rest, same).withColumn("text", whole).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return (kept.join(rest, ["none", "key", "th"]).withColumn("text", whole).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
             .select(*DOCUMENTS))
 
 
