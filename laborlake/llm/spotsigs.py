@@ -81,32 +81,48 @@ def pruned_jaccard(a: Column, b: Column, threshold: float = 0.0) -> Column:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, signatures, next text, next signatures) in ascending order of the id.
 
-    Ids are cut into ranges of about ``DOCS_PER_BLOCK`` documents.  The first document of a
-    range is sent to the range before it as well, so each range finds all its successors by
-    itself: the text is shuffled once and no task sees all rows.
+    Ids are cut into ranges of about ``DOCS_PER_BLOCK`` documents.  An id on which several cuts
+    fall (null ids above all) gets as many ranges, by the hash of its texts.  The first document
+    of a range is sent to the range before it as well, so each range finds all its successors by
+    itself: the text is shuffled once and no task sees all rows.  Only rows alike in id and text
+    stay in one range, however many.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2 ** 63)))
-    rows = docs.select(key.alias("__k"), F.col(id_col).alias("doc_id"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
     n = docs.count()
     blocks = blocks_for(n, DOCS_PER_BLOCK)
     cuts: list[int] = []
     if blocks > 1:
         at = [i / blocks for i in range(1, blocks)]
-        cuts = sorted(set(docs.select(key.alias("__k")).agg(F.percentile_approx("__k", at, 100_000)).first()[0]))
-    block = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= F.col("__k")))
+        cuts = sorted(docs.select(key.alias("__k")).agg(F.percentile_approx("__k", at, 100_000)).first()[0])
+    repeated = len(set(cuts)) < len(cuts)
+    # Without an id that several cuts name, the texts need no hash to be placed.
+    mark = F.xxhash64(text) if repeated else F.lit(0).cast("long")
+    of_cuts = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    under = F.size(F.filter(of_cuts, lambda c: c < F.col("__k")))
+    if repeated:
+        same = F.size(F.filter(of_cuts, lambda c: c == F.col("__k")))
+        # The place of a hash among all hashes, in 2^20 steps.
+        step = F.shiftright(F.col("__h"), 44) + 2 ** 19
+        block = under + F.when(same > 0, F.floor(step * same / 2 ** 20) + 1).otherwise(0)
+    else:
+        block = F.size(F.filter(of_cuts, lambda c: c <= F.col("__k")))
+    block = block.cast("int")
     # One row for each range: bounded by blocks_for, not by the rows.
-    first = {r[0]: r[1] for r in docs.select(key.alias("__k")).groupBy(block.alias("__b")).agg(F.min("__k")).collect()}
+    first = {r[0]: r[1] for r in docs.select(key.alias("__k"), mark.alias("__h")).groupBy(block.alias("__b"))
+             .agg(F.min(F.struct("__k", "__h"))).collect()}
     have = sorted(first)
     before = {b: have[i - 1] for i, b in enumerate(have)}
     size = len(cuts) + 1
-    firsts = F.array(*(F.lit(first.get(b)) for b in range(size))).cast("array<bigint>")
+    first_keys = F.array(*(F.lit(first[b][0] if b in first else None) for b in range(size))).cast("array<bigint>")
+    first_marks = F.array(*(F.lit(first[b][1] if b in first else None) for b in range(size))).cast("array<bigint>")
     befores = F.array(*(F.lit(before.get(b, -1)) for b in range(size))).cast("array<int>")
-    placed = rows.withColumn("__b", block)
+    placed = docs.select(key.alias("__k"), mark.alias("__h"), F.col(id_col).alias("doc_id"), text.alias("__text")
+                         ).withColumn("__b", block)
     own = F.struct(F.col("__b").alias("b"), F.lit(False).alias("ghost"))
     ghost = F.struct(F.get(befores, F.col("__b")).alias("b"), F.lit(True).alias("ghost"))
-    placed = placed.withColumn("__at", F.explode(
-        F.when(F.col("__k") == F.get(firsts, F.col("__b")), F.array(own, ghost)).otherwise(F.array(own))))
+    leads = (F.col("__k") == F.get(first_keys, F.col("__b"))) & (F.col("__h") == F.get(first_marks, F.col("__b")))
+    placed = placed.withColumn("__at", F.explode(F.when(leads, F.array(own, ghost)).otherwise(F.array(own))))
     dealt = (placed.select("doc_id", "__k", "__text", F.col("__at.b").alias("__b"), F.col("__at.ghost").alias("__ghost"))
              .repartition("__b")
              .withColumn("__sigs", signatures(F.col("__text"))))
