@@ -79,6 +79,26 @@ def test_spotsigs_next_over_blocks(spark, monkeypatch):
     assert got == {a: f"the text {b} of row {b}" for a, b in zip(ids, ids[1:] + ids[:1])}
 
 
+def test_spotsigs_deals_an_id_with_many_texts_to_many_ranges(spark, monkeypatch):
+    """Half the rows without an id, a sixth under one id: still one successor each, in ranges of bounded size."""
+    monkeypatch.setattr(spotsigs, "DOCS_PER_BLOCK", 40)
+    ids = [None] * 600 + [77] * 200 + list(range(400))
+    rows = [(i, f"the text {n} of a row") for n, i in enumerate(ids)] + [(None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = spotsigs.with_next(df).select("doc_id", "__text", "__next", "__b").collect()
+    assert len(got) == len(rows) and max(Counter(r["__b"] for r in got).values()) < 160
+    step = {r["__text"]: r["__next"] for r in got}
+    at, seen = "", []
+    for _ in rows:
+        seen.append(at)
+        at = step[at]
+    assert at == "" and len(set(seen)) == len(rows)
+    of = {t: -1 if i is None else i for i, t in rows}
+    turn = [of[t] for t in seen]
+    first = min(range(len(turn)), key=lambda k: (turn[k], turn[k - 1] == -1))
+    assert turn[first:] + turn[:first] == sorted(turn)
+
+
 def test_spotsigs_likeness_is_pruned_by_length(spark):
     df = spark.createDataFrame([([1, 2, 3, 4], [1, 2, 3]), ([1], [1, 2, 3]), ([], []), ([], [1])], "a array<long>, b array<long>")
     exact = [r[0] for r in df.select(spotsigs.pruned_jaccard(F.col("a"), F.col("b"))).collect()]
@@ -132,6 +152,43 @@ def test_mix(docs, none, rows, monkeypatch):
     assert all(r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2 for r in got)
 
 
+def test_land_is_the_best_rounding():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        k = int(rng.integers(1, 9))
+        p, size = rng.random(k), rng.integers(0, 500, k)
+        got = cube_mixing.land(p, size)
+        near = [m for m in np.ndindex(*[2] * k) if abs(sum(m) - p.sum()) < 4.5]
+        assert set(got) <= {0.0, 1.0} and tuple(got) in {tuple(map(float, m)) for m in near}
+        assert abs((got * size).sum() - (p * size).sum()) == pytest.approx(min(abs(np.dot(m, size) - (p * size).sum()) for m in near))
+
+
+def test_last_block_comes_near_its_target_with_heavy_tails():
+    miss = []
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        size = np.sort(np.minimum(rng.pareto(0.8, 500) * 20 + 1, 20_000).astype(int))
+        p = np.full(500, 0.37)
+        got = cube_mixing.fly_and_land(p, size, rng)
+        assert set(got) <= {0.0, 1.0} and abs(got.sum() - p.sum()) < 4.5
+        miss.append(abs((got * size).sum() - (p * size).sum()) / (p * size).sum())
+    assert np.mean(miss) < 0.01 and max(miss) < 0.1
+
+
+def test_mix_numbers_and_deals_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(cube_mixing, "NUMBERED", 7)
+    monkeypatch.setattr(cube_mixing, "BLOCK", 16)
+    df = spark.createDataFrame([(None, "five words in this text", "b")] * 150 + [(i, "word " * (i % 9), "a") for i in range(90)],
+                               "doc_id long, text string, source string")
+    rows = cube_mixing.mix(df).collect()
+    assert len(rows) == 240 and sum(r["doc_id"] is None for r in rows) == 150
+    for source, size in Counter(r["source_size"] for r in rows).items():
+        mine = [r for r in rows if r["source_size"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 5
+    copies = cube_mixing.numbered(df.where("doc_id is null")).select("copy").collect()
+    assert sorted(r[0] for r in copies) == list(range(150))
+
+
 def test_simhash(docs, none, rows):
     got = simhash.near_duplicates(docs, split=4).collect()
     fp = [simhash.fingerprint(t or "") for _, t, *_ in rows]
