@@ -8,6 +8,11 @@ optional rank keys.  The per-posting skill-match count is pre-aggregated on the
 Top-k: ``orderBy(...).limit(k)`` plans as ``TakeOrderedAndProject`` (each task keeps its
 own k best, the driver merges k × tasks rows) — never a global sort.  The company-name
 join runs *after* the top-k, on at most ``offset + limit`` rows.
+
+Paging: ``search_after`` takes the rank keys of the last row seen and filters for the rows
+behind them, so page 1,000 costs what page 1 does.  ``search_seek`` serves a plain offset far
+down: counts per rank key, level by level, tell on which key the page starts; rows before it
+are filtered out and only the small rest of the offset is skipped in the top-k.
 """
 from __future__ import annotations
 
@@ -28,6 +33,12 @@ RELAXED_NOTE = ("No job TITLE matched '{q}', so the title filter was dropped and
                 "rather than searching again with different wording.")
 # ---------------------------------------------------------------------------------------
 
+#: Rows that a top-k may skip; an offset beyond is sought by counts first.
+NEAR_OFFSET = 1_000
+#: Width of the first salary steps of a seek, and characters of an id that one level looks at.
+SALARY_STEP = 4_096
+ID_STEP = 2
+
 RESULT_COLUMNS = ["posting_id", "title", "company_name", "location", "region", "seniority",
                   "remote", "salary", "posted_month", "predicted_salary", "salary_vs_market",
                   "pay_band", "is_real", "source", "url", "region_match", "skill_matches"]
@@ -140,6 +151,86 @@ def search_ranked(fact: DataFrame, bridge: DataFrame, dim_skill: DataFrame, dim_
     return with_company_names(page, dim_company).select(*RESULT_COLUMNS).orderBy(*order)
 
 
+def rank_keys(spec: SearchSpec) -> list[tuple[str, bool]]:
+    """(column, descending) of the spec's order; a descending key has its NULLs last."""
+    return [("is_real", True), *[("region_match", True)] * bool(_items(spec.prioritize_regions)),
+            *[("skill_matches", True)] * bool(_items(spec.prioritize_skills)), ("salary", True), ("posting_id", False)]
+
+
+def behind(levels: list[tuple[Column, bool, object]], last: bool = False) -> Column:
+    """Rows that come after the values of ``levels`` (key, descending, value) in their order, or
+    at them where ``last``.  Nested, so that a row is compared on its first differing key."""
+    if not levels:
+        return F.lit(last)
+    (key, descending, value), rest = levels[0], levels[1:]
+    if value is None:
+        after = F.lit(False) if descending else key.isNotNull()
+    elif descending:
+        after = (key < F.lit(value)) | key.isNull()
+    else:
+        after = key > F.lit(value)
+    return after | (key.eqNullSafe(F.lit(value)) & behind(rest, last))
+
+
+def page_cursor(page: DataFrame, spec: SearchSpec) -> dict | None:
+    """The rank keys of a page's last row, None for an empty page (a page has ``limit`` rows at most)."""
+    rows = page.select(*[k for k, _ in rank_keys(spec)]).collect()
+    return rows[-1].asDict() if rows else None
+
+
+def search_after(fact: DataFrame, bridge: DataFrame, dim_skill: DataFrame, dim_company: DataFrame,
+                 spec: SearchSpec, cursor: dict) -> DataFrame:
+    """The page behind ``cursor``: the rows after it, then the top-k; nothing is skipped or counted."""
+    ranked, order = with_rank_keys(search_filter(fact, bridge, dim_skill, spec), bridge, dim_skill, spec)
+    rest = ranked.where(behind([(F.col(k), desc, cursor[k]) for k, desc in rank_keys(spec)]))
+    return with_company_names(rest.orderBy(*order).limit(spec.limit), dim_company).select(*RESULT_COLUMNS).orderBy(*order)
+
+
+def _seek_levels(spec: SearchSpec, id_length: int) -> list[tuple[Column, bool]]:
+    """The rank keys cut into steps with few values each: a salary by its thousands, then itself,
+    and an id by two characters at a time."""
+    levels = [(F.col(k), desc) for k, desc in rank_keys(spec) if k not in ("salary", "posting_id")]
+    levels += [(F.floor(F.col("salary") / SALARY_STEP), True), (F.col("salary"), True)]
+    return levels + [(F.substring("posting_id", at, ID_STEP), False) for at in range(1, id_length + 1, ID_STEP)]
+
+
+def seek(ranked: DataFrame, levels: list[tuple[Column, bool]], offset: int, near: int) -> tuple[Column, int]:
+    """(rows from the start of the page's key on, how many of them the offset still skips).
+
+    Each level counts the rows of the key found so far by its next part, in one aggregate with
+    partial counts; only these counts reach the driver.  The search ends as soon as what is left
+    to skip is small, mostly after one or two levels."""
+    found: list[tuple[Column, bool, object]] = []
+    inside = F.lit(True)
+    for key, descending in levels:
+        if offset <= near:
+            break
+        counts = ranked.where(inside).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
+        counts.sort(key=lambda r: (r["k"] is not None, r["k"]) if r["k"] is not None else (False,), reverse=descending)
+        for r in counts:
+            if offset < r["n"]:
+                break
+            offset -= r["n"]
+        else:
+            return F.lit(False), 0
+        found.append((key, descending, r["k"]))
+        inside = inside & key.eqNullSafe(F.lit(r["k"]))
+    return behind(found, last=True), offset
+
+
+def search_seek(fact: DataFrame, bridge: DataFrame, dim_skill: DataFrame, dim_company: DataFrame,
+                spec: SearchSpec, near: int = NEAR_OFFSET) -> DataFrame:
+    """The page at a plain offset, however far down: equal to ``search_ranked``, but no task and
+    no driver keeps more than ``near + limit`` rows for it."""
+    if spec.offset <= near:
+        return search_ranked(fact, bridge, dim_skill, dim_company, spec)
+    ranked, order = with_rank_keys(search_filter(fact, bridge, dim_skill, spec), bridge, dim_skill, spec)
+    id_length = ranked.agg(F.max(F.length("posting_id"))).first()[0] or 0
+    rest, skip = seek(ranked, _seek_levels(spec, id_length), spec.offset, near)
+    page = ranked.where(rest).orderBy(*order).offset(skip).limit(spec.limit)
+    return with_company_names(page, dim_company).select(*RESULT_COLUMNS).orderBy(*order)
+
+
 def with_company_names(page: DataFrame, dim_company: DataFrame) -> DataFrame:
     """Company names for a result page.  The wide fact already carries the name; for a
     narrow fact, the dimension is first cut to the page's ids with a semi join; the page's
