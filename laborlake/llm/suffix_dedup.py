@@ -7,9 +7,10 @@ neighbours are repeats.  Only suffixes that can have an equal elsewhere are sort
     it.  Equal windows have equal names, and consecutive windows mostly share theirs, so a
     document has about one name for 17 bytes.  Names that occur in one document only are done.
 2.  Runs of windows with a repeated name are cut out as segments and sent by their name to one
-    block.  Of equal segments a chunk of documents sends the earliest alone, the others are
-    repeats already.  A name with very many runs (the edge of a very common passage) would
-    make a hot block: its windows are sent one by one, by their own bytes.
+    block.  Of equal segments a chunk of documents sends the earliest alone: those of larger
+    ids are repeats already, those of the same id are its twins and take over what is found
+    for it.  A name with very many runs (the edge of a very common passage, in many documents
+    or in one) would make a hot block: its windows are sent one by one, by their own bytes.
 3.  A block sorts the suffixes of its segments deep-shallow: a multikey quicksort over eight
     bytes a step to the shallow depth, then blind tries for the groups that still agree.
 4.  Windows equal to one of a smaller doc_id go back to their documents, whose bytes are cut.
@@ -19,23 +20,29 @@ as packed blocks of bounded size.  Results are exact: the hashes only choose wha
 
 Defined results: null is the empty text; texts under ``length`` bytes lose nothing; rows of
 equal doc_id never count as smaller than each other; a null id ranks after all ids.  Repeated
-rows are handled each.  An empty table gives an empty result.  Only the id and text columns
+rows are handled each; rows alike in id and text that fill a chunk together travel as counted
+pieces over many chunks.  An empty table gives an empty result.  Only the id and text columns
 are read.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborlake.llm.common import blocks_for, release
+from laborlake.llm.common import blocks_for, release, settled
 
 LENGTH = 50
 CHUNK_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 HOT_RUNS = 4096
+#: Rows alike in id and text from which on, or from ``CHUNK_BYTES`` on, they are counted into pieces.
+ALIKE = 1024
+#: A name's runs are one byte: the top bit says "in two documents", this one "count in the next column".
+_MANY = 127
 SHALLOW = 16
 #: Parts of a block that are sorted one after another.
 PARTS = 8
@@ -171,11 +178,11 @@ def _rows(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, k) for c, (_, k) in zip(cols, schema, strict=True)], names=[n for n, _ in schema])
 
 
-_NAMES = [("block", pa.int32()), ("chunk", pa.int32()), ("names", pa.binary()), ("runs", pa.binary())]
+_NAMES = [("block", pa.int32()), ("chunk", pa.int32()), ("names", pa.binary()), ("runs", pa.binary()), ("many", pa.binary())]
 _REPEATED = [("chunk", pa.int32()), ("names", pa.binary()), ("hot", pa.binary())]
-_SEGMENTS = [("block", pa.int32()), ("chunk", pa.int32()), ("found", pa.binary()), ("data", pa.binary()),
+_SEGMENTS = [("block", pa.int32()), ("chunk", pa.int32()), ("found", pa.binary()), ("twins", pa.binary()), ("data", pa.binary()),
              ("parts", pa.binary()), ("length", pa.binary()), ("id", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())]
-_SPANS = [("chunk", pa.int32()), ("spans", pa.binary())]
+_SPANS = [("chunk", pa.int32()), ("spans", pa.binary()), ("twins", pa.binary())]
 
 
 def _sql(schema: list[tuple[str, pa.DataType]]) -> str:
@@ -194,12 +201,13 @@ def _names(length: int, blocks: int):
         first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
         size = np.diff(np.r_[first, len(name)])
         two = doc[first] != doc[first + size - 1]
-        runs = np.where(two, np.minimum(size, 255), 0).astype(np.uint8)
+        runs = (np.minimum(size, _MANY) + 128 * two).astype(np.uint8)
         name = name[first]
         block = (name % np.uint64(blocks)).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         ends = np.r_[cut[1:], len(name)]
-        return _rows(_NAMES, [(int(block[a]), chunk, name[a:b].tobytes(), runs[a:b].tobytes())
+        return _rows(_NAMES, [(int(block[a]), chunk, name[a:b].tobytes(), runs[a:b].tobytes(),
+                               size[a:b][size[a:b] >= _MANY].astype(np.int64).tobytes())
                               for a, b in zip(cut, ends, strict=True)])
     return run
 
@@ -208,20 +216,24 @@ def _repeated(hot_runs: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64) for x in t["names"].to_pylist()]
         name = np.concatenate(parts)
-        runs = np.concatenate([np.frombuffer(x, np.uint8) for x in t["runs"].to_pylist()])
+        mark = np.concatenate([np.frombuffer(x, np.uint8) for x in t["runs"].to_pylist()])
+        runs, two = (mark & _MANY).astype(np.int64), mark > _MANY
+        runs[runs == _MANY] = np.concatenate([np.frombuffer(x, np.int64) for x in t["many"].to_pylist()])
         chunk = np.repeat(t["chunk"].to_numpy(), [len(p) for p in parts])
         order = np.argsort(name, kind="stable")
-        name, runs, chunk = name[order], runs[order], chunk[order]
+        name, runs, two, chunk = name[order], runs[order], two[order], chunk[order]
         first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
         size = np.diff(np.r_[first, len(name)])
-        total = np.add.reduceat(np.maximum(runs, 1).astype(np.int64), first)
-        again = (size > 1) | (np.maximum.reduceat(runs, first) > 0)
+        total = np.add.reduceat(runs, first)
+        again = (size > 1) | np.logical_or.reduceat(two, first)
         of = np.repeat(np.arange(len(first)), size)
         keep = again[of]
         name, chunk, hot = name[keep], chunk[keep], (total > hot_runs)[of][keep].astype(np.uint8)
         order = np.argsort(chunk, kind="stable")
         name, chunk, hot = name[order], chunk[order], hot[order]
-        cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.zeros(0, int)
+        if not len(chunk):
+            return _rows(_REPEATED, [])
+        cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
         ends = np.r_[cut[1:], len(name)]
         return _rows(_REPEATED, [(int(chunk[a]), name[a:b].tobytes(), hot[a:b].tobytes())
                                  for a, b in zip(cut, ends, strict=True)])
@@ -245,8 +257,9 @@ def _segments(length: int, blocks: int):
         doc, first, last, hot = doc[hit], first[hit], last[hit], hot[at[hit]]
         order = np.argsort(doc, kind="stable")
         out: dict[int, list[tuple]] = {}
-        seen: dict[bytes, int] = {}
+        seen: dict[bytes, tuple[int, int, int]] = {}
         found: list[tuple[int, int, int]] = []
+        twins: list[tuple[int, int, int, int, int]] = []
         # Windows that can be equal share their name, so they share its block and part.
         place = (name % np.uint64(blocks * PARTS)).astype(np.int64)
         for d, a, b, h, p in zip(*(x[order].tolist() for x in (doc, first, last, hot, place[hit])), strict=True):
@@ -254,16 +267,20 @@ def _segments(length: int, blocks: int):
             cuts = [(a, text[a:b + length])] if not h else [(x, text[x:x + length]) for x in range(a, b + 1)]
             for start, data in cuts:
                 # Documents come in ascending order, so whoever sent these bytes before is not larger.
-                if (sent := seen.setdefault(data, own)) < own:
+                sent = seen.setdefault(data, (own, d, start))
+                if sent[0] < own:
                     found.append((d, start, start + len(data)))
                     continue
+                if sent[1:] != (d, start):
+                    twins.append((d, start, sent[1], sent[2], len(data)))
+                    continue
                 at = xxhash.xxh64_intdigest(data) % (blocks * PARTS) if h else p
                 out.setdefault(at % blocks, []).append((at // blocks, data, own, d, start))
-        rows = [(next(iter(out), 0), chunk, np.array(found, np.uint32).tobytes(), *(b"",) * 6)]
+        rows = [(next(iter(out), 0), chunk, np.array(found, np.uint32).tobytes(), np.array(twins, np.uint32).tobytes(), *(b"",) * 6)]
         for p, segs in out.items():
             segs.sort(key=lambda x: x[0])
             part, data, own, d, start = zip(*segs, strict=True)
-            rows.append((p, chunk, b"", pa.compress(b"".join(data), codec="zstd", asbytes=True),
+            rows.append((p, chunk, b"", b"", pa.compress(b"".join(data), codec="zstd", asbytes=True),
                          np.bincount(part, minlength=PARTS).astype(np.uint32).tobytes(),
                          np.array([len(x) for x in data], np.uint32).tobytes(), np.array(own, np.int64).tobytes(),
                          np.array(d, np.uint32).tobytes(), np.array(start, np.uint32).tobytes()))
@@ -303,7 +320,7 @@ def _covered(data: list[bytes], size, own, doc, start, chunk, length: int) -> It
 
 def _compare(length: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        rows = [(c, f) for c, f in zip(t["chunk"].to_pylist(), t["found"].to_pylist(), strict=True) if f]
+        rows = [(c, f, w) for c, f, w in zip(*(t[n].to_pylist() for n in ("chunk", "found", "twins")), strict=True) if f or w]
         sent = []
         for r in t.select(["chunk", "data", "parts", "length", "id", "doc", "start"]).to_pylist():
             if r["length"]:
@@ -320,7 +337,7 @@ def _compare(length: int):
                                              np.full(b - a, chunk, np.int32)), strict=True):
                         col.append(x)
             if cols[0]:
-                rows += _covered(cols[0], *map(np.concatenate, cols[1:]), length)
+                rows += ((c, f, b"") for c, f in _covered(cols[0], *map(np.concatenate, cols[1:]), length))
         result = _rows(_SPANS, rows)
         del sent, rows
         release()
@@ -328,9 +345,34 @@ def _compare(length: int):
     return run
 
 
-def _cut(key: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
+def _with_twins(got: np.ndarray, twins: np.ndarray, length: int) -> np.ndarray:
+    """The spans (document, start, end) and, for every twin, those of the segment that was sent.
+
+    A segment's spans begin at its windows, and no two segments of a document share a window."""
+    first = got[:, 0] << 32 | got[:, 1]
+    got = got[np.argsort(first, kind="stable")]
+    first = np.sort(first)
+    doc, start, of, at, size = twins.T
+    low = np.searchsorted(first, of << 32 | at)
+    high = np.searchsorted(first, of << 32 | (at + size - length), "right")
+    n = high - low
+    which = np.repeat(np.arange(len(twins)), n)
+    row = got[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]]
+    shift = (start - at)[which]
+    return np.concatenate([got, np.stack([doc[which], row[:, 1] + shift, row[:, 2] + shift], 1)])
+
+
+def _cut(length: int):
+    def run(key: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
+        def packed(name: str, width: int) -> np.ndarray:
+            return np.concatenate([np.zeros((0, width), np.int64),
+                                   *(np.frombuffer(x, np.uint32).reshape(-1, width) for x in spans[name].to_pylist())])
+        return _cut_spans(docs, _with_twins(packed("spans", 3), packed("twins", 5), length))
+    return run
+
+
+def _cut_spans(docs: pa.Table, got: np.ndarray) -> pa.Table:
     _, texts, t = _chunk(docs)
-    got = np.concatenate([np.zeros((0, 3), np.uint32), *(np.frombuffer(x, np.uint32).reshape(-1, 3) for x in spans["spans"].to_pylist())])
     got = got[np.lexsort((got[:, 1], got[:, 0]))].tolist()
     of: dict[int, list[list[int]]] = {}
     for d, a, b in got:
@@ -350,28 +392,43 @@ def _cut(key: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
         removed.append(len(text) - len(kept[-1]))
         n_spans.append(len(runs))
         where.append([x for run in runs for x in run])
-    return pa.table([t["id"], t["th"], pa.array([len(x) for x in texts], pa.int64()), pa.array(removed, pa.int64()),
+    return pa.table([t["id"], t["th"], t["n"], pa.array([len(x) for x in texts], pa.int64()), pa.array(removed, pa.int64()),
                      pa.array(n_spans, pa.int64()), pa.array(where, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
-                    names=["id", "th", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                    names=["id", "th", "n", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-          chunk_bytes: int = CHUNK_BYTES, block_bytes: int = BLOCK_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
+          chunk_bytes: int = CHUNK_BYTES, block_bytes: int = BLOCK_BYTES, hot_runs: int = HOT_RUNS,
+          alike: int = ALIKE) -> DataFrame:
     """One row per document: doc_id, th (a hash of the text), n_bytes, n_removed, n_spans, the
     removed spans (start, end, start, end ...) and the kept bytes."""
     if length < 24:
         raise ValueError("windows under 24 bytes have no names")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    chunks, blocks = (blocks_for(total, b, 2 ** 31 - 1) for b in (chunk_bytes, block_bytes))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"),
                        text.cast("binary").alias("text"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "th"), F.lit(chunks)).cast("int"))
+    keys = rows.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    many = (F.col("n") >= alike) | ((F.col("n") > 1) & (F.col("bytes") >= chunk_bytes))
+    head = keys.agg(F.sum("bytes").alias("bytes"), F.count_if(many).alias("many")).first()
+    chunks, blocks = (blocks_for(head["bytes"] or 0, b, 2 ** 31 - 1) for b in (chunk_bytes, block_bytes))
+    one = rows.select("id", "th", "text", F.lit(1).alias("n"), F.lit(0).alias("piece"))
+    if head["many"]:
+        # A piece stands for at most ``alike`` rows; equal ids remove nothing from each other, so
+        # it does not matter that the pieces lie in different chunks.
+        held = settled(keys.where(many).select("id", "th"), "alike")
+        pieces = rows.join(held, ["id", "th"], "left_semi").groupBy("id", "th", "text").agg(F.count(F.lit(1)).alias("all"))
+        pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("all") - 1) / alike).cast("int"))))
+        size = F.least(F.lit(alike), F.col("all") - F.col("piece") * alike).cast("int")
+        one = (one.join(held, ["id", "th"], "left_anti").select("id", "th", "text", "n", "piece")
+               .unionByName(pieces.select("id", "th", "text", size.alias("n"), "piece")))
+    rows = one.select("id", "th", "text", "n", F.pmod(F.xxhash64("id", "th", "piece"), F.lit(chunks)).cast("int").alias("chunk"))
     names = rows.groupBy("chunk").applyInArrow(_names(length, blocks), _sql(_NAMES))
     repeated = names.groupBy("block").applyInArrow(_repeated(hot_runs), _sql(_REPEATED))
     segments = rows.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_segments(length, blocks), _sql(_SEGMENTS))
     spans = segments.groupBy("block").applyInArrow(_compare(length), _sql(_SPANS))
     out = rows.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(
-        _cut, "id long, th long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
+        _cut(length), "id long, th long, n int, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
+    if head["many"]:
+        out = out.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "th", "n_bytes", "n_removed", "n_spans",
                       "spans", "kept")

@@ -278,6 +278,44 @@ def test_suffix_dedup(docs, none, rows, hot):
     assert Counter((r["doc_id"], bytes(r["kept"]), r["n_spans"]) for r in got) == want
     assert all(r["n_bytes"] - len(r["kept"]) == r["n_removed"] for r in got)
     assert suffix_dedup.dedup(none).count() == 0
+    lone = suffix_dedup.dedup(docs.where("doc_id = 11")).first()  # a table in which nothing repeats
+    assert lone["n_removed"] == 0 and lone["n_bytes"] == 300
+
+
+def test_suffix_dedup_counts_every_run_of_a_name(spark):
+    """A line many times in one long document, and once elsewhere: every run counts, its bytes go once."""
+    line = "".join(chr(97 + i * 7 % 26) for i in range(70))
+    rows = [(5, (line + "\n") * 700), (2, "head " + line), (9, line + line), (None, (line + " ") * 200), (None, (line + " ") * 200)]
+    rows = [r + (None,) * 3 for r in rows]
+    texts = pa.table({"id": [5], "th": [0], "text": [rows[0][1].encode()], "n": [1]})
+    named = suffix_dedup._names(50, 1)((pa.scalar(0),), texts)
+    marks = np.frombuffer(named["runs"][0].as_py(), np.uint8)
+    many = np.frombuffer(named["many"][0].as_py(), np.int64)
+    assert (marks < 128).all() and len(many) == (marks == 127).sum() > 0 and many.max() >= 699
+    one = suffix_dedup._repeated(1000)((pa.scalar(0),), named)
+    assert one.num_rows == 0  # one document alone has no repeats
+    both = pa.concat_tables([named, named.set_column(1, "chunk", pa.array([1], pa.int32()))])
+    reply = suffix_dedup._repeated(1000)((pa.scalar(0),), both)
+    assert 1 in np.frombuffer(reply["hot"][0].as_py(), np.uint8)
+    sent = suffix_dedup._segments(50, 1)((pa.scalar(0),), texts, reply.filter(pa.array([True, False])))
+    assert sum(len(x) // 4 for x in sent["length"].to_pylist()) <= 2 * 71 + 2
+    for hot in (10, 4096):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+        got = suffix_dedup.dedup(df, chunk_bytes=20_000, block_bytes=10_000, hot_runs=hot).collect()
+        want = Counter((r[0], kept, n) for r, (kept, n) in zip(rows, brute_dedup(rows, 50)))
+        assert Counter((r["doc_id"], bytes(r["kept"]), r["n_spans"]) for r in got) == want
+
+
+def test_suffix_dedup_deals_rows_alike_as_counted_pieces(spark):
+    """A third of all rows alike in id and text: no chunk takes them, and every row comes back."""
+    rng = random.Random(3)
+    base = [prose(rng, 40) for _ in range(4)]
+    rows = [(None, base[0])] * 50 + [(7, base[1] + base[2])] * 30 + [(i, base[i % 4] + str(i)) for i in range(40)] + [(None, None)] * 25
+    rows = [r + (None,) * 3 for r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = suffix_dedup.dedup(df, chunk_bytes=20_000, block_bytes=10_000, alike=8).collect()
+    want = Counter((r[0], kept, n) for r, (kept, n) in zip(rows, brute_dedup(rows, 50)))
+    assert Counter((r["doc_id"], bytes(r["kept"]), r["n_spans"]) for r in got) == want
 
 
 def test_equal_groups():
