@@ -1,4 +1,5 @@
 """Column functions on hand-made edge rows (the driver tables lack these values)."""
+import pytest
 from pyspark.sql import functions as F
 
 from laborlake.functions import lists, messages, salary, text
@@ -95,6 +96,22 @@ def test_strip_markup_resume(spark):
     assert "- Built Spark pipelines" in out
 
 
+@pytest.mark.parametrize("source, plain", [
+    (r"\textbf{a \emph{b}} c", "a b c"),
+    (r"10\% of it % not this" + "\nnext", "10% of it \nnext"),
+    (r"\href{http://x}{the page}~here", "the page here"),
+    (r"a $x_1$ b $ c", "a · b $ c"),
+    (r"\section{One}" + "\n\n\n\n" + r"\item two\newline three", "One\n\n- two\n three"),
+    (r"\unknown[opt]{gone} R\&D {kept}", "R&D kept"),
+    ("plain  text", "plain text"),
+    ("", ""),
+    (None, None),
+])
+def test_strip_markup_cases(spark, source, plain):
+    df = spark.createDataFrame([(source,)], "s string")
+    assert df.select(text.strip_markup("s").alias("p")).first()["p"] == plain
+
+
 def test_strip_tags(spark):
     html = "<html><head><style>p{}</style><script>var a='<p>';</script></head><body><!-- c --><p>A &amp; B</p></body>"
     assert one_col(spark, [html], text.strip_tags) == ["A & B"]
