@@ -7,7 +7,7 @@
   beside the first and passes each key of the staged rows once.
 * ``run_once_stream`` — at most one row per key, the earliest: a history table, partitioned by
   batch and bucket of the key's hash, is read for the batch's buckets alone and joined to it.
-  No state store grows with the stream.
+  No state store grows with the stream, and old batches are merged into ever longer runs.
 * ``run_rate_stream`` — tumbling-window request counts per identity with a watermark
   (bounded state), update mode; counts only grow, so the final count per window is the
   max over emitted updates.
@@ -35,6 +35,8 @@ from laborlake.streaming.profile_index import ProfileIndex
 NOTIFICATION_SCHEMA = ("user_id long, posting_id string, title string, body string, link string, kind string, "
                        "profile_version long")
 BUCKETS = 64
+#: So many batches, or runs of one level, of the history are merged into a run of the next level.
+RUN = 8
 
 
 def match_batch(batch: DataFrame, batch_id: int, index: ProfileIndex, staging: str) -> None:
@@ -133,10 +135,12 @@ def _history(sink: str) -> str:
 
 
 def once_batch(batch: DataFrame, batch_id: int, keys: list[str], row_id: str | None, order: list[str], sink: str,
-               buckets: int = BUCKETS) -> None:
+               buckets: int = BUCKETS, run: int = RUN) -> None:
     """Write the batch's rows whose key is new, or (with ``order``) earlier than what the history
     has for it, to ``sink/batch_id=N``, and their keys to the history.
 
+    What the history has is read from runs of merged batches (``_runs_before``): a row is merged once
+    per level, and a batch reads a number of folders that grows with the logarithm of its number.
     A key's rows of one batch are reduced to the earliest.  A row with a null in its key is only a
     repeat of a row with its ``row_id``.  Only batches before this one count as history, so a
     batch that is run again writes the same rows."""
@@ -154,8 +158,8 @@ def once_batch(batch: DataFrame, batch_id: int, keys: list[str], row_id: str | N
     new = spark.read.schema(new.schema).parquet(staged)
     if batch_id > 0:
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
-        known = (spark.read.schema(_history_schema(new, by, order)).parquet(_history(sink))
-                 .where(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id)))
+        fields = [new.schema[c] for c in [*by, *[f"__o_{c}" for c in order]]]
+        known = _known(spark, _history(sink), _runs_before(batch_id, run), fields, by, run).where(F.col("bucket").isin(touched))
         known = known.groupBy("bucket", *by).agg(F.min(F.struct(*[f"__o_{c}" for c in order], F.lit(0).alias("__held"))).alias("held"))
         same = reduce(lambda a, b: a & b, [new[k].eqNullSafe(known[k]) for k in by], new["bucket"] == known["bucket"])
         late = reduce(or_, [F.lit(False)] + ([F.struct(*[new[f"__o_{c}"] for c in order]) < F.struct(
@@ -166,10 +170,43 @@ def once_batch(batch: DataFrame, batch_id: int, keys: list[str], row_id: str | N
         f"{_history(sink)}/batch_id={batch_id}")
 
 
-def _history_schema(new: DataFrame, by: list[str], order: list[str]):
+def _runs_before(batch_id: int, run: int) -> list[tuple[int, int]]:
+    """(first batch, level) of the runs that hold the batches before ``batch_id``: its digits in
+    base ``run``.  They depend on the batch's number alone, so a batch that is run again reads
+    what it read the first time, and there are at most ``run - 1`` of a level."""
+    runs, at, level = [], batch_id, 0
+    while at:
+        size = run ** level
+        runs += [(at * size - (i + 1) * size, level) for i in range(at % run)]
+        at, level = at // run, level + 1
+    return runs[::-1]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _known(spark: SparkSession, history: str, runs: list[tuple[int, int]], fields: list, by: list[str], run: int) -> DataFrame:
+    """The history's rows (bucket, key, order) in ``runs``, of which the missing ones are merged first."""
     from pyspark.sql.types import IntegerType, LongType, StructField, StructType
-    fields = [new.schema[c] for c in [*by, *[f"__o_{c}" for c in order]]]
-    return StructType([*fields, StructField("batch_id", LongType()), StructField("bucket", IntegerType())])
+    for first, level in runs:
+        if level and not _exists(spark, f"{history}_runs/level={level}/first={first}/_SUCCESS"):
+            step = run ** (level - 1)
+            parts = _known(spark, history, [(first + i * step, level - 1) for i in range(run)], fields, by, run)
+            least = F.min(F.struct(*[f.name for f in fields if f.name not in by], F.lit(0).alias("__held"))).alias("least")
+            rows = parts.groupBy("bucket", *by).agg(least).select("bucket", *by, *[f"least.{f.name}" for f in fields if f.name not in by])
+            (rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
+             .parquet(f"{history}_runs/level={level}/first={first}"))
+    bucket, number = StructField("bucket", IntegerType()), LongType()
+    single = [p for first, level in runs if not level and _exists(spark, p := f"{history}/batch_id={first}")]
+    merged = [f"{history}_runs/level={level}/first={first}" for first, level in runs if level]
+    out = spark.createDataFrame([], StructType([*fields, bucket]))
+    for root, folders, columns in ((history, single, ["batch_id"]), (f"{history}_runs", merged, ["level", "first"])):
+        if folders:
+            schema = StructType([*fields, *[StructField(c, number) for c in columns], bucket])
+            out = out.unionByName(spark.read.schema(schema).option("basePath", root).parquet(*folders).drop(*columns))
+    return out
 
 
 def _once_query(source: DataFrame, keys: list[str], row_id: str | None, sink: str, checkpoint: str, order: list[str], trigger: dict):

@@ -114,3 +114,36 @@ def test_once_reads_the_touched_buckets(spark):
     assert len([d for d in os.listdir(f"{path}/batch_id=1") if d.startswith("bucket=")]) == 1
     got = {r.user_id: r.n for r in jobs.read_once(spark, sink, ["user_id", "posting_id"], ["at"], ROWS, "n").collect()}
     assert got[7] == 500 and got[8] == 8 and len(got) == 200
+
+
+def test_history_runs_are_the_digits_of_the_batch():
+    assert jobs._runs_before(23, 4) == [(0, 2), (16, 1), (20, 0), (21, 0), (22, 0)] and jobs._runs_before(0, 4) == []
+    for n in range(1, 200):
+        runs = jobs._runs_before(n, 3)
+        ends = [first + 3 ** level for first, level in runs]
+        assert [f for f, _ in runs] == [0, *ends[:-1]] and ends[-1] == n      # every earlier batch once, in order
+
+
+def test_once_over_merged_runs(spark, monkeypatch):
+    """Nine batches, merged by two: the same rows as one pass over all, also for batches run again, and few folders read."""
+    sink, keys, order = folder(spark, "once"), ["user_id", "posting_id"], ["at", "n"]
+    batches = [[(100 * b + i, (b * 7 + i * 5) % 11, "p" if i % 3 else None, (b * 13 + i * 29) % 40) for i in range(12)] for b in range(9)]
+    best = {}
+    for n, user, posting, at in (r for b in batches for r in b):
+        key = (user, posting) if posting else n
+        best[key] = min(best.get(key, (at, n, user, posting)), (at, n, user, posting))
+    want = sorted((n, user, posting, at) for at, n, user, posting in best.values())
+
+    def run(b):
+        jobs.once_batch(spark.createDataFrame(batches[b], ROWS), b, keys, "n", order, sink, 4, run=2)
+        return sorted(map(tuple, spark.read.parquet(f"{sink}/batch_id={b}").collect()), key=repr)
+    written = [run(b) for b in range(9)]
+    key = lambda r: (r[0], r[1])
+    rows = jobs.read_once(spark, sink, keys, order, ROWS, "n").select("n", "user_id", "posting_id", "at").collect()
+    assert sorted(map(tuple, rows), key=key) == sorted(want, key=key)
+    path = jobs._history(sink).removeprefix("file://")
+    assert sorted(os.listdir(f"{path}_runs/level=1")) == ["first=0", "first=2", "first=4", "first=6"]
+    assert os.listdir(f"{path}_runs/level=3") == ["first=0"]
+    before = files_of(f"{path}_runs")
+    assert [run(b) for b in (8, 5, 8)] == [written[8], written[5], written[8]]
+    assert files_of(f"{path}_runs") == before                                 # a run is merged once
