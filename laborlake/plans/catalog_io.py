@@ -5,6 +5,7 @@ checkpoint location and return what they wrote, read back as a batch frame.
 """
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame
@@ -33,8 +34,19 @@ def _cleaned_with_skills(fx: Fixtures) -> DataFrame:
 
 
 # ---------------------------------------------------------------- model
+_MODEL_INPUT: dict[tuple[str, str], DataFrame] = {}
+
+
 def _model_input(fx: Fixtures) -> DataFrame:
-    return model.ml_features(_cleaned_with_skills(fx))
+    """The model's rows, written once per session: split, fit and score pass over them many times."""
+    key = (fx.spark.sparkContext.applicationId, os.path.abspath(fx.sf_dir))
+    if key not in _MODEL_INPUT:
+        rows = model.ml_features(_cleaned_with_skills(fx)).select(
+            "posting_id", "seniority", "region", "remote", "remote_int", "skill_count", model.LABEL, "is_real")
+        path = _scratch(fx, "model-input")
+        rows.write.parquet(path)
+        _MODEL_INPUT[key] = fx.spark.read.schema(rows.schema).parquet(path)
+    return _MODEL_INPUT[key]
 
 
 def _trained(fx: Fixtures) -> tuple[model.Trained, DataFrame]:
@@ -135,13 +147,14 @@ def _profile_rows(fx: Fixtures) -> DataFrame:
     return fx.profiles.join(fx.users, "user_id").select("user_id", "email", "skills", "target_roles")
 
 
-def _match_stream(fx: Fixtures, copies: int) -> DataFrame:
+def _match_stream(fx: Fixtures, copies: int) -> str:
+    """Runs the stream to its end; returns its sink."""
     src = events.subscribe(fx.spark, path=_events_dir(fx, copies), files_per_trigger=4)
     sink = _scratch(fx, "notifications")
     index = ProfileIndex(fx.spark, _scratch(fx, "profile-index"))
     index.commit(_profile_rows(fx))
     jobs.run_match_stream(fx.spark, src, index, sink)
-    return jobs.read_notifications(fx.spark, sink)
+    return sink
 
 
 def _notify_sql() -> str:
@@ -150,15 +163,19 @@ def _notify_sql() -> str:
 
 
 def stream_match_pairs(fx: Fixtures) -> DataFrame:
-    return _match_stream(fx, copies=2).drop("batch_id", "profile_version")
+    return jobs.read_notifications(fx.spark, _match_stream(fx, copies=2)).drop("batch_id", "profile_version")
 
 
 @register("stream_match", _notify_sql())
 def q_stream_match(fx: Fixtures) -> DataFrame:
     """Notifications written by the stream (events published twice: replays must not
-    duplicate), summarised per user like ``notification_text``."""
+    duplicate), summarised per user like ``notification_text``: summed per group of users that
+    were told the same, then over the groups of each user."""
     from laborlake.plans import catalog_matching as cm
-    return cm.summed(stream_match_pairs(fx), cm.NOTIFY_INTS, cm.NOTIFY_TEXTS)
+    rows, members = jobs.told(fx.spark, _match_stream(fx, copies=2))
+    sums = cm.summed(rows, cm.NOTIFY_INTS, cm.NOTIFY_TEXTS, "group_id").join(members, "group_id")
+    over = {"min_": F.min, "max_": F.max}
+    return sums.groupBy("user_id").agg(*[over.get(c[:4], F.sum)(c).alias(c) for c in sums.columns if c not in ("group_id", "user_id")])
 
 
 def changed_profiles(fx: Fixtures) -> DataFrame:
@@ -195,9 +212,13 @@ def q_profile_refresh(fx: Fixtures) -> DataFrame:
         index.commit(changes)
         events.publish(_with_skills(fx).where(F.col("posting_id").cast("bigint") % 2 == half), path=path)
         jobs.run_match_stream(fx.spark, events.subscribe(fx.spark, path=path), index, sink, checkpoint)
-    return jobs.read_notifications(fx.spark, sink).groupBy("profile_version", "user_id").agg(
+    rows, members = jobs.told(fx.spark, sink)
+    sums = rows.groupBy("profile_version", "group_id").agg(
         F.count(F.lit(1)).alias("pairs"), F.sum(F.length("title")).cast("bigint").alias("len_title"),
         F.sum(F.length("body")).cast("bigint").alias("len_body"), F.min("posting_id").alias("min_posting_id"), F.max("body").alias("max_body"))
+    return sums.join(members, "group_id").groupBy("profile_version", "user_id").agg(
+        F.sum("pairs").alias("pairs"), F.sum("len_title").alias("len_title"), F.sum("len_body").alias("len_body"),
+        F.min("min_posting_id").alias("min_posting_id"), F.max("max_body").alias("max_body"))
 
 
 NOTIFICATION_ROWS = "notification_id long, user_id long, posting_id string, is_read boolean, created_at timestamp_ntz"

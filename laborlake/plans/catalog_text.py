@@ -9,7 +9,7 @@ from laborlake.functions import lists, salary, text
 from laborlake.operators import etl
 from laborlake.plans.registry import register
 from laborlake.sources import feeds
-from laborlake.sources.fixtures import FEED_COUNTRIES, Fixtures, landed_pages
+from laborlake.sources.fixtures import FEED_COUNTRIES, FEEDS, Fixtures, landed_pages
 
 
 # ---------------------------------------------------------------- oracle helpers
@@ -342,25 +342,29 @@ def _shown(postings: DataFrame) -> DataFrame:
     return postings.drop("ingest_seq").withColumn("required_skills", F.array_join("required_skills", ","))
 
 
-def _feeds(fx: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pages = landed_pages(fx.spark, fx.sf_dir)
-    return (feeds.adzuna_postings(pages["adzuna"]), feeds.remotive_postings(pages["remotive"], list(REMOTIVE_TERMS)),
-            feeds.arbeitnow_postings(pages["arbeitnow"], list(ARBEITNOW_TERMS)))
+def _feed(fx: Fixtures, name: str) -> DataFrame:
+    adapt = {"adzuna": feeds.adzuna_postings, "remotive": lambda p: feeds.remotive_postings(p, list(REMOTIVE_TERMS)),
+             "arbeitnow": lambda p: feeds.arbeitnow_postings(p, list(ARBEITNOW_TERMS))}[name]
+    return adapt(landed_pages(fx.spark, fx.sf_dir, (name,))[name])
+
+
+def _feeds(fx: Fixtures) -> list[DataFrame]:
+    return [_feed(fx, name) for name in FEEDS]
 
 
 @register("src_feed_adzuna", _JOBS_CTE + "where source like 'adzuna%'")
 def q_src_feed_adzuna(fx: Fixtures) -> DataFrame:
-    return _shown(_feeds(fx)[0])
+    return _shown(_feed(fx, "adzuna"))
 
 
 @register("src_feed_remotive", _JOBS_CTE + "where source = 'remotive'")
 def q_src_feed_remotive(fx: Fixtures) -> DataFrame:
-    return _shown(_feeds(fx)[1])
+    return _shown(_feed(fx, "remotive"))
 
 
 @register("src_feed_arbeitnow", _JOBS_CTE + "where source = 'arbeitnow'")
 def q_src_feed_arbeitnow(fx: Fixtures) -> DataFrame:
-    return _shown(_feeds(fx)[2])
+    return _shown(_feed(fx, "arbeitnow"))
 
 
 @register("feeds_union", _JOBS_CTE)

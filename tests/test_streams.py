@@ -147,3 +147,21 @@ def test_once_over_merged_runs(spark, monkeypatch):
     before = files_of(f"{path}_runs")
     assert [run(b) for b in (8, 5, 8)] == [written[8], written[5], written[8]]
     assert files_of(f"{path}_runs") == before                                 # a run is merged once
+
+
+def test_stream_rows_are_those_of_the_signatures(spark, index):
+    """Two users of one signature are one row of the sink; a posting that comes again under a new profile version
+    reaches only users that were not told before, and each the first time."""
+    path, sink, checkpoint = (folder(spark, n) for n in ("events", "sink", "ckpt"))
+
+    def publish(*ids):
+        events.publish(postings(spark, [(p, "Data Engineer", "Co", "R", None, ["SQL", "python", "go", "rust"]) for p in ids]), path=path)
+        jobs.run_match_stream(spark, events.subscribe(spark, path=path), index, sink, checkpoint)
+    publish("p0", "p1")
+    assert sorted((r.sig_id, r.posting_id) for r in spark.read.parquet(sink).collect()) == sorted(
+        (s, p) for p in ("p0", "p1") for s in {r.sig_id for r in index.at(1).members.where("user_id in (1, 3)").collect()})
+    # 3 moves to another signature that matches as well, 5 is new, 1 leaves.
+    index.commit(spark.createDataFrame([(3, "c@x", "go,rust", ""), (5, "e@x", "sql,python", ""), (1, "a@x", "", "")], PROFILE))
+    publish("p1", "p2")
+    got = sorted((r.user_id, r.posting_id, r.profile_version) for r in jobs.read_notifications(spark, sink).collect())
+    assert got == [(1, "p0", 1), (1, "p1", 1), (3, "p0", 1), (3, "p1", 1), (3, "p2", 2), (5, "p1", 2), (5, "p2", 2)]
