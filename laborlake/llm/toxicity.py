@@ -14,8 +14,8 @@ confidence bound) more often toxic.  A text's evidence is the log likelihood rat
 counts under the rates of toxic and of other texts, which also weighs its length; a logistic
 curve fitted to the training texts turns it into the score.
 
-Learning is bounded: at most ``max_train`` labelled rows, the ones whose id hashes lowest;
-their words are counted on the executors.  Scoring covers every row and whole texts.
+All labelled rows teach; their words are counted on the executors, and the logistic curve is
+fitted there if the training texts are many.  Scoring covers every row and whole texts.
 
 Defined results: null is the empty text; a text without evidence is judged by its length alone;
 without labels of both classes every score is the share of toxic labels.  Null labels and labels without a document teach nothing; contradicting
@@ -34,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laborlake.llm.common import release, settled
+from laborlake.llm.common import release, scratch, settled
 
-MAX_TRAIN = 8000
+#: So many training texts' evidence is fitted on the driver; that of more is summed by Spark.
+FEW = 100_000
 KEPT_TOKENS = 200_000
 BEGINNINGS = (5, 6, 7)
 EASE = 5.0
@@ -282,17 +283,19 @@ def _ratios(model: Model):
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id",
-          text_col: str = "text", max_train: int = MAX_TRAIN, seed: int = 42) -> Model:
-    """Learn from at most ``max_train`` of the labelled rows that ``usable`` accepts.
+          text_col: str = "text", max_train: int | None = None, seed: int = 42) -> Model:
+    """Learn from all labelled rows that ``usable`` accepts, or with ``max_train`` from so many of
+    them, the ones whose id hashes lowest.
 
-    The driver gets words that three training texts share and one number for each training
-    text: both are bounded by the training rows."""
+    The driver gets the words that three training texts share, and a number for each training
+    text up to ``FEW`` of them, for more only sums."""
     chosen = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & usable)
-              .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-              .orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_train))
+              .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label")))
+    if max_train is not None:
+        chosen = chosen.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_train)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # An id that stands in many rows teaches by one text, the one with the smallest hash.
-    one = (texts.join(F.broadcast(chosen), "id").groupBy("id", "label")
+    one = (texts.join(chosen, "id").groupBy("id", "label")
            .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "label", "t.text"))
     # Copies of a text teach as one: they would make any of its words look like evidence.
     rows = settled(one.groupBy(F.xxhash64("text").alias("th"), F.col("label"))
@@ -301,8 +304,13 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id
     got = (rows.mapInArrow(_counts, _COUNTS).groupBy("word").agg(*sums)
            .where((F.col("word") == "") | (F.col("toxic") + F.col("other") > 2)).collect())
     model = fit({r["word"]: tuple(r)[1:] for r in got})
-    seen = rows.mapInArrow(_ratios(model), "ratio double, label int").collect()
-    calibrate(model, sorted((r["ratio"], 1 if r["label"] else 0) for r in seen))
+    path = scratch(rows.sparkSession, "toxic-ratios")
+    rows.mapInArrow(_ratios(model), "ratio double, label int").write.parquet(path)
+    ratios = rows.sparkSession.read.schema("ratio double, label int").parquet(path)
+    if ratios.count() <= FEW:
+        calibrate(model, sorted((r["ratio"], 1 if r["label"] else 0) for r in ratios.collect()))
+    else:
+        calibrate_on(model, ratios)
     return model
 
 
@@ -337,11 +345,10 @@ def calibrate(model: Model, seen: list[tuple[float, int]], steps: int = 60) -> N
     """Fit slope and bias of the logistic curve by Newton's method, with a weak prior."""
     ones = sum(y for _, y in seen)
     if not 0 < ones < len(seen):
-        share = min(0.999, max(0.001, ones / len(seen))) if seen else 0.5
-        model.slope, model.bias = 0.0, math.log(share / (1 - share))
+        _same_for_all(model, ones, len(seen))
         return
-    a, b = 0.5, 0.0
-    for _ in range(steps):
+
+    def sums(a: float, b: float) -> tuple[float, ...]:
         ga, gb, haa, hab, hbb = 0.1 * (a - 0.5), 0.01 * b, 0.1, 0.0, 0.01
         for x, y in seen:
             x = eased(x)
@@ -352,12 +359,46 @@ def calibrate(model: Model, seen: list[tuple[float, int]], steps: int = 60) -> N
             haa += v * x * x
             hab += v * x
             hbb += v
+        return ga, gb, haa, hab, hbb
+    model.slope, model.bias = _newton(sums, steps)
+
+
+def calibrate_on(model: Model, ratios: DataFrame, steps: int = 60) -> None:
+    """``calibrate`` over a table (ratio, label) of any size: each step is one sum over all its rows."""
+    y = F.when(F.coalesce("label", F.lit(0)) != 0, 1.0).otherwise(0.0)
+    x = EASE * F.asinh(F.col("ratio") / EASE)
+    rows = ratios.select(x.alias("x"), y.alias("y"))
+    n, ones = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
+    if not 0 < (ones or 0) < n:
+        _same_for_all(model, ones or 0, n)
+        return
+
+    def sums(a: float, b: float) -> tuple[float, ...]:
+        z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), a * F.col("x") + b))
+        p = rows.select("x", "y", (1 / (1 + F.exp(-z))).alias("p")).select("x", (F.col("p") - F.col("y")).alias("e"), (F.col("p") * (1 - F.col("p"))).alias("v"))
+        e, v, x = F.col("e"), F.col("v"), F.col("x")
+        got = p.agg(F.sum(e * x), F.sum(e), F.sum(v * x * x), F.sum(v * x), F.sum(v)).first()
+        return tuple(g + prior for g, prior in zip(got, (0.1 * (a - 0.5), 0.01 * b, 0.1, 0.0, 0.01), strict=True))
+    # Sums of floats end in digits that depend on their order: these are left out.
+    model.slope, model.bias = (round(v, 9) for v in _newton(sums, steps))
+
+
+def _same_for_all(model: Model, ones: float, n: int) -> None:
+    share = min(0.999, max(0.001, ones / n)) if n else 0.5
+    model.slope, model.bias = 0.0, math.log(share / (1 - share))
+
+
+def _newton(sums: Callable[[float, float], tuple[float, ...]], steps: int) -> tuple[float, float]:
+    """(slope, bias) where the gradient is zero; ``sums`` gives gradient and curvature at a point."""
+    a, b = 0.5, 0.0
+    for _ in range(steps):
+        ga, gb, haa, hab, hbb = sums(a, b)
         det = haa * hbb - hab * hab
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
         a, b = a - max(-1.0, min(1.0, da)), b - max(-1.0, min(1.0, db))
         if abs(da) + abs(db) < 1e-9:
             break
-    model.slope, model.bias = a, b
+    return a, b
 
 
 def _scorer(model: Model):

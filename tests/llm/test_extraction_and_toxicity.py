@@ -145,3 +145,27 @@ def test_search_equals_enumeration():
             w = f"^^{part}$"
             mine += sum(m.log(w[i:i + 2], w[i + 2]) for i in range(len(w) - 2))
         assert mine == pytest.approx(best)
+
+
+def test_all_labelled_rows_teach(spark, monkeypatch):
+    """More labelled rows than the 8,000 that once were taken: every one is counted."""
+    from pyspark.sql import functions as F
+    n = 9000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number n"), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("toxic"))
+    seen, fit, fitted, calibrate = [], toxicity.fit, [], toxicity.calibrate
+    monkeypatch.setattr(toxicity, "fit", lambda words: seen.append(words[""]) or fit(words))
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, rows: fitted.append(len(rows)) or calibrate(m, rows))
+    toxicity.learn(docs, labels, "toxic", F.lit(True))
+    assert seen[0][:2] == (1286, n - 1286) and fitted == [n]
+
+
+def test_the_curve_is_the_same_when_spark_sums(spark):
+    rows = [((i * 37 % 101) / 7 - 9, int((i * 37 % 101) > 60) if i % 9 else i % 2) for i in range(400)]
+    here, there = (toxicity.Model(toxicity.Trigrams(), {}, 0.0) for _ in range(2))
+    toxicity.calibrate(here, sorted(rows))
+    toxicity.calibrate_on(there, spark.createDataFrame(rows, "ratio double, label int").repartition(3))
+    assert abs(here.slope - there.slope) < 1e-6 and abs(here.bias - there.bias) < 1e-6
+    toxicity.calibrate_on(there, spark.createDataFrame([(1.0, 1)], "ratio double, label int"))
+    toxicity.calibrate(here, [(1.0, 1)])
+    assert (here.slope, here.bias) == (there.slope, there.bias)
