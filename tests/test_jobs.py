@@ -185,3 +185,22 @@ def test_large_pages_are_allowed(spark, small_dir):
     narrow = search.search_ranked(fx.fact, fx.bridge, fx.dim_skill, fx.dim_company, spec).collect()
     wide = search.search_ranked(fx.fact_wide, fx.bridge, fx.dim_skill, fx.dim_company, spec).collect()
     assert len(wide) == 150 and list(map(tuple, narrow)) == list(map(tuple, wide))
+
+
+def _exchanged(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_stay_in_their_buckets(spark, small_dir):
+    """Dedupe and cleaning read the postings by bucket: no row of them is shuffled."""
+    from laborlake.operators import etl
+    from laborlake.sources.fixtures import Fixtures
+    fx = Fixtures(spark, small_dir)
+    assert "hashpartitioning(posting_id" not in _exchanged(etl.clean_postings(fx.raw))
+
+
+def test_feed_pages_read_their_own_feed(spark, small_dir):
+    from laborlake.sources import fixtures
+    fixtures._PAGES.clear()
+    assert list(fixtures.landed_pages(spark, small_dir, ("arbeitnow",))) == ["arbeitnow"]
+    assert [k[-1] for k in fixtures._PAGES] == ["arbeitnow"]
