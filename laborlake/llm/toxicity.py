@@ -282,6 +282,21 @@ def _ratios(model: Model):
     return run
 
 
+def training_texts(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, label) of the texts that teach, each label's copies once, for ``chosen`` (id, label).
+
+    Which texts they are is settled on ids and hashes; the texts themselves are shuffled once."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    # An id that stands in many rows teaches by one text, the one with the smallest hash.
+    one = texts.select("id", "h").join(chosen, "id").groupBy("id", "label").agg(F.min("h").alias("h"))
+    # Copies of a text teach as one: they would make any of its words look like evidence.
+    kept = one.groupBy("h", "label").agg(F.min("id").alias("id")).select("id", F.col("h").alias("kept"))
+    # Joined with all chosen ids first: what is known of them leaves out other texts before the shuffle.
+    # The hashes are compared after the join: as a join key they would have the texts shuffled anew.
+    return (texts.join(chosen, "id").join(kept, "id").where(F.col("h").bitwiseXOR(F.col("kept")) == 0)
+            .groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id",
           text_col: str = "text", max_train: int | None = None, seed: int = 42) -> Model:
     """Learn from all labelled rows that ``usable`` accepts, or with ``max_train`` from so many of
@@ -293,13 +308,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id
               .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label")))
     if max_train is not None:
         chosen = chosen.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_train)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # An id that stands in many rows teaches by one text, the one with the smallest hash.
-    one = (texts.join(chosen, "id").groupBy("id", "label")
-           .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "label", "t.text"))
-    # Copies of a text teach as one: they would make any of its words look like evidence.
-    rows = settled(one.groupBy(F.xxhash64("text").alias("th"), F.col("label"))
-                   .agg(F.min("text").alias("text"), F.min("id").alias("id")).select("id", "text", "label"), "toxic-train")
+    rows = settled(training_texts(docs, chosen, id_col, text_col), "toxic-train")
     sums = [F.sum(c).alias(c) for c in ("toxic", "other", "toxic_tokens", "other_tokens")]
     got = (rows.mapInArrow(_counts, _COUNTS).groupBy("word").agg(*sums)
            .where((F.col("word") == "") | (F.col("toxic") + F.col("other") > 2)).collect())

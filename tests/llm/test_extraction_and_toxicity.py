@@ -107,6 +107,25 @@ def test_toxicity_training_is_bounded_by_ids(spark, monkeypatch):
     assert seen == [2]
 
 
+def test_training_texts_are_shuffled_once(spark):
+    """Each label's copies and each id's rows teach by one text, and only one shuffle carries texts."""
+    from pyspark.sql import functions as F
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (3, "c"), (4, "c"), (5, None), (6, "d"), (None, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1), (5, 0), (9, 1)], "id long, label int")
+    rows = toxicity.training_texts(docs, labels)
+    first = docs.where("doc_id = 1").orderBy(F.xxhash64("text")).first()["text"]
+    assert sorted(rows.collect(), key=lambda r: r["id"]) == [(1, first, 1), (2, "c", 0), (4, "c", 1), (5, None, 0)]
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(toxicity.training_texts(docs, labels)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set(conf, before)
+    carried = [block.split("\n")[1] for block in plan.split("\n\n") if " Exchange\n" in block.lstrip("\n") + "\n"]
+    assert carried and sum("text#" in columns for columns in carried) == 1, plan
+
+
 def test_long_texts_keep_moving():
     m = toxicity.Model(toxicity.Trigrams(), {}, 0.0)
     m.slope, m.bias, m.ratio = 0.1, 0.0, lambda text, kept: float(text)
