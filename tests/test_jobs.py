@@ -191,6 +191,18 @@ def _exchanged(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """A bucket holds so many line items and orders at most, whatever the session's partitions."""
+    from laborlake.sources import fixtures
+    from laborlake.sources.tables import Tables
+    spark.range(900).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(101).write.parquet(f"{tmp_path}/orders.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert fixtures.posting_buckets(t) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(fixtures, "ROWS_PER_BUCKET", 50)
+    assert fixtures.posting_buckets(t) == 21
+
+
 def test_postings_stay_in_their_buckets(spark, small_dir):
     """Dedupe and cleaning read the postings by bucket: no row of them is shuffled."""
     from laborlake.operators import etl
