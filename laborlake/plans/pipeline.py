@@ -146,7 +146,7 @@ def run(spark: SparkSession, conf: PipelineConf) -> DataFrame:
         return events.publish(live, path=f"{b}/events", bootstrap=conf.bootstrap, mode="overwrite")
 
     def run_etl() -> int:
-        n = _observed(etl.clean_postings(files.read_jsonl(spark, f"{landing}/*")), lambda df: files.write_parquet(df, f"{b}/cleaned"))
+        n = _observed(etl.clean_postings(files.read_jsonl(spark, f"{landing}/*"), apart=f"{b}/repeated"), lambda df: files.write_parquet(df, f"{b}/cleaned"))
         cleaned = spark.read.parquet(f"{b}/cleaned")
         c, s = cleaned.drop("required_skills"), etl.posting_skill_rows(cleaned)
         releases.publish(spark, curated, {

@@ -41,6 +41,10 @@ CURATED_OUTPUTS = ("postings", "posting_skills", "skill_demand", "salary_by_seni
 CURATED_TABLES = (*CURATED_OUTPUTS, "posting_scores")
 
 
+#: Rows of a packed JSON file.
+LINES_PER_FILE = 250_000
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = POSTING_RAW_SCHEMA) -> DataFrame:
     """Every JSON line under ``path`` (file, dir or glob) with an explicit schema; fields
     missing from a line are NULL and an unparseable line becomes an all-NULL row (the
@@ -49,7 +53,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = POSTING_RA
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Packed lines.  Packed files are read whole, by a task each, so none holds too many."""
+    df.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", LINES_PER_FILE).json(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +63,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

@@ -77,7 +77,7 @@ def publish(spark: SparkSession, base: str, tables: dict[str, DataFrame], check:
     and raises to stop it.  Returns the release's folder."""
     name = f"release-{uuid.uuid4().hex}"
     for table, df in tables.items():
-        df.write.parquet(f"{base}/{name}/{table}")
+        df.write.option("compression", "zstd").parquet(f"{base}/{name}/{table}")
     if check:
         check({table: spark.read.parquet(f"{base}/{name}/{table}") for table in tables})
     write_small(spark, f"{base}/{POINTER}", name)

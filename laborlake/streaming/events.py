@@ -53,7 +53,7 @@ def publish(postings: DataFrame, path: str | None = None, bootstrap: str | None
         records.write.format("kafka").option("kafka.bootstrap.servers", bootstrap) \
                .option("topic", topic).save()
     elif path:
-        records.hint("rebalance").write.mode(mode).json(path)  # files of a good size, however many tasks made the rows
+        records.hint("rebalance").write.mode(mode).option("compression", "gzip").json(path)  # files of a good size, however many tasks made the rows
     else:
         return 0
     return written.get["records"]

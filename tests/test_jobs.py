@@ -191,6 +191,30 @@ def _exchanged(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_dedupe_apart_keeps_the_same_rows(spark, tmp_path, monkeypatch):
+    """Also of null ids; rows whose id stands once are not shuffled, and with many repeats all are."""
+    from laborlake.operators import etl
+    rows = [("a", "x", 1), ("a", "w", 2), ("b", "y", 3), (None, "n", 4), (None, "m", 5), ("c", None, 6), ("c", "z", 7), ("d", "q", 8), ("d", "q", 8)]
+    raw = spark.createDataFrame(rows, "posting_id string, title string, n int")
+    want = sorted(map(str, etl.dedupe_postings(raw).collect()))
+    got = etl.dedupe_apart(raw, f"{tmp_path}/few")
+    assert sorted(map(str, got.collect())) == want and len(want) == 5
+    assert spark.read.parquet(f"{tmp_path}/few/rows").count() == 8
+    monkeypatch.setattr(etl, "FEW_IDS", 1)
+    assert sorted(map(str, etl.dedupe_apart(raw, f"{tmp_path}/many").collect())) == want
+    assert not (tmp_path / "many" / "rows").exists()
+
+
+def test_landed_lines_are_packed(spark, tmp_path, monkeypatch):
+    """Packed JSON lines read back as they were, in files of bounded size."""
+    from laborlake.sources import files
+    monkeypatch.setattr(files, "LINES_PER_FILE", 40)
+    df = spark.range(100).select(F.col("id").cast("string").alias("posting_id"), F.lit("Ring").alias("title"))
+    files.write_jsonl(df.coalesce(1), f"{tmp_path}/lines")
+    assert len(list((tmp_path / "lines").glob("part-*.json.gz"))) == 3
+    assert files.read_jsonl(spark, f"{tmp_path}/lines").where("title = 'Ring'").select("posting_id").distinct().count() == 100
+
+
 def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
     """A bucket holds so many line items and orders at most, whatever the session's partitions."""
     from laborlake.sources import fixtures
