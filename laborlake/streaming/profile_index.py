@@ -24,8 +24,9 @@ TABLES = {
     "profiles": PROFILE_ROWS,
     "members": "user_id long, email string, sig_id string",
     "signatures": "sig_id string, skill_set array<string>, roles array<string>",
-    "skill_lists": "skill string, sig_id string, ours array<string>",
-    "role_lists": "h long, len int, sig_id string",
+    "skill_lists": "skill string, sig_id string, ours array<string>, roles array<string>",
+    "role_lists": "h long, len int, sig_id string, role string, before array<string>, ours array<string>",
+    "held": "sig_id string",
     "versions": "changed long",
     "indexed": "frequent array<string>",
     "batches": "used long",
@@ -96,17 +97,20 @@ class ProfileIndex:
             self._put("role_lists", v, matching.role_lists(fresh))
             gone = changed.join(members.select("user_id"), "user_id", "left_anti").select("user_id", "email", F.lit(None).cast("string").alias("sig_id"))
             self._put("members", v, members.select("user_id", "email", "sig_id").unionByName(gone))
+            self._put("held", v, self._members(v).select("sig_id").distinct())
             frequent = matching.frequent_skills(self._upto("signatures", v), "skill_set")
             self._put("indexed", v, self.spark.createDataFrame([(frequent,)], TABLES["indexed"]))
 
-    def at(self, version: int) -> View:
+    def _members(self, version: int) -> DataFrame:
         latest = F.max(F.struct("version", "email", "sig_id")).alias("l")
-        members = (self._upto("members", version).groupBy("user_id").agg(latest)
-                   .select("user_id", "l.email", "l.sig_id").where("sig_id is not null"))
-        held = members.select("sig_id").distinct()  # a signature that nobody has any more matches nothing
+        return (self._upto("members", version).groupBy("user_id").agg(latest)
+                .select("user_id", "l.email", "l.sig_id").where("sig_id is not null"))
+
+    def at(self, version: int) -> View:
+        held = self._of("held", version)  # a signature that nobody has any more matches nothing
         signatures, skills, roles = (self._upto(n, version).drop("version").join(held, "sig_id", "left_semi")
                                      for n in ("signatures", "skill_lists", "role_lists"))
-        return View(version, members, signatures, skills, roles, list(self._of("indexed", version).first()["frequent"]))
+        return View(version, self._members(version), signatures, skills, roles, list(self._of("indexed", version).first()["frequent"]))
 
     def version_of(self, batch_id: int) -> int:
         """The version that a batch uses: the one noted for it, or the latest, noted now."""

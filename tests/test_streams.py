@@ -165,3 +165,37 @@ def test_stream_rows_are_those_of_the_signatures(spark, index):
     publish("p1", "p2")
     got = sorted((r.user_id, r.posting_id, r.profile_version) for r in jobs.read_notifications(spark, sink).collect())
     assert got == [(1, "p0", 1), (1, "p1", 1), (3, "p0", 1), (3, "p1", 1), (3, "p2", 2), (5, "p1", 2), (5, "p2", 2)]
+
+
+def test_postings_heard_before_are_not_matched_again(spark, index):
+    """Events that come again word for word are not staged again; one in other words tells only who was not told yet,
+    and a staged batch that is noted again tells nobody twice."""
+    path, sink, checkpoint = (folder(spark, n) for n in ("events", "sink", "ckpt"))
+    skills = ["SQL", "python"]
+
+    def publish(*rows):
+        for id_, names in rows:
+            events.publish(postings(spark, [(id_, "Welder", "Co", "R", None, names)]).coalesce(1), path=path)
+        jobs.run_match_stream(spark, events.subscribe(spark, path=path, files_per_trigger=1), index, sink, checkpoint)
+    publish(("p0", skills), ("p1", skills), ("p0", skills), ("p1", skills))
+    staged = lambda: sorted((r.posting_id, r.again) for r in spark.read.parquet(f"{sink}_staging").collect())
+    told = lambda: sorted((r.user_id, r.posting_id) for r in jobs.read_notifications(spark, sink).collect())
+    assert staged() == [("p0", False), ("p1", False)]
+    assert told() == [(1, "p0"), (1, "p1"), (3, "p0"), (3, "p1")]
+    publish(("p1", [*skills, "Java", "scala"]))
+    assert staged() == [("p0", False), ("p1", False), ("p1", True), ("p1", True)]
+    want = [(1, "p0"), (1, "p1"), (2, "p1"), (3, "p0"), (3, "p1")]
+    assert told() == want
+    notes = spark.createDataFrame([(n, n == 4) for n in range(5)], jobs.NOTE_SCHEMA)
+    jobs.told_batch(notes, 99, f"{sink}_staging", sink)
+    assert told() == want and spark.read.parquet(f"{sink}/batch_id=99").isEmpty()
+
+
+def test_a_pair_is_found_once(spark):
+    from laborlake.operators import matching
+    signatures = spark.createDataFrame([("a", ["go", "sql"], ["ring", "ring master"]), ("b", ["go"], ["master", "ring"]), ("c", [], ["rod"])],
+                                       "sig_id string, skill_set array<string>, roles array<string>")
+    rows = spark.createDataFrame([("p", "Ring master, ring", ["go", "r", "sql"]), ("q", "ring", None), ("r", None, ["go", "sql"]), (None, "ring", ["go"])],
+                                 "posting_id string, title string, posting_skills array<string>")
+    got = sorted((r.posting_id, r.sig_id, r.overlap, r.role_match) for r in matching.signature_match(rows, None, signatures).collect())
+    assert got == [("p", "a", ["go", "sql"], True), ("p", "b", ["go"], True), ("q", "a", [], True), ("q", "b", [], True), ("r", "a", ["go", "sql"], False)]
