@@ -134,7 +134,10 @@ def run(spark: SparkSession, conf: PipelineConf) -> DataFrame:
         report.append((name, status, round(time.perf_counter() - t0, 3), rows))
 
     def generate() -> int:
-        g = synth_postings(conf.synthetic_ids, conf.synthetic_ids.columns[0], seed=conf.seed)
+        ids, cores = conf.synthetic_ids, spark.sparkContext.defaultParallelism
+        if ids.rdd.getNumPartitions() < cores:   # an id makes a whole posting: a few files' ids are dealt over all cores
+            ids = ids.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores))
+        g = synth_postings(ids, ids.columns[0], seed=conf.seed)
         return _observed(g, lambda df: files.write_jsonl(df, f"{landing}/generated"))
 
     def normalize() -> int:

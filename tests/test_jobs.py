@@ -215,6 +215,16 @@ def test_landed_lines_are_packed(spark, tmp_path, monkeypatch):
     assert files.read_jsonl(spark, f"{tmp_path}/lines").where("title = 'Ring'").select("posting_id").distinct().count() == 100
 
 
+def test_generated_postings_are_made_by_all_tasks(spark):
+    """Ids that lie in one file are dealt over the tasks, and each is made once."""
+    from laborlake.plans.pipeline import PipelineConf, run
+    from laborlake.sources import files
+    base = shared_dir(spark, f"generate-{uuid.uuid4().hex}")
+    run(spark, PipelineConf(base=base, synthetic_ids=spark.range(400).toDF("n").coalesce(1), only=("generate",)))
+    lines = files.read_jsonl(spark, f"{base}/landing/generated")
+    assert lines.count() == 400 and len(lines.inputFiles()) > 1
+
+
 def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
     """A bucket holds so many line items and orders at most, whatever the session's partitions."""
     from laborlake.sources import fixtures
